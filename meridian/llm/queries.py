@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from meridian.llm.mixing import OP8_SQL, op8_mixing
+from meridian.llm.quality_rules import OP5_SQL, op5_quality_rules
 
 QUERIES = {
+    "op5_quality_rules": op5_quality_rules,
     "op8_mixing": op8_mixing,
 }
 ORACLES = {
+    "op5_quality_rules": OP5_SQL,
     "op8_mixing": OP8_SQL,
 }
