@@ -218,13 +218,13 @@ rep AS (SELECT rid, count(DISTINCT c) AS n FROM (
           SELECT rid, unnest(range(i, i + 8)) AS c FROM (SELECT *, count(*) OVER (PARTITION BY rid, k) AS n FROM win) WHERE n > 1) GROUP BY rid),
 f AS (SELECT d.rid, doc_id, lang, w, CAST(len(w) AS BIGINT) AS n_words, CAST(length(list_aggregate(list_concat([''], w), 'string_agg', '')) AS BIGINT) AS word_chars,
         CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
-        CAST(len(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
+        CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
         CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
         [length(regexp_replace(text, '[^A-Z]+', '', 'g')), length(regexp_replace(text, '[^0-9]+', '', 'g')), length(regexp_replace(text, '[\x00-\x7F]+', '', 'g')),
          length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')), length(regexp_replace(text, '[^.,;:?''"()-]+', '', 'g')), length(regexp_replace(text, '[^!@\[\]{}^_`~/+=\\]+', '', 'g'))] AS named
       FROM d LEFT JOIN rep ON d.rid = rep.rid),
 f2 AS (SELECT *, list_concat(named, [greatest(word_chars - list_sum(named), 0)]) AS cls FROM f),
-tot AS (SELECT lang, CAST(sum(n_words) AS DOUBLE) AS words, [CAST(sum(cls[i]) AS DOUBLE) FOR i IN [1]] AS x, list_transform(range(1, 8), i -> 0.0) AS z FROM f2 GROUP BY lang),
+tot AS (SELECT lang, CAST(sum(n_words) AS DOUBLE) AS words FROM f2 GROUP BY lang),
 cl AS (SELECT lang, i, CAST(sum(c) AS DOUBLE) AS c FROM (SELECT lang, unnest(cls) AS c, unnest(range(1, 8)) AS i FROM f2) GROUP BY lang, i),
 keep AS (SELECT lang, words FROM tot WHERE words >= 5000 AND lang <> '*'),
 allw AS (SELECT sum(words) AS words FROM tot),

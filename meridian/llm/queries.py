@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from meridian.llm.mixing import OP8_SQL, op8_mixing
 from meridian.llm.quality_rules import OP5_SQL, op5_quality_rules
+from meridian.llm.simhash import op4_simhash
 
 QUERIES = {
+    "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
     "op8_mixing": op8_mixing,
 }
