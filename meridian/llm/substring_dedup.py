@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridian.llm.common import table
+from meridian.llm.words import ODD, Words, mix, normal
 
 WIDTH = 35
 M = 3
@@ -36,56 +37,6 @@ FREQUENT = 8
 MOST_FREQUENT = 1 << 16
 NO_ID = -(1 << 63)
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
-_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _ODD2
-    return (x ^ (x >> np.uint64(29))) * _ODD
-
-
-class Words:
-    """Word starts, ends and hashes of lines of single-spaced words."""
-
-    def __init__(self, lines: list[bytes]):
-        self.buf = b"\n".join(lines)
-        raw = np.frombuffer(self.buf + b"\n" + b"\0" * 8, np.uint8)
-        a = raw[: len(self.buf) + 1]
-        stops = np.flatnonzero((a == 32) | (a == 10))
-        starts = np.concatenate([[0], stops[:-1] + 1])
-        line_ends = np.flatnonzero(a[stops] == 10)
-        full = stops > starts  # an empty line has no word
-        self.starts, self.ends = starts[full], stops[full]
-        upto = np.cumsum(full)[line_ends]
-        self.first = np.concatenate([[0], upto[:-1]])  # of each line
-        self.count = upto - self.first
-        size = self.ends - self.starts
-        eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
-        short = np.minimum(size, 8)
-        head = eight[self.starts] & _MASKS[short]
-        tail = eight[self.ends - short] & _MASKS[short]
-        self.hash = _mix(head + _mix(tail + size.astype(np.uint64) * _ODD))
-
-    def runs(self, m: int) -> np.ndarray:
-        """Hash of the m words from each word on; meaningless near a line's end."""
-        h = self.hash
-        n = max(0, len(h) - m + 1)
-        out = np.zeros(len(h), np.uint64)
-        mixed = h[:n].copy()
-        for k in range(1, m):
-            mixed = _mix(mixed) + h[k : n + k]
-        out[:n] = _mix(mixed)
-        return out
-
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """First words of all windows, and their lines."""
-        n = np.maximum(self.count - width + 1, 0)
-        line = np.repeat(np.arange(len(n)), n)
-        return self.first[line] + np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n), line
-
-
 def _least(values: np.ndarray, span: int) -> np.ndarray:
     """Minimum of values[i : i + span] at i, by doubling; short at the end."""
     out, done = values, 1
@@ -136,7 +87,7 @@ def pack(lines: list[bytes], doc: np.ndarray, key: np.ndarray, width: int, bucke
     owner = line[first]
     settled = np.flatnonzero(often[mate])
     unique = np.flatnonzero(mate == np.arange(len(strings)))
-    bucket = (_mix(least[first[unique]]) % np.uint64(buckets)).astype(np.int64)
+    bucket = (mix(least[first[unique]]) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     unique, bucket = unique[order], bucket[order]
     squeeze = zstandard.ZstdCompressor(level=1)
@@ -158,14 +109,14 @@ def repeated(blobs: list[bytes], doc: np.ndarray, key: np.ndarray, start: np.nda
     at, line = words.windows(width)
     power = np.empty(len(words.hash) + 1, np.uint64)
     power[0] = 1
-    power[1:] = _ODD
+    power[1:] = ODD
     np.multiply.accumulate(power, out=power)
     back = np.empty(len(words.hash) + 1, np.uint64)
     back[0] = 1
-    back[1:] = np.uint64(pow(int(_ODD), -1, 1 << 64))
+    back[1:] = np.uint64(pow(int(ODD), -1, 1 << 64))
     np.multiply.accumulate(back, out=back)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hash * power[:-1], dtype=np.uint64)])
-    rolled = _mix((sums[at + width] - sums[at]) * back[at])
+    rolled = mix((sums[at + width] - sums[at]) * back[at])
     order = np.argsort(rolled, kind="stable")
     ranked = rolled[order]
     same = np.flatnonzero(ranked[1:] == ranked[:-1])
@@ -202,10 +153,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
-def _normal(text: bytes) -> bytes:
-    return b" ".join(text.split())
-
-
 def frequent_runs(keyed: DataFrame, sample: int = SAMPLE_DOCS) -> np.ndarray:
     """Hashes of word runs that many documents of a bounded sample hold."""
     n = keyed.count()
@@ -217,7 +164,7 @@ def frequent_runs(keyed: DataFrame, sample: int = SAMPLE_DOCS) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in b.column("text"):
-                w = Words([_normal(t.as_py())])
+                w = Words([normal(t.as_py())])
                 grams = np.unique(w.runs(M)[: max(0, len(w.hash) - M + 1)])
                 yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], ["gram"])
 
@@ -245,7 +192,7 @@ def repeats(keyed: DataFrame, width: int = WIDTH) -> DataFrame:
         lines, doc, key, size = [], [], [], 0
         for b in batches:
             for d, k, t in zip(b.column("doc").to_pylist(), b.column("key").to_pylist(), b.column("text"), strict=True):
-                line = _normal(t.as_py())
+                line = normal(t.as_py())
                 lines.append(line)
                 doc.append(d)
                 key.append(k)
