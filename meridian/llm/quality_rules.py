@@ -36,6 +36,8 @@ OUTSIDE = {
     "mark": r"[^!@\\\[\]{}^_`~/+=]+",
 }
 POOLED = "*"
+#: References are broadcast while they are at most so many; one row a language.
+MOST_BROADCAST = 2_000
 
 
 @dataclass(frozen=True)
@@ -153,7 +155,8 @@ def references(figures: DataFrame, tops: list[tuple[str, str, int]], rules: Rule
         best = sorted(best, key=lambda x: (-x[0], x[1]))[: rules.common]
         shares = [c / words for c, _ in best] if words else []
         out.append((lang, [w for _, w in best], [*shares, max(0.0, 1.0 - sum(shares))], [c / max(1, sum(classes)) for c in classes]))
-    return spark.createDataFrame(out, "ref_lang string, ref_words array<string>, ref_shares array<double>, ref_classes array<double>")
+    made = spark.createDataFrame(out, "ref_lang string, ref_words array<string>, ref_shares array<double>, ref_classes array<double>")
+    return F.broadcast(made) if len(out) <= MOST_BROADCAST else made
 
 
 def term(p: Column, q: Column) -> Column:
@@ -164,9 +167,9 @@ def term(p: Column, q: Column) -> Column:
 
 def distances(figures: DataFrame, refs: DataFrame, rules: Rules) -> DataFrame:
     """With class_distance and word_distance: Jensen-Shannon distances, null where a guard holds."""
-    known = refs.filter(F.col("ref_lang") != POOLED).select(F.col("ref_lang").alias("known"))
-    rows = figures.join(known, F.col("lang") == F.col("known"), "left").withColumn("use", F.coalesce("known", F.lit(POOLED))).drop("known")
-    rows = rows.join(refs, F.col("use") == F.col("ref_lang"), "left")
+    known = [r.ref_lang for r in refs.select("ref_lang").collect()]
+    use = F.when(F.col("lang").isin(known), F.col("lang")).otherwise(F.lit(POOLED))
+    rows = figures.withColumn("use", use).join(refs, F.col("use") == F.col("ref_lang"), "left")
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
     root = lambda x: F.sqrt(F.greatest(F.lit(0.0), x / 2))
     shares = F.transform(class_counts(), lambda c: c / F.greatest(F.col("word_chars"), F.lit(1)))
