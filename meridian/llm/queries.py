@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from meridian.llm.ann import op3_ann
 from meridian.llm.importance import op10_quality_classifier
+from meridian.llm.language_id import op1_language_id
 from meridian.llm.mixing import OP8_SQL, op8_mixing
 from meridian.llm.quality_rules import OP5_SQL, op5_quality_rules
 from meridian.llm.simhash import op4_simhash
 from meridian.llm.substring_dedup import op6_substring_dedup
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op10_quality_classifier": op10_quality_classifier,
     "op3_ann": op3_ann,
     "op6_substring_dedup": op6_substring_dedup,
