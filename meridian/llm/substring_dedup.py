@@ -30,11 +30,13 @@ from meridian.llm.words import ODD, Words, mix, normal
 WIDTH = 35
 M = 3
 #: Bytes of text that a task packs at once.
-PACK_BYTES = 16 << 20
+PACK_BYTES = 4 << 20
 #: Documents of the sample that tells frequent word runs, and the sampled documents that make a run frequent.
-SAMPLE_DOCS = 20_000
-FREQUENT = 8
+SAMPLE_DOCS = 8_000
+FREQUENT = 6
 MOST_FREQUENT = 1 << 16
+#: Of zstandard, for strings and texts that are shuffled.
+LEVEL = 6
 NO_ID = -(1 << 63)
 
 def _least(values: np.ndarray, span: int) -> np.ndarray:
@@ -90,7 +92,7 @@ def pack(lines: list[bytes], doc: np.ndarray, key: np.ndarray, width: int, bucke
     bucket = (mix(least[first[unique]]) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     unique, bucket = unique[order], bucket[order]
-    squeeze = zstandard.ZstdCompressor(level=1)
+    squeeze = zstandard.ZstdCompressor(level=LEVEL)
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist() + [len(bucket)]
     for lo, hi in zip(cuts, cuts[1:], strict=False):
         these = unique[lo:hi]
@@ -239,14 +241,22 @@ def removed(docs: DataFrame, width: int = WIDTH, with_text: bool = True) -> Data
     keyed = _keyed(docs)
     spans = F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.col("hi").cast("long"))
     found = repeats(keyed, width).groupBy("doc", "key").agg(F.collect_set(spans).alias("spans"))
-    rows = keyed.join(found.hint("shuffle_hash"), ["doc", "key"], "left").select("doc", "text", "spans")
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=LEVEL)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("key"), pa.array([pack.compress(normal(t.as_py())) for t in b.column("text")], pa.binary())], ["doc", "key", "text"])
+
+    small = keyed.mapInArrow(squeeze, "doc long, key long, text binary")
+    rows = small.join(found.hint("shuffle_hash"), ["doc", "key"], "left").select("doc", "text", "spans")
     schema = "doc long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor()
         for b in batches:
             out = []
             for doc, text, span in zip(b.column("doc").to_pylist(), b.column("text"), b.column("spans").to_pylist(), strict=True):
-                words = text.as_py().split()
+                words = expand.decompress(text.as_py()).split()
                 n = len(words)
                 if span:
                     edge = np.zeros(n + 1, np.int64)
