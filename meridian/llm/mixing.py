@@ -27,10 +27,12 @@ BINS = 4096
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, source, size, spot): one row per document row; spot is its keyed shuffle position."""
+    """(rid, row, doc_id, source, size, spot): one row per document row; row is a key that equal rows share, spot
+    the keyed shuffle position."""
     return stable(
         docs.select(
             F.monotonically_increasing_id().alias("rid"),
+            F.xxhash64("doc_id", "source", "text").alias("row"),
             "doc_id",
             "source",
             F.size(words_of(F.col("text"))).cast("long").alias("size"),
@@ -102,7 +104,7 @@ def goal_is_small(goal: DataFrame, most: int = 50_000) -> bool:
 
 
 def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, max_slots: int = 1 << 20) -> DataFrame:
-    """(rid, doc_id, source, size, source_size, target, at, epochs, taken).
+    """(rid, row, doc_id, source, size, source_size, target, at, epochs, taken).
 
     epochs: words taken on the first and the second pass over the line; taken is their sum. Null texts have
     size 0 and take nothing; a null source is a source; repeated rows are documents of their own; an empty
@@ -125,11 +127,31 @@ def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: float
     got = parts.join(slots.withColumn("hit", F.lit(True)), ["sid", "no"], "left")
     overlap = F.least(F.col("p.start") + word, (F.col("no") + 1) * b) - F.greatest(F.col("p.start"), F.col("no") * b)
     words = lambda e: F.coalesce(F.sum(F.when(F.col("hit") & (F.col("p.epoch") == e), overlap)), F.lit(0)).cast("long")
-    keys = ["rid", "doc_id", "source", "size", "source_size", "target", "at"]
+    keys = ["rid", "row", "doc_id", "source", "size", "source_size", "target", "at"]
     out = got.groupBy(*keys).agg(words(0).alias("first"), words(1).alias("second"))
     return out.withColumn("epochs", F.array("first", "second")).withColumn("taken", F.col("first") + F.col("second")).drop("first", "second")
 
 
+def mixed(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The mix itself, with docs' columns: a row for each pass over the line that takes words of a document.
+
+    A pass that takes a document in part has its first words, joined by single spaces; n_chars, where docs has
+    it, follows the text. Documents of which nothing is taken are not in the mix.
+    """
+    columns = docs.columns
+    at = {c: f"c{i}" for i, c in enumerate(columns)}
+    plain = docs.toDF(*at.values())
+    plain = plain.withColumn("mix_row", F.xxhash64(at["doc_id"], at["source"], at["text"])).dropDuplicates(["mix_row"])
+    plan = mix(docs.select("doc_id", "source", "text"), weights, share, cap).filter("taken > 0")
+    plan = plan.select(F.col("row").alias("mix_row"), F.col("size").alias("mix_size"), F.explode("epochs").alias("mix_words")).filter("mix_words > 0")
+    text = F.col(at["text"])
+    cut = F.concat_ws(" ", F.slice(words_of(text), F.lit(1), F.col("mix_words").cast("int")))
+    out = plain.join(plan, "mix_row").withColumn(at["text"], F.when(F.col("mix_words") < F.col("mix_size"), cut).otherwise(text))
+    if "n_chars" in at:
+        out = out.withColumn(at["n_chars"], F.length(at["text"]).cast(docs.schema["n_chars"].dataType))
+    return out.select(*at.values()).toDF(*columns)
+
+
 def op8_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
