@@ -90,7 +90,7 @@ def laid_out(sizes: DataFrame, goal: DataFrame) -> DataFrame:
     """Documents with ``at``, their first word's place on their source's line."""
     small = goal.select("sid", F.col("source").alias("g_source"), "source_size", "target")
     rows = sizes.join(F.broadcast(small) if goal_is_small(goal) else small, F.col("source").eqNullSafe(F.col("g_source"))).drop("g_source")
-    rows = rows.withColumn("bucket", F.substring("spot", 1, 4))
+    rows = rows.withColumn("bucket", F.substring("spot", 1, 3))
     sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("sid", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("bucket_at"))
