@@ -7,6 +7,10 @@ and keeping the k largest draws k documents without replacement in proportion to
 weights. k is the number of documents whose weight reaches a low quantile of held-out
 good documents, so that the sample has room for all that look like the target.
 
+A document of more than ``full`` n-grams counts in the models like one of that many, or a
+few very long texts would decide what the corpus is like. Counts are kept in whole
+units, so that they add up alike in any order.
+
 The n-grams are byte trigrams of the single-spaced text and word pairs; a word that
 repeats its predecessor counts as one token of its own kind.
 """
@@ -25,18 +29,22 @@ from meridian.llm.common import stable, stored, table
 from meridian.llm.words import ODD, Words, mix, normal, packs
 
 PACK_BYTES = 2 << 20
+#: Units of a count of one.
+UNIT = 1 << 20
 
 
 @dataclass(frozen=True)
 class Plan:
     """bits: log2 of the hash buckets; labelled: good documents that the target model and its quantile are
     fitted on, about half each; lost: the share of held-out good documents below the weight that sets k;
-    smooth: added to each bucket's count."""
+    prior: the count with which a bucket's ratio of target to raw share is drawn to 1, so that buckets the
+    target's sample is too small to tell stay neutral; full: n-grams that a document counts for at most."""
 
     bits: int = 16
     labelled: int = 20_000
-    lost: float = 0.002
-    smooth: float = 1.0
+    lost: float = 0.001
+    prior: float = 5.0
+    full: int = 512
     seed: int = 42
 
 
@@ -80,10 +88,12 @@ def count(docs: DataFrame, good: np.ndarray, plan: Plan) -> tuple[np.ndarray, np
         rows = ((t.as_py() or b"", d) for b in batches for t, d in zip(b.column(1), b.column(0).to_pylist(), strict=True))
         for pack in packs(rows, PACK_BYTES):
             grams, of = buckets([normal(t) for t, _ in pack], plan.bits)
-            sums[1] += np.bincount(grams, minlength=1 << plan.bits)
+            n = np.bincount(of, minlength=len(pack))
+            unit = (UNIT * plan.full // np.maximum(n, plan.full))[of]  # sums stay exact: under 2^53 for each pack
+            sums[1] += np.bincount(grams, unit, minlength=1 << plan.bits).astype(np.int64)
             mine = np.isin(np.array([np.iinfo(np.int64).min if d is None else d for _, d in pack], np.int64), good)
             if mine.any():
-                sums[0] += np.bincount(grams[mine[of]], minlength=1 << plan.bits)
+                sums[0] += np.bincount(grams[mine[of]], unit[mine[of]], minlength=1 << plan.bits).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(range(2 * slices), pa.int32()), pa.array([s.tobytes() for s in sums.reshape(2 * slices, wide)])], ["slice", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,6 +112,15 @@ def count(docs: DataFrame, good: np.ndarray, plan: Plan) -> tuple[np.ndarray, np
     return target, raw
 
 
+def log_ratio(target: np.ndarray, raw: np.ndarray, prior: float) -> np.ndarray:
+    """log of target share over raw share by bucket; the target's shares add up to 1."""
+    if not target.sum() or not raw.sum():
+        return np.zeros(len(raw))
+    share = raw / raw.sum()
+    ratio = (target + prior) / (target.sum() * share + prior)
+    return np.log(ratio) - np.log((share * ratio).sum())
+
+
 def good_labels(labels: DataFrame, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """doc_ids of a bounded sample of good labels, for fitting and for the quantile."""
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
@@ -117,8 +136,7 @@ def weighted(docs: DataFrame, labels: DataFrame, plan: Plan = Plan(), columns: l
     """docs' columns with iw_log (log weight) and iw_key (log weight with Gumbel noise), and the held-out good doc_ids."""
     fit, held = good_labels(labels, plan)
     target, raw = count(docs, fit, plan)
-    share = lambda n: np.log((n + plan.smooth) / (n.sum() + plan.smooth * len(n)))
-    ratio = share(target) - share(raw) if len(fit) else np.zeros(1 << plan.bits)
+    ratio = log_ratio(target / UNIT, raw / UNIT, plan.prior)
     columns = columns or docs.columns
     text, ident = columns.index("text"), columns.index("doc_id")
     names = [*columns, "iw_log", "iw_key"]
