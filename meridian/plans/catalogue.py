@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from meridian.plans import search_queries, voyage_queries, wind_queries
+from meridian.plans import kernel_queries, search_queries, voyage_queries, wind_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (voyage_queries, wind_queries, search_queries):
+for part in (voyage_queries, wind_queries, search_queries, kernel_queries):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
