@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridian.llm.common import stable, table
+from meridian.llm.common import stable, table, tidy
 
 
 @dataclass(frozen=True)
@@ -145,7 +145,7 @@ def usable(rows: DataFrame) -> tuple[DataFrame, str, int]:
             raw = flat.reshape(-1, d)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([r.tobytes() for r in raw], pa.binary())], ["vec_id", "v"])
 
-    return good.filter(F.size("embedding") == d).mapInArrow(run, "vec_id long, v binary"), kind, d
+    return good.filter(F.size("embedding") == d).mapInArrow(tidy(run), "vec_id long, v binary"), kind, d
 
 
 def _matrix(column, kind: str, d: int) -> np.ndarray:
@@ -210,7 +210,7 @@ def _merged(parts: DataFrame, k: int) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], pa.int64()), pa.array([x for _, x in out], kind)], ["group", "found"])
 
-    return parts.repartition(n, "group").sortWithinPartitions("group").mapInArrow(run, schema)
+    return parts.repartition(n, "group").sortWithinPartitions("group").mapInArrow(tidy(run), schema)
 
 
 ANSWER = "group long, s binary, v binary, f binary"
@@ -246,7 +246,7 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, plan: Plan = Plan()) -
             leaf = tree.place(_matrix(b.column("v"), kind, d)) if b.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(leaf)], ["vec_id", "v", "leaf"])
 
-    index = stable(distinct.select("vec_id", "v").mapInArrow(placed, "vec_id long, v binary, leaf long"))
+    index = stable(distinct.select("vec_id", "v").mapInArrow(tidy(placed), "vec_id long, v binary, leaf long"))
     held = np.zeros(tree.leaves, np.int64)
     for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect():
         held[r.leaf] = r.n
@@ -273,7 +273,7 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, plan: Plan = Plan()) -
             if out:
                 yield _answers(out, ["group", "v", "leaf"])
 
-    visited = stable(groups.select("group", "v").mapInArrow(walked, "group long, v binary, leaf long"))
+    visited = stable(groups.select("group", "v").mapInArrow(tidy(walked), "group long, v binary, leaf long"))
     calls = {r.leaf: r.n for r in visited.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
     grid = [(leaf, max(1, -(-int(held[leaf]) // plan.block)), max(1, -(-n // plan.visits))) for leaf, n in calls.items() if held[leaf]]
     # One row a leaf, at most most_leaves of them.
@@ -304,7 +304,7 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, plan: Plan = Plan()) -
                 (q_raw if side else c_raw).append(raw)
         yield from close()
 
-    parts = here.unionByName(ask).repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(met, ANSWER)
+    parts = here.unionByName(ask).repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(tidy(met), ANSWER)
     best = _merged(parts, k + 1)
     named = members.join(groups, "v").select("group", F.col("vec_id").alias("query_id"))
     found = named.join(best, "group")
@@ -326,7 +326,7 @@ def calibrated(index: DataFrame, groups: DataFrame, tree: Tree, kind: str, d: in
                 found = _best(q, _matrix(b.column("v"), kind, d), b.column("vec_id").to_numpy(), k + 1)
                 yield _answers([(g, s.tobytes(), v.tobytes(), leaf[at].tobytes()) for g, (s, v, at) in zip(ids, found, strict=True)], ANSWER_NAMES)
 
-    true = {r.group: [x.leaf for x in r.found if x.vec_id != r.group][:k] for r in _merged(index.mapInArrow(exact, ANSWER), k + 1).collect()}
+    true = {r.group: [x.leaf for x in r.found if x.vec_id != r.group][:k] for r in _merged(index.mapInArrow(tidy(exact), ANSWER), k + 1).collect()}
     hits, wanted = np.zeros(tree.leaves), 0
     for g, v in zip(ids, q, strict=True):
         order = {leaf: i for i, leaf in enumerate(tree.walk(v))}

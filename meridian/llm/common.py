@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +37,22 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+def tidy(work):
+    """A function of Arrow batches whose process gives freed memory back to the system once its task is done."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:
+                pass  # another C library
+
+    return run
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
@@ -46,3 +65,16 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/meridian-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Keys that a filtering join may broadcast (16 MB of longs); more are joined by shuffling.
+MOST_KEYS = 1_000_000
+
+
+def filtered(df: DataFrame, keys: DataFrame, column: str, how: str) -> DataFrame:
+    """df's rows whose column is (left_semi) or is not (left_anti) among keys, one stored column of that name.
+
+    The keys are broadcast only if they are counted to be few, so that wide rows need not be shuffled.
+    """
+    few = keys.limit(MOST_KEYS + 1).count() <= MOST_KEYS
+    return df.join(F.broadcast(keys) if few else keys, column, how)

@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import stable, stored, table
+from meridian.llm.common import stable, stored, table, tidy
 from meridian.llm.words import ODD, Words, mix, normal, packs
 
-PACK_BYTES = 2 << 20
+PACK_BYTES = 1 << 19
 #: Units of a count of one.
 UNIT = 1 << 20
 
@@ -104,7 +104,7 @@ def count(docs: DataFrame, good: np.ndarray, plan: Plan) -> tuple[np.ndarray, np
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["slice", "counts"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = texts.mapInArrow(tally, schema).repartition(slices, "slice").mapInArrow(add, schema).collect()
+    rows = texts.mapInArrow(tidy(tally), schema).repartition(slices, "slice").mapInArrow(tidy(add), schema).collect()
     both = np.zeros((2 * slices, wide), np.int64)
     for r in rows:
         both[r.slice] += np.frombuffer(r.counts, np.int64)
@@ -153,7 +153,7 @@ def weighted(docs: DataFrame, labels: DataFrame, plan: Plan = Plan(), columns: l
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out), pa.array(out - np.log(-np.log(u)))], names)
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*columns).mapInArrow(score, f"{kinds}, iw_log double, iw_key double"), held
+    return docs.select(*columns).mapInArrow(tidy(score), f"{kinds}, iw_log double, iw_key double"), held
 
 
 def kth_largest(values: DataFrame, column: str, k: int) -> float:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import table
+from meridian.llm.common import table, tidy
 from meridian.llm.words import ODD, mix, normal, packs
 
 PACK_BYTES = 1 << 20
@@ -170,7 +170,7 @@ def identified(docs: DataFrame, trees: Trees) -> DataFrame:
                     pred[i], score[i], rate[i] = trees.langs[j], s, r
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], ["doc_id", "lang_pred", "score", "bits_per_byte"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
 
 
 def op1_language_id(spark, sf_dir):

@@ -20,7 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from meridian.llm.common import table
+from meridian.llm.common import table, tidy
 
 # License, wordings of its notices, words that must be there exactly.
 TEMPLATES = (
@@ -186,7 +186,7 @@ def scanned(docs: DataFrame, templates=TEMPLATES, plan: Plan = Plan()) -> DataFr
                 names,
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_licenses long, licenses string, spans string, differences string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, n_licenses long, licenses string, spans string, differences string")
 
 
 def op7_licenses(spark, sf_dir):

@@ -28,17 +28,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import table
+from meridian.llm.common import table, tidy
 from meridian.llm.words import ODD, ODD2, mix, packs
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Stands for a space mark that the text itself holds; no piece starts with it.
 HELD_MARK = "\0" + MARK
-PACK_CHARS = 1 << 20
+PACK_CHARS = 1 << 19
 #: Characters of the longest word whose agenda is worked through together with others.
 LONG = 64
-BATCH_TOKENS = 2_000_000
+BATCH_TOKENS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -49,7 +49,7 @@ class Plan:
     dropout: float = 0.1
     streams: int = 4
     seed: int = 42
-    kept: int = 60_000
+    kept: int = 25_000
 
 
 class Vocabulary:
@@ -267,8 +267,8 @@ class Encoder:
             old = self.old[s]
             found = {w: old[w] for w in words if w in old}
             todo = sorted(words - found.keys())
-            for at in range(0, len(todo), 50_000):
-                part = todo[at : at + 50_000]
+            for at in range(0, len(todo), 20_000):
+                part = todo[at : at + 20_000]
                 keys = [xxhash.xxh64_intdigest(w.encode(), seed=self.plan.seed * 1_000_003 + s) for w in part]
                 short = [len(w) <= LONG for w in part]
                 # a round costs a word's length, so long words have an agenda of their own
@@ -353,7 +353,7 @@ def encoded(docs: DataFrame, path: str = MODEL, plan: Plan = Plan()) -> DataFram
             if made:
                 yield out(b.num_rows, first, made, same)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens long, lossless boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, ids array<int>, n_tokens long, lossless boolean")
 
 
 def decoded(rows: DataFrame, path: str = MODEL) -> DataFrame:
@@ -367,7 +367,7 @@ def decoded(rows: DataFrame, path: str = MODEL) -> DataFrame:
             texts = [None if x.as_py() is None else coder.decode(x.values.to_numpy(zero_copy_only=False).astype(np.int64)) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return rows.select("doc_id", "ids").mapInArrow(tidy(run), f"doc_id {kind}, text string")
 
 
 def op2_pieces(spark, sf_dir):

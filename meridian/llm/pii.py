@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import table
+from meridian.llm.common import table, tidy
 
 # Kinds in the order of the contract.
 KINDS = ("email", "ip", "card", "phone")
@@ -310,7 +310,7 @@ def found(docs: DataFrame, field: Field, plan: Plan = Plan()) -> DataFrame:
                 spans.append(listed(every))
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in n], pa.array(base, pa.string()), pa.array(spans, pa.string())], ["doc_id", *counts, "base", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {', '.join(c + ' long' for c in counts)}, base string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, {', '.join(c + ' long' for c in counts)}, base string, spans string")
 
 
 def redact(text: str, spans: list[list[tuple[int, int]]]) -> str:
@@ -333,7 +333,7 @@ def redacted(docs: DataFrame, field: Field, plan: Plan = Plan()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(b.columns)], b.schema.names)
 
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(tidy(run), plain.schema).toDF(*docs.columns)
 
 
 def op9_pii(spark, sf_dir):

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import table
+from meridian.llm.common import table, tidy
 from meridian.llm.words import ODD, Words, mix, normal
 
 WIDTH = 35
@@ -170,7 +170,7 @@ def frequent_runs(keyed: DataFrame, sample: int = SAMPLE_DOCS) -> np.ndarray:
                 grams = np.unique(w.runs(M)[: max(0, len(w.hash) - M + 1)])
                 yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], ["gram"])
 
-    counts = some.select("text").mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("n"))
+    counts = some.select("text").mapInArrow(tidy(run), "gram long").groupBy("gram").agg(F.count("*").alias("n"))
     rows = counts.filter(F.col("n") >= FREQUENT).orderBy(F.col("n").desc(), "gram").limit(MOST_FREQUENT).collect()
     return np.sort(np.array([r.gram for r in rows], np.int64).view(np.uint64))
 
@@ -227,8 +227,8 @@ def repeats(keyed: DataFrame, width: int = WIDTH) -> DataFrame:
         if held:
             yield counted()
 
-    dealt = keyed.mapInArrow(cut, strings).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(count, "doc long, key long, lo int, hi int")
+    dealt = keyed.mapInArrow(tidy(cut), strings).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(tidy(count), "doc long, key long, lo int, hi int")
 
 
 def removed(docs: DataFrame, width: int = WIDTH, with_text: bool = True) -> DataFrame:
@@ -247,7 +247,7 @@ def removed(docs: DataFrame, width: int = WIDTH, with_text: bool = True) -> Data
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("key"), pa.array([pack.compress(normal(t.as_py())) for t in b.column("text")], pa.binary())], ["doc", "key", "text"])
 
-    small = keyed.mapInArrow(squeeze, "doc long, key long, text binary")
+    small = keyed.mapInArrow(tidy(squeeze), "doc long, key long, text binary")
     rows = small.join(found.hint("shuffle_hash"), ["doc", "key"], "left").select("doc", "text", "spans")
     schema = "doc long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
 
@@ -270,7 +270,7 @@ def removed(docs: DataFrame, width: int = WIDTH, with_text: bool = True) -> Data
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=False)] if out else [pa.array([], k) for k in kinds[: len(names)]], names)
 
-    made = rows.mapInArrow(run, schema)
+    made = rows.mapInArrow(tidy(run), schema)
     return made.withColumn("doc_id", F.when(F.col("doc") != NO_ID, F.col("doc"))).select("doc_id", *[c for c in made.columns if c != "doc"])
 
 
