@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import stable, table
+from meridian.llm.common import filtered, stable, table, tidy
 from meridian.llm.components import components
 from meridian.llm.words import ODD, mix
 
@@ -34,7 +34,7 @@ UPPER_TO_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 MOST_IN_TRIE = 20_000
 #: Rows, and node pairs, that a task holds at once.
 BUFFER = 100_000
-FRONTIER = 1_000_000
+FRONTIER = 100_000
 
 
 # ---- fingerprints
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, fp long")
 
 
 # ---- the trie self-join
@@ -188,7 +188,8 @@ def links(heads: DataFrame, budget: int = 3, most: int = MOST_IN_TRIE, width: in
     large = turned.groupBy("deal").agg(F.count("*").alias("n")).filter(F.col("n") > most)
     # A large deal is split by its next bits; sub-tries go to a deal for each pair within the budget.
     extra = F.least(F.lit(12), F.ceil(F.log2(F.col("n") / most)) + 1).cast("int")
-    sized = turned.join(large.select("deal", extra.alias("extra")), "deal", "left")
+    # at most blocks * 2^bits deals in each table, a few MB
+    sized = turned.join(F.broadcast(large.select("deal", extra.alias("extra"))), "deal", "left")
     usual = sized.filter("extra is null").select("deal", "key", *carried, F.lit(0).alias("side"), F.lit(0).alias("split"))
     flips = [sum(1 << b for b in chosen) for n in range(budget + 1) for chosen in itertools.combinations(range(12), n)]
     sub = F.expr(f"shiftrightunsigned(key, {BITS - bits} - extra) & (shiftleft(1L, extra) - 1)")
@@ -229,7 +230,7 @@ def links(heads: DataFrame, budget: int = 3, most: int = MOST_IN_TRIE, width: in
         if held:
             yield joined(held)
 
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(tidy(run), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 3) -> DataFrame:
@@ -312,7 +313,7 @@ def similar_links(rows: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sketch(shingle_set(t.as_py(), plan.width), plan) for t in b.column(2)], pa.binary())], ["sh_row", "doc_id", "sketch"])
 
     texts = rows.select("sh_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    sketched = stable(texts.mapInArrow(run, "sh_row long, doc_id long, sketch binary"))
+    sketched = stable(texts.mapInArrow(tidy(run), "sh_row long, doc_id long, sketch binary"))
     heads = stable(sketched.groupBy("sketch").agg(F.min("sh_row").alias("head")))
     members = sketched.join(heads, "sketch").select("sh_row", "doc_id", "head")
 
@@ -325,20 +326,20 @@ def similar_links(rows: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
             for k in range(plan.tables):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw[:, k].astype(np.int64)), pa.array(check), pa.array(np.full(b.num_rows, k, np.int32))], ["head", "fp", "check", "table"])
 
-    tables = heads.select("head", "sketch").mapInArrow(spread, "head long, fp long, check long, table int")
+    tables = heads.select("head", "sketch").mapInArrow(tidy(spread), "head long, fp long, check long, table int")
     found = stable(links(tables, plan.budget, MOST_IN_TRIE, plan.bits, plan.most_apart).distinct())
     return members, verified(texts, found, plan)
 
 
 def verified(texts: DataFrame, found: DataFrame, plan: Plan) -> DataFrame:
     """Those of found (u, v) whose shingle sets have the similarity, compared exactly."""
-    nodes = found.select(F.explode(F.array("u", "v")).alias("sh_row")).distinct()
+    nodes = stable(found.select(F.explode(F.array("u", "v")).alias("sh_row")).distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), plan.width).tobytes() for t in b.column(1)], pa.binary())], ["row", "shingles"])
 
-    held = texts.join(nodes, "sh_row", "left_semi").dropDuplicates(["sh_row"]).select("sh_row", "text").mapInArrow(sets, "row long, shingles binary")
+    held = filtered(texts, nodes, "sh_row", "left_semi").dropDuplicates(["sh_row"]).select("sh_row", "text").mapInArrow(tidy(sets), "row long, shingles binary")
     pairs = found.join(held.select(F.col("row").alias("u"), F.col("shingles").alias("a")), "u").join(held.select(F.col("row").alias("v"), F.col("shingles").alias("b")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,7 +351,7 @@ def verified(texts: DataFrame, found: DataFrame, plan: Plan) -> DataFrame:
                 keep.append(both >= plan.similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return pairs.select("u", "v", "a", "b").mapInArrow(tidy(run), "u long, v long")
 
 
 def one_of_each(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
@@ -365,8 +366,15 @@ def one_of_each(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     roots = components(near)
     grouped = members.join(roots, F.col("head") == F.col("node"), "left").withColumn("root", F.coalesce("root", "head"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sh_row"))["sh_row"]
-    stay = stable(grouped.groupBy("root").agg(first.alias("sh_row")).select("sh_row"))
-    return rows.join(stay, "sh_row", "left_semi").dropDuplicates(["sh_row"]).drop("sh_row").toDF(*docs.columns)
+    stay = grouped.groupBy("root").agg(first.alias("sh_row")).select("sh_row", F.lit(True).alias("stays"))
+    fate = members.groupBy("sh_row").agg(F.count("*").alias("n")).join(stay, "sh_row", "left")
+    fate = stable(fate.filter("stays is null or n > 1"))
+    left = filtered(rows, fate.select("sh_row"), "sh_row", "left_anti")
+    # rows that occur more than once, of which one stays
+    again = stable(fate.filter("stays").select("sh_row"))
+    if not again.isEmpty():
+        left = left.unionByName(filtered(rows, again, "sh_row", "left_semi").dropDuplicates(["sh_row"]))
+    return left.drop("sh_row").toDF(*docs.columns)
 
 
 def op4_simhash(spark, sf_dir):
