@@ -28,7 +28,7 @@ def travel_time(ship: Ship, wind, x1, y1, x2, y2, start, load, cap: float):
         steps = np.where(np.isfinite(total), np.maximum(np.ceil(total / cap), 1), 0).astype(int)
         step = total / np.maximum(steps, 1)
         x, y, t = x1.copy(), y1.copy(), start.copy()
-        bad = ~np.isfinite(total)
+        bad = np.array(~np.isfinite(total))
         for k in range(int(steps.max(initial=0))):
             on = (k < steps) & ~bad & (total > 0)
             if not on.any():
