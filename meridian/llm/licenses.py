@@ -56,7 +56,7 @@ class Plan:
     template's words that may be missing or out of order."""
 
     around: int = 10
-    best: int = 4
+    best: int = 8
     least_saved: float = 0.02
     most_differ: float = 0.12
 
@@ -70,11 +70,11 @@ class Scanner:
         self.plan = plan
         self.templates = []
         options = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
-        self.alone = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(6, **options))
+        self.alone = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(19, **options))
         for name, wording, needed in templates:
             words = [w for x in _WORD.findall(wording) if (w := _plain(x))]
             known = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            packer = zstandard.ZstdCompressor(dict_data=known, compression_params=zstandard.ZstdCompressionParameters.from_level(6, **options))
+            packer = zstandard.ZstdCompressor(dict_data=known, compression_params=zstandard.ZstdCompressionParameters.from_level(19, **options))
             self.templates.append((name, words, set(needed), packer))
         self.reach = max(len(w) for _, w, _, _ in self.templates)
 
