@@ -104,7 +104,7 @@ class Box:
         return self.lat_max - self.lat_min
 
     def usable(self) -> bool:
-        return self.lon_extent > 0 and self.lat_extent > 0
+        return self.lat_max > self.lat_min and self.lon_min != self.lon_max
 
     def diagonal_m(self) -> float:
         a, b = math.radians(self.lat_min), math.radians(self.lat_max)
@@ -128,9 +128,12 @@ class Box:
         low, high = max(self.lat_min, -POLE_LAT), min(self.lat_max, POLE_LAT)
         return kept, F.least(F.greatest(lat, F.lit(low)), F.lit(high))
 
-    def intersect(self, other: "Box") -> "Box | None":
-        """The shared box of two that do not wrap (one that wraps is given back); None if it is empty."""
-        if self.wraps or other.wraps:
+    def clamped_to(self, sub: "Box | None") -> "Box":
+        """The part of this box within another. Where either wraps, the other's longitudes are taken as they are;
+        the result can be empty, see usable()."""
+        if sub is None:
             return self
-        box = Box(max(self.lon_min, other.lon_min), min(self.lon_max, other.lon_max), max(self.lat_min, other.lat_min), min(self.lat_max, other.lat_max))
-        return box if box.usable() else None
+        south, north = max(self.lat_min, sub.lat_min), min(self.lat_max, sub.lat_max)
+        if self.wraps or sub.wraps:
+            return Box(sub.lon_min, sub.lon_max, south, north)
+        return Box(max(self.lon_min, sub.lon_min), min(self.lon_max, sub.lon_max), south, north)
