@@ -131,9 +131,6 @@ def travel_time(lon: Column, lat: Column, lon2: Column, lat2: Column, load: Colu
 
     wind(lon, lat, t) gives the (u, v) columns. The bearing is taken anew at each substep.
     """
-    step = geo.haversine(lon, lat, lon2, lat2) / substeps
-    stuck = F.lit(float("inf"))
-
     def speed(at, angle, t):
         def sail(air: Column) -> Column:
             return bind(ship.wind_speed(angle, air["u"], air["v"]), lambda w: bind(ship.motor_speed(w, load), lambda s: F.when(F.isnan(s) | (s <= 0), F.lit(None)).otherwise(s)))
@@ -145,60 +142,67 @@ def travel_time(lon: Column, lat: Column, lon2: Column, lat2: Column, load: Colu
         x, y = geo.destination(at["lon"], at["lat"], metres, angle)
         return F.struct(x.alias("lon"), y.alias("lat"))
 
-    def advance(state: Column, _: Column) -> Column:
-        t = state["t"]
+    def over(step: Column) -> Column:
+        def advance(state: Column, _: Column) -> Column:
+            t = state["t"]
+
+            def go(angle: Column) -> Column:
+                def second(first: Column) -> Column:
+                    return bind(place(state, step / 2, angle), lambda mid: speed(mid, angle, t + 0.5 * step / first))
 
-        def go(angle: Column) -> Column:
-            def second(first: Column) -> Column:
-                return bind(place(state, step / 2, angle), lambda mid: speed(mid, angle, t + 0.5 * step / first))
+                later = bind(speed(state, angle, t), lambda first: bind(second(first), lambda s: t + step / s))
+                return bind(place(state, step, angle), lambda on: F.struct(on["lon"].alias("lon"), on["lat"].alias("lat"), later.alias("t")))
 
-            later = bind(speed(state, angle, t), lambda first: bind(second(first), lambda s: t + step / s))
-            return bind(place(state, step, angle), lambda on: F.struct(on["lon"].alias("lon"), on["lat"].alias("lat"), later.alias("t")))
+            return bind(geo.bearing(state["lon"], state["lat"], lon2, lat2), go)
 
-        return bind(geo.bearing(state["lon"], state["lat"], lon2, lat2), go)
+        began = F.struct(lon.alias("lon"), lat.alias("lat"), start.cast("double").alias("t"))
+        ended = F.aggregate(F.sequence(F.lit(1), F.lit(substeps)), began, advance, lambda state: state["t"])
+        return F.when(step <= 0, F.lit(0.0)).otherwise(F.coalesce(ended - start, F.lit(float("inf"))))
 
-    began = F.struct(lon.alias("lon"), lat.alias("lat"), start.cast("double").alias("t"))
-    ended = F.aggregate(F.sequence(F.lit(1), F.lit(substeps)), began, advance)
-    return F.when(step <= 0, F.lit(0.0)).otherwise(F.coalesce(ended["t"] - start, stuck))
+    return bind(geo.haversine(lon, lat, lon2, lat2) / substeps, over)
 
 
 def throttle(lon: Column, lat: Column, lon2: Column, lat2: Column, seconds: Column, start: Column, ship: Ship, wind, substeps: int, halvings: int = 12) -> Column:
     """The motor load that makes a leg take ``seconds``, by bisection; the nearest one possible otherwise."""
     takes = lambda load: travel_time(lon, lat, lon2, lat2, load, start, ship, wind, substeps)
+    stuck = float("inf")
 
-    def solve(bounds: Column) -> Column:
-        least = F.when(bounds["idle"] == float("inf"), F.lit(0.1)).otherwise(F.lit(0.0))
-        slow = F.when(bounds["idle"] == float("inf"), bounds["crawl"]).otherwise(bounds["idle"])
+    def halve(s: Column, _: Column) -> Column:
+        def narrow(mid: Column) -> Column:
+            pick = lambda late: F.struct(F.when(late, mid).otherwise(s["lo"]).alias("lo"), F.when(late, s["hi"]).otherwise(mid).alias("hi"))
+            return bind(takes(mid) > seconds, pick)
 
-        def halve(s: Column, _: Column) -> Column:
-            mid = (s["lo"] + s["hi"]) / 2
-            late = takes(mid) > seconds
-            return F.struct(F.when(late, mid).otherwise(s["lo"]).alias("lo"), F.when(late, s["hi"]).otherwise(mid).alias("hi"))
+        return bind((s["lo"] + s["hi"]) / 2, narrow)
 
-        got = F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), F.struct(least.alias("lo"), F.lit(1.0).alias("hi")), halve)
-        return F.when(seconds <= bounds["full"], F.lit(1.0)).when(seconds >= slow, least).otherwise((got["lo"] + got["hi"]) / 2)
+    def solve(b: Column) -> Column:
+        middle = F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), F.struct(b["least"].alias("lo"), F.lit(1.0).alias("hi")), halve, lambda g: (g["lo"] + g["hi"]) / 2)
+        return F.when(seconds >= b["slow"], b["least"]).otherwise(middle)
 
-    crawl = F.when(takes(F.lit(0.0)) == float("inf"), takes(F.lit(0.1))).otherwise(F.lit(0.0))
-    bounds = F.struct(takes(F.lit(1.0)).alias("full"), takes(F.lit(0.0)).alias("idle"), crawl.alias("crawl"))
-    return F.when(geo.haversine(lon, lat, lon2, lat2) <= 0, F.lit(0.0)).otherwise(bind(bounds, solve))
+    def slowest(idle: Column) -> Column:
+        return F.when(idle == stuck, F.struct(F.lit(0.1).alias("least"), takes(F.lit(0.1)).alias("slow"))).otherwise(F.struct(F.lit(0.0).alias("least"), idle.alias("slow")))
+
+    found = F.when(seconds <= takes(F.lit(1.0)), F.lit(1.0)).otherwise(bind(bind(takes(F.lit(0.0)), slowest), solve))
+    return F.when(geo.haversine(lon, lat, lon2, lat2) <= 0, F.lit(0.0)).otherwise(found)
 
 
 def land_metres(lon: Column, lat: Column, lon2: Column, lat2: Column, is_land, substeps: int) -> Column:
     """Metres of a leg over land, judged at the middle of equal substeps; infinite across a pole."""
-    step = geo.haversine(lon, lat, lon2, lat2) / substeps
 
-    def advance(state: Column, _: Column) -> Column:
-        here = (state["lon"], state["lat"])
+    def over(step: Column) -> Column:
+        def advance(state: Column, _: Column) -> Column:
+            here = (state["lon"], state["lat"])
+
+            def go(angle: Column) -> Column:
+                mid, on = geo.destination(*here, step / 2, angle), geo.destination(*here, step, angle)
+                return F.struct(on[0].alias("lon"), on[1].alias("lat"), (state["m"] + F.when(is_land(*mid), step).otherwise(F.when(mid[1].isNotNull(), F.lit(0.0)))).alias("m"))
 
-        def go(angle: Column) -> Column:
-            mid, on = geo.destination(*here, step / 2, angle), geo.destination(*here, step, angle)
-            return F.struct(on[0].alias("lon"), on[1].alias("lat"), (state["m"] + F.when(is_land(*mid), step).otherwise(F.when(mid[1].isNotNull(), F.lit(0.0)))).alias("m"))
+            return bind(geo.bearing(*here, lon2, lat2), go)
 
-        return bind(geo.bearing(*here, lon2, lat2), go)
+        began = F.struct(lon.alias("lon"), lat.alias("lat"), F.lit(0.0).alias("m"))
+        ended = F.aggregate(F.sequence(F.lit(1), F.lit(substeps)), began, advance, lambda state: state["m"])
+        return F.when(step <= 0, F.lit(0.0)).otherwise(F.coalesce(ended, F.lit(float("inf"))))
 
-    began = F.struct(lon.alias("lon"), lat.alias("lat"), F.lit(0.0).alias("m"))
-    ended = F.aggregate(F.sequence(F.lit(1), F.lit(substeps)), began, advance)
-    return F.when(step <= 0, F.lit(0.0)).otherwise(F.coalesce(ended["m"], F.lit(float("inf"))))
+    return bind(geo.haversine(lon, lat, lon2, lat2) / substeps, over)
 
 
 def segment_metrics(legs: DataFrame, ship: Ship) -> DataFrame:

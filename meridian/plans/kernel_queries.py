@@ -12,6 +12,7 @@ from meridian.operators import searches, study
 from meridian.plans.voyage_queries import r
 from meridian.session import table
 
+TINY = Settings(waypoints=5, particles=6, iterations=2, time_particles=4, time_iterations=2)
 SMALL = Settings(waypoints=6, particles=8, iterations=4, time_particles=6, time_iterations=3)
 
 
@@ -40,16 +41,16 @@ def search_voyages(spark, sf_dir):
 
 def search_topologies(spark, sf_dir):
     each = F.explode(F.array(*[F.lit(t) for t in ("gbest", "niched", "ring", "von_neumann")]))
-    jobs = _jobs(spark, sf_dir).filter("run < 4").withColumn("topology", each).withColumn("run", F.xxhash64("run", "topology"))
-    return searches.searched(jobs, Ship(), WIND, LAND, SMALL).filter("k = 0").select("run", "fitness", "error")
+    jobs = _jobs(spark, sf_dir).withColumn("topology", each).withColumn("run", F.xxhash64("run", "topology"))
+    return searches.searched(jobs, Ship(), WIND, LAND, TINY).filter("k = 0").select("run", "fitness", "error")
 
 
 def search_evolution(spark, sf_dir):
-    return searches.evolutions(_jobs(spark, sf_dir).filter("run < 3"), Ship(), WIND, LAND, SMALL)
+    return searches.evolutions(_jobs(spark, sf_dir), Ship(), WIND, LAND, TINY)
 
 
 def reoptimized_times(spark, sf_dir):
-    jobs = _jobs(spark, sf_dir).filter("run < 5")
+    jobs = _jobs(spark, sf_dir)
     lines = jobs.select("run", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"), "lon1", "lat1", "lon2", "lat2")
     points = lines.select("run", "k", (F.col("lon1") + (F.col("lon2") - F.col("lon1")) * F.col("k") / 5).alias("lon"), (F.col("lat1") + (F.col("lat2") - F.col("lat1")) * F.col("k") / 5).alias("lat"), F.lit(0.0).alias("seconds"))
     new = searches.retimed(points, jobs, Ship(), WIND, LAND, SMALL)
@@ -58,7 +59,7 @@ def reoptimized_times(spark, sf_dir):
 
 def _bar_jobs(spark, sf_dir):
     n = F.col("n_nationkey")
-    jobs = table(spark, sf_dir, "nation").filter("n_nationkey < 9").select(n.cast("long").alias("run"), (F.lit(-12.0) - n % 4).alias("lon1"), (n % 5 - 2.0).alias("lat1"), (F.lit(12.0) + n % 3).alias("lon2"), (n % 4 - 1.0).alias("lat2"), F.lit(-25.0).alias("lon_min"), F.lit(25.0).alias("lon_max"), F.lit(-20.0).alias("lat_min"), F.lit(20.0).alias("lat_max"))
+    jobs = table(spark, sf_dir, "nation").select(n.cast("long").alias("run"), (F.lit(-12.0) - n % 4).alias("lon1"), (n % 5 - 2.0).alias("lat1"), (F.lit(12.0) + n % 3).alias("lon2"), (n % 4 - 1.0).alias("lat2"), F.lit(-25.0).alias("lon_min"), F.lit(25.0).alias("lon_max"), F.lit(-20.0).alias("lat_min"), F.lit(20.0).alias("lat_max"))
     return jobs.withColumn("bias", F.element_at(F.array(F.lit(None).cast("string"), F.lit("north"), F.lit("south")), (F.col("run") % 3 + 1).cast("int")))
 
 
@@ -67,16 +68,16 @@ def sea_paths(spark, sf_dir):
 
 
 def benchmark_routes(spark, sf_dir):
-    return searches.benchmarked(_bar_jobs(spark, sf_dir).drop("bias").filter("run < 4"), Ship(), WIND, _bar(), SMALL)
+    return searches.benchmarked(_bar_jobs(spark, sf_dir).drop("bias"), Ship(), WIND, _bar(), SMALL)
 
 
 def trial_search(spark, sf_dir):
-    """A study of two trials on two routes with two seeds, and its statistics."""
-    jobs = _jobs(spark, sf_dir).filter("run < 2").drop("seed").withColumnRenamed("run", "route")
+    """A study of two trials on every route with two seeds, and its statistics."""
+    jobs = _jobs(spark, sf_dir).drop("seed").withColumnRenamed("run", "route")
     trials = spark.createDataFrame([(0, 0.33, 2.0), (1, 0.2, 1.6)], "trial int, inertia double, cognitive double")
     work = study.planned(jobs, spark.range(2).withColumnRenamed("id", "seed"), trials)
     work = work.withColumn("run", F.xxhash64("trial", "route", "seed"))
-    found = searches.searched(work, Ship(), WIND, LAND, SMALL).filter("k <= 0").select("run", "fitness")
+    found = searches.searched(work, Ship(), WIND, LAND, TINY).filter("k <= 0").select("run", "fitness")
     out = study.by_route(work.select("run", "trial", F.col("route").cast("string"), "seed").join(found, "run"))
     return out.select("trial", "route", "seeds", r("mean", 3).alias("mean"), r("deviation", 3).alias("deviation"))
 

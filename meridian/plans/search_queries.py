@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from meridian.functions import geo
@@ -61,11 +62,11 @@ GRADIENT = f"WITH {_GRAD} SELECT i, j, {rnd('CASE WHEN sqrt(dx * dx + dy * dy) >
 
 
 def bilinear_sdf(spark, sf_dir):
-    p = wind_observations(spark, sf_dir).filter("id % 4 = 3").select("id", "lon", "lat")
+    p = wind_observations(spark, sf_dir).select("id", "lon", "lat")
     return land.looked_up(p, _sdf(spark), "sdf", CELL).select("id", r("sdf", 1).alias("sdf"))
 
 
-BILINEAR = f"""WITH {OBSERVATIONS_SQL}, {_SDF}, p AS (SELECT id, {mod('lon + 180', '360.0::DOUBLE')} / 4 - 0.5::DOUBLE AS x, least(greatest((lat + 90) / 4 - 0.5::DOUBLE, 0.0::DOUBLE), 44.0::DOUBLE) AS y FROM obs WHERE id % 4 = 3),
+BILINEAR = f"""WITH {OBSERVATIONS_SQL}, {_SDF}, p AS (SELECT id, {mod('lon + 180', '360.0::DOUBLE')} / 4 - 0.5::DOUBLE AS x, least(greatest((lat + 90) / 4 - 0.5::DOUBLE, 0.0::DOUBLE), 44.0::DOUBLE) AS y FROM obs),
 c AS (SELECT id, CAST({mod('floor(x) + di', 90)} AS INTEGER) AS i, CAST(least(floor(y) + dj, 44) AS INTEGER) AS j, abs(1 - di - (x - floor(x))) * abs(1 - dj - (y - floor(y))) AS w FROM p, range(2) a(di), range(2) b(dj))
 SELECT id, {rnd('sum(w * sdf)', 1)} AS sdf FROM c JOIN sd USING (i, j) GROUP BY id"""
 
@@ -87,14 +88,12 @@ POLYGON_BOXES = f"WITH {_mask_sql(CELL)} SELECT poly, min(lon) AS lon_min, max(l
 
 
 def _swarm(spark, sf_dir):
-    """Whole runs of 30 particles."""
+    """Runs of 30 particles; the last may have fewer."""
     o = wind_observations(spark, sf_dir)
-    rows = o.select(F.floor(F.col("id") / 30).alias("run"), (F.col("id") % 30).alias("particle"), (-F.round("speed", 1)).alias("fit"), "lat")
-    whole = rows.groupBy("run").agg(F.count("*").alias("n")).filter("n = 30").select("run")
-    return rows.join(whole, "run", "left_semi")
+    return o.select(F.floor(F.col("id") / 30).alias("run"), (F.col("id") % 30).alias("particle"), (-F.round("speed", 1)).alias("fit"), "lat")
 
 
-_SWARM = f"WITH {OBSERVATIONS_SQL}, s0 AS (SELECT id // 30 AS run, id % 30 AS particle, -round(speed, 1) AS fit, lat FROM obs), sw AS (SELECT * FROM s0 WHERE run IN (SELECT run FROM s0 GROUP BY run HAVING count(*) = 30))"
+_SWARM = f"WITH {OBSERVATIONS_SQL}, sw AS (SELECT *, count(*) OVER (PARTITION BY run) AS n FROM (SELECT id // 30 AS run, id % 30 AS particle, -round(speed, 1) AS fit, lat FROM obs))"
 
 
 def gbest_per_iter(spark, sf_dir):
@@ -115,15 +114,17 @@ def ring_best(spark, sf_dir):
     return swarm.ring_best(_swarm(spark, sf_dir))
 
 
-RING = f"{_SWARM} SELECT a.run, a.particle, arg_max(b.particle, (b.fit, b.particle)) AS social, max(b.fit) AS social_fit FROM sw a JOIN sw b ON a.run = b.run AND b.particle IN ((a.particle + 1) % 30, (a.particle + 29) % 30) GROUP BY a.run, a.particle"
+RING = f"{_SWARM} SELECT a.run, a.particle, arg_max(b.particle, (b.fit, b.particle)) AS social, max(b.fit) AS social_fit FROM sw a JOIN sw b ON a.run = b.run AND b.particle IN ((a.particle + 1) % a.n, (a.particle + a.n - 1) % a.n) GROUP BY a.run, a.particle"
 
 
 def torus_best(spark, sf_dir):
-    return swarm.torus_best(_swarm(spark, sf_dir), 30)
+    rows = _swarm(spark, sf_dir).withColumn("n", F.count("*").over(Window.partitionBy("run")))
+    return swarm.torus_best(rows.filter("n = 30"), 30).unionByName(swarm.ring_best(rows.filter("n != 30")))
 
 
 TORUS = f"""{_SWARM} SELECT a.run, a.particle, arg_max(b.particle, (b.fit, b.particle)) AS social, max(b.fit) AS social_fit FROM sw a JOIN sw b ON a.run = b.run
-  AND b.particle IN ((a.particle + 6) % 30, (a.particle + 24) % 30, a.particle // 6 * 6 + (a.particle % 6 + 1) % 6, a.particle // 6 * 6 + (a.particle % 6 + 5) % 6) GROUP BY a.run, a.particle"""
+  AND CASE WHEN a.n = 30 THEN b.particle IN ((a.particle + 6) % 30, (a.particle + 24) % 30, a.particle // 6 * 6 + (a.particle % 6 + 1) % 6, a.particle // 6 * 6 + (a.particle % 6 + 5) % 6)
+    ELSE b.particle IN ((a.particle + 1) % a.n, (a.particle + a.n - 1) % a.n) END GROUP BY a.run, a.particle"""
 
 
 def swarm_spread(spark, sf_dir):

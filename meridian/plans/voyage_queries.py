@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meridian.functions import geo, ship as physics, text
 from meridian.operators import voyages as ops
 from meridian.plans.sqltext import MPD, brg, delta, dest, hav, mod, rnd, tangent, wrap
+from meridian.session import spread
 from meridian.sources.observations import OBSERVATIONS_SQL, VOYAGES_SQL, voyages, wind_observations
 
 SHIP = physics.Ship()
@@ -58,11 +59,12 @@ SELECT voyage, CAST(i AS INTEGER) AS i, {rnd('lon', 5)} AS lon, {rnd('lat', 5)}
 
 
 def unwrapped_voyage_bbox(spark, sf_dir):
-    first = voyages(spark, sf_dir).filter("k < 12")  # a course of a dozen waypoints, so that boxes are not all the circle
-    return ops.unwrapped_box(first).select("voyage", *[r(c, 6).alias(c) for c in ("lon_min", "lon_max", "lat_min", "lat_max")])
+    # courses of a dozen waypoints, or most boxes would be the whole circle
+    parts = voyages(spark, sf_dir).withColumn("voyage", F.col("voyage") * 100_000 + F.floor(F.col("k") / 12))
+    return ops.unwrapped_box(parts).select("voyage", *[r(c, 6).alias(c) for c in ("lon_min", "lon_max", "lat_min", "lat_max")])
 
 
-UNWRAPPED_BBOX = f"""WITH {VOYAGES_SQL}, s AS (SELECT *, lag(lon) OVER (PARTITION BY voyage ORDER BY k) AS lon0 FROM voy WHERE k < 12),
+UNWRAPPED_BBOX = f"""WITH {VOYAGES_SQL}, s AS (SELECT *, lag(lon) OVER (PARTITION BY voyage ORDER BY k) AS lon0 FROM (SELECT * REPLACE (voyage * 100000 + k // 12 AS voyage) FROM voy)),
 u AS (SELECT *, sum(CASE WHEN lon0 IS NULL THEN lon ELSE {delta('lon0', 'lon')} END) OVER (PARTITION BY voyage ORDER BY k) AS far FROM s),
 b AS (SELECT voyage, min(far) AS w, max(far) AS e, min(lat) AS s, max(lat) AS n FROM u GROUP BY voyage),
 p AS (SELECT voyage, w - greatest((e - w) * 0.2, 3.0) AS w, e + greatest((e - w) * 0.2, 3.0) AS e, s - greatest((n - s) * 0.2, 3.0) AS s, n + greatest((n - s) * 0.2, 3.0) AS n FROM b)
@@ -175,11 +177,11 @@ def gap_wind(lon, lat, t):
 
 def short_legs(spark, sf_dir):
     """Legs of a few degrees that start at an observation, away from the antimeridian."""
-    o = wind_observations(spark, sf_dir).filter("id % 25 = 0").withColumn("lon", F.col("lon") / 2).withColumn("lat", F.col("lat") / 2)
+    o = spread(wind_observations(spark, sf_dir), "id").withColumn("lon", F.col("lon") / 2).withColumn("lat", F.col("lat") / 2)
     return o.withColumn("lon2", F.col("lon") + 1 + F.col("id") % 7).withColumn("lat2", F.col("lat") + F.col("id") % 5 - 2)
 
 
-_SHORT = f"WITH RECURSIVE {OBSERVATIONS_SQL}, sl AS (SELECT id, lon / 2 AS lon, lat / 2 AS lat, lon / 2 + 1 + id % 7 AS lon2, lat / 2 + id % 5 - 2 AS lat2 FROM obs WHERE id % 25 = 0)"
+_SHORT = f"WITH RECURSIVE {OBSERVATIONS_SQL}, sl AS (SELECT id, lon / 2 AS lon, lat / 2 AS lat, lon / 2 + 1 + id % 7 AS lon2, lat / 2 + id % 5 - 2 AS lat2 FROM obs)"
 
 
 def travel_time_gap(spark, sf_dir):

@@ -8,6 +8,7 @@ from meridian.functions import text, winds
 from meridian.operators import grids as ops
 from meridian.plans.sqltext import circ, mod, rnd
 from meridian.plans.voyage_queries import r
+from meridian.session import table
 from meridian.sources import archive
 from meridian.sources.observations import OBSERVATIONS_SQL, wind_observations
 
@@ -142,12 +143,15 @@ IDW_FOUR = f"WITH {OBSERVATIONS_SQL}, {FRAMES_SQL} SELECT id, {rnd('speed', 6)}
 
 
 def idw_knn4(spark, sf_dir):
-    o = wind_observations(spark, sf_dir)
-    out = ops.blended_nearest(o.filter("id % 37 = 1").select("id", "lon", "lat"), o.filter("id % 10 = 0"))
+    """Every customer asks for the wind where it is, by whole-number rules."""
+    c = F.col("c_custkey")
+    asked = table(spark, sf_dir, "customer").select(c.alias("id"), ((c * 6007 % 36000) / 100.0 - 179.995).alias("lon"), ((c * 50021 % 17000) / 100.0 - 84.995).alias("lat"))
+    out = ops.blended_nearest(asked, wind_observations(spark, sf_dir))
     return out.select("id", r("speed", 6).alias("speed"), r("direction", 4).alias("direction"))
 
 
-IDW_KNN = f"""WITH {OBSERVATIONS_SQL}, n AS (SELECT p.id, s.speed, s.direction, (p.lon - s.lon) * (p.lon - s.lon) + (p.lat - s.lat) * (p.lat - s.lat) AS d2 FROM obs p, obs s WHERE p.id % 37 = 1 AND s.id % 10 = 0
+IDW_KNN = f"""WITH {OBSERVATIONS_SQL}, cu AS (SELECT c_custkey AS id, ((c_custkey * 6007) % 36000) / 100.0::DOUBLE - 179.995::DOUBLE AS lon, ((c_custkey * 50021) % 17000) / 100.0::DOUBLE - 84.995::DOUBLE AS lat FROM customer),
+n AS (SELECT p.id, s.speed, s.direction, (p.lon - s.lon) * (p.lon - s.lon) + (p.lat - s.lat) * (p.lat - s.lat) AS d2 FROM cu p, obs s
   QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY d2, s.id) <= 4)
 SELECT id, {rnd('CASE WHEN min(d2) = 0 THEN max(speed) FILTER (d2 = 0) ELSE sum(speed / nullif(d2, 0)) / sum(1 / nullif(d2, 0)) END', 6)} AS speed,
   {rnd(f"CASE WHEN min(d2) = 0 THEN max(direction) FILTER (d2 = 0) ELSE {circ('sum(sin(radians(direction)) / nullif(d2, 0))', 'sum(cos(radians(direction)) / nullif(d2, 0))')} END", 4)} AS direction FROM n GROUP BY id"""
@@ -183,11 +187,10 @@ TIME_BRACKET = f"WITH {OBSERVATIONS_SQL}, {BRACKET_SQL} SELECT id, lo, hi, {rnd(
 
 
 def timed_wind_query(spark, sf_dir):
-    p = points(spark, sf_dir).filter("id % 5 = 2")
-    return ops.at_time(p, frames(spark), GRID).select("id", r("speed", 6).alias("speed"), r("direction", 4).alias("direction"))
+    return ops.at_time(points(spark, sf_dir), frames(spark), GRID).select("id", r("speed", 6).alias("speed"), r("direction", 4).alias("direction"))
 
 
-TIMED = f"""WITH {OBSERVATIONS_SQL}, {FRAMES_SQL}, {BRACKET_SQL}, q AS (SELECT * FROM br WHERE id % 5 = 2), a AS (SELECT * FROM {_idw('q', 'lo')}), b AS (SELECT * FROM {_idw('q', 'hi')})
+TIMED = f"""WITH {OBSERVATIONS_SQL}, {FRAMES_SQL}, {BRACKET_SQL}, q AS (SELECT * FROM br), a AS (SELECT * FROM {_idw('q', 'lo')}), b AS (SELECT * FROM {_idw('q', 'hi')})
 SELECT q.id, {rnd('CASE WHEN alpha = 0 THEN a.speed ELSE a.speed * (1 - alpha) + b.speed * alpha END', 6)} AS speed,
   {rnd(f"CASE WHEN alpha = 0 THEN a.direction ELSE {circ('sin(radians(a.direction)) * (1 - alpha) + sin(radians(b.direction)) * alpha', 'cos(radians(a.direction)) * (1 - alpha) + cos(radians(b.direction)) * alpha')} END", 4)} AS direction
 FROM q JOIN a ON a.id = q.id JOIN b ON b.id = q.id"""
@@ -294,7 +297,7 @@ FROM (SELECT k, 1704070800 + k * 18000 AS valid, ((1704070800 + k * 18000) % 864
 
 def time_codes(spark, sf_dir):
     """Reference times, forecast offsets and day-hour texts."""
-    o = wind_observations(spark, sf_dir).filter("id < 2000")
+    o = wind_observations(spark, sf_dir)
     i = F.col("id")
     ref = text.reference_seconds((i * 7 % 60 + 1960).cast("int"), (i % 14).cast("int"), (i * 3 % 33).cast("int"), (i % 26).cast("int"), (i % 60).cast("int"), (i % 61).cast("int"))
     ahead = text.forecast_seconds((i % 15).cast("int"), (i % 9).cast("long"))
@@ -304,7 +307,7 @@ def time_codes(spark, sf_dir):
 
 
 TIME_CODES = f"""WITH {OBSERVATIONS_SQL}, x AS (SELECT id, printf('%04d-%02d-%02d', (id * 7) % 60 + 1960, id % 14, (id * 3) % 33) AS d, id % 26 AS h, id % 60 AS mi, id % 61 AS s,
-  printf('%04d%02d%02d', id % 90 + 1970, id % 14, (id * 5) % 33) || CASE WHEN id % 3 = 0 THEN printf('%02d', id % 27) WHEN id % 7 = 0 THEN '1' ELSE '' END AS st FROM obs WHERE id < 2000),
+  printf('%04d%02d%02d', id % 90 + 1970, id % 14, (id * 5) % 33) || CASE WHEN id % 3 = 0 THEN printf('%02d', id % 27) WHEN id % 7 = 0 THEN '1' ELSE '' END AS st FROM obs),
 y AS (SELECT *, try_cast(d AS DATE) AS ref, try_cast(st[1:4] || '-' || st[5:6] || '-' || st[7:8] AS DATE) AS sd, CASE WHEN len(st) = 10 THEN CAST(st[9:10] AS INTEGER) ELSE 0 END AS sh FROM x),
 z AS (SELECT *, CASE WHEN len(st) NOT IN (8, 10) THEN 'length' WHEN sd IS NULL THEN 'date' WHEN sh > 23 THEN 'hour' END AS error FROM y)
 SELECT id, CASE WHEN h <= 23 AND s <= 59 THEN CAST(date_diff('day', DATE '1970-01-01', ref) AS BIGINT) * 86400 + h * 3600 + mi * 60 + s END AS reference,

@@ -28,3 +28,10 @@ def local_session(cores: int | str = 8, app: str = "meridian", **conf: str) -> S
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables; works for any path Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt over all cores by a key: for rows whose work far outweighs their bytes, which small files would
+    leave to a single task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, key)
