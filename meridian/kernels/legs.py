@@ -10,69 +10,88 @@ from meridian.functions.ship import Ship
 from meridian.kernels import sphere
 
 
-def _sail(ship: Ship, angle, u, v):
+def _speed(ship: Ship, sin, cos, u, v, load):
+    """Speed on a bearing (its sine and cosine) in a wind with the motor at a load."""
     wind = np.hypot(u, v)
-    across = np.abs(np.sin(angle) * v - np.cos(angle) * u) / np.where(wind == 0, 1.0, wind)
-    return np.where(wind == 0, 0.0, ship.polar_c * (1 + across**ship.polar_power) / 2 * wind)
+    across = np.abs(sin * v - cos * u) / np.where(wind == 0, 1.0, wind)
+    if ship.polar_power != 1:
+        across = across**ship.polar_power
+    sail = ship.polar_c * (1 + across) / 2 * wind
+    return np.cbrt(sail * sail * sail + load * (ship.mcr_w / (0.5 * ship.drag)))
 
 
-def _speed(ship: Ship, angle, u, v, load):
-    return np.cbrt(_sail(ship, angle, u, v) ** 3 + load * ship.mcr_w / (0.5 * ship.drag))
+class Lines:
+    """Substeps of legs (arrays): places, middles and bearings, which no load or departure changes."""
+
+    def __init__(self, x1, y1, x2, y2, cap: float):
+        x, y, x2, y2 = (a.astype(float) for a in np.broadcast_arrays(x1, y1, x2, y2))
+        with np.errstate(all="ignore"):
+            self.total = sphere.haversine(x, y, x2, y2)
+            known = np.isfinite(self.total)
+            self.steps = np.where(known, np.maximum(np.ceil(self.total / cap), 1), 0).astype(int)
+            self.step = self.total / np.maximum(self.steps, 1)
+            self.lost = np.array(~known)
+            self.parts = []
+            for k in range(int(self.steps.max(initial=0))):
+                on = (k < self.steps) & (self.total > 0)
+                angle = sphere.bearing(x, y, x2, y2)
+                mx, my = sphere.destination(x, y, self.step / 2, angle)
+                nx, ny = sphere.destination(x, y, self.step, angle)
+                self.lost |= on & ~np.isfinite(nx)
+                self.parts.append((on, x, y, np.sin(angle), np.cos(angle), mx, my))
+                x, y = np.where(on, nx, x), np.where(on, ny, y)
+
+    def seconds(self, ship: Ship, wind, start, load):
+        """Travel times by the midpoint rule for departures and loads of any shape that fits the legs'."""
+        start, load = np.asarray(start, float), np.asarray(load, float)
+        shape = np.broadcast_shapes(self.total.shape, start.shape, load.shape)
+        t, bad = np.broadcast_to(start, shape).copy(), np.broadcast_to(self.lost, shape).copy()
+        with np.errstate(all="ignore"):
+            for on, x, y, sin, cos, mx, my in self.parts:
+                first = _speed(ship, sin, cos, *wind.sample(x, y, t), load)
+                second = _speed(ship, sin, cos, *wind.sample(mx, my, t + 0.5 * self.step / first), load)
+                bad |= on & ~((first > 0) & (second > 0))
+                t = np.where(on, t + self.step / second, t)
+            took = np.where(self.total <= 0, 0.0, t - start)
+            return np.where(bad | np.isnan(took), np.inf, took)
+
+    def slowest(self, ship: Ship, wind, start):
+        """(load, seconds) without motor, or at a tenth of its power where the wind alone does not do."""
+        idle = self.seconds(ship, wind, start, 0.0)
+        stuck = np.isinf(idle)
+        if not stuck.any():
+            return np.zeros(idle.shape), idle
+        return np.where(stuck, 0.1, 0.0), np.where(stuck, self.seconds(ship, wind, start, 0.1), idle)
 
 
 def travel_time(ship: Ship, wind, x1, y1, x2, y2, start, load, cap: float):
-    """Seconds of legs (arrays) by the midpoint rule in substeps of at most cap metres; infinite where it fails."""
-    x1, y1, x2, y2, start, load = np.broadcast_arrays(*(np.asarray(a, float) for a in (x1, y1, x2, y2, start, load)))
-    with np.errstate(all="ignore"):
-        total = sphere.haversine(x1, y1, x2, y2)
-        steps = np.where(np.isfinite(total), np.maximum(np.ceil(total / cap), 1), 0).astype(int)
-        step = total / np.maximum(steps, 1)
-        x, y, t = x1.copy(), y1.copy(), start.copy()
-        bad = np.array(~np.isfinite(total))
-        for k in range(int(steps.max(initial=0))):
-            on = (k < steps) & ~bad & (total > 0)
-            if not on.any():
-                break
-            a, b, s, now, full = x[on], y[on], step[on], t[on], load[on]
-            angle = sphere.bearing(a, b, x2[on], y2[on])
-            first = _speed(ship, angle, *wind.sample(a, b, now), full)
-            mx, my = sphere.destination(a, b, s / 2, angle)
-            second = _speed(ship, angle, *wind.sample(mx, my, now + 0.5 * s / first), full)
-            nx, ny = sphere.destination(a, b, s, angle)
-            fail = ~((first > 0) & (second > 0) & np.isfinite(nx))
-            x[on], y[on], t[on] = np.where(fail, a, nx), np.where(fail, b, ny), np.where(fail, now, now + s / second)
-            bad[on] |= fail
-        took = np.where(total <= 0, 0.0, t - start)
-        return np.where(bad | np.isnan(took), np.inf, took)
-
-
-def slowest(ship: Ship, wind, *leg, cap: float):
-    """(load, seconds) without motor, or at a tenth of its power where the wind alone does not do."""
-    idle = travel_time(ship, wind, *leg, 0.0, cap)
-    stuck = np.isinf(idle)
-    if not stuck.any():
-        return np.zeros(idle.shape), idle
-    return np.where(stuck, 0.1, 0.0), np.where(stuck, travel_time(ship, wind, *leg, 0.1, cap), idle)
-
-
-def time_range(ship: Ship, wind, *leg, cap: float):
+    """Seconds of legs in substeps of at most cap metres; infinite where the ship cannot go on."""
+    return Lines(x1, y1, x2, y2, cap).seconds(ship, wind, start, load)
+
+
+def slowest(ship: Ship, wind, x1, y1, x2, y2, start, cap: float):
+    return Lines(x1, y1, x2, y2, cap).slowest(ship, wind, start)
+
+
+def time_range(ship: Ship, wind, x1, y1, x2, y2, start, cap: float):
     """(least, most) seconds of legs."""
-    fast, (_, slow) = travel_time(ship, wind, *leg, 1.0, cap), slowest(ship, wind, *leg, cap=cap)
+    lines = Lines(x1, y1, x2, y2, cap)
+    fast, (_, slow) = lines.seconds(ship, wind, start, 1.0), lines.slowest(ship, wind, start)
     return np.minimum(fast, slow), np.maximum(fast, slow)
 
 
 def solve_load(ship: Ship, wind, x1, y1, x2, y2, start, seconds, cap: float, halvings: int = 12):
     """The constant load at which each leg takes its seconds, or the nearest possible."""
-    leg = (x1, y1, x2, y2, start)
-    fast = travel_time(ship, wind, *leg, 1.0, cap)
-    least, slow = slowest(ship, wind, *leg, cap=cap)
+    lines = Lines(x1, y1, x2, y2, cap)
+    fast = lines.seconds(ship, wind, start, 1.0)
+    least, slow = lines.slowest(ship, wind, start)
     lo, hi = least.copy(), np.ones(least.shape)
     for _ in range(halvings):
         mid = (lo + hi) / 2
-        late = travel_time(ship, wind, *leg, mid, cap) > seconds
+        late = lines.seconds(ship, wind, start, mid) > seconds
         lo, hi = np.where(late, mid, lo), np.where(late, hi, mid)
     found = np.where(seconds <= fast, 1.0, np.where(seconds >= slow, least, (lo + hi) / 2))
-    return np.where(sphere.haversine(x1, y1, x2, y2) <= 0, 0.0, found)
+    return np.where(lines.total <= 0, 0.0, found)
 
 
 def fuel_used(ship: Ship, load, seconds):
@@ -128,44 +147,59 @@ class Tables:
             span = np.nan_to_num(np.maximum(hi - lo, 0.0), posinf=0.0, nan=0.0)
             a, b = np.where(np.isfinite(lo), lo, departure) - pad * span, np.where(np.isfinite(hi), hi, departure) + pad * span
             leave = a[:, None] + (b - a)[:, None] * (np.arange(buckets) / (buckets - 1))
-            ends = [c[:, None] for c in (x[:, s], y[:, s], x[:, s + 1], y[:, s + 1])]
-            idle = travel_time(ship, wind, *ends, leave, 0.0, cap)
-            weak = np.where(np.isinf(idle).any(axis=1), 0.1, 0.0)  # one load range for all departures
-            load = weak[:, None, None] + part * (1 - weak[:, None, None])
-            took = travel_time(ship, wind, *(e[:, :, None] for e in ends), leave[:, :, None], np.broadcast_to(load, (paths, buckets, loads)), cap)
+            lines = Lines(*(c[:, None, None] for c in (x[:, s], y[:, s], x[:, s + 1], y[:, s + 1])), cap)
+            took = lines.seconds(ship, wind, leave[:, :, None], part)
+            weak = np.where(np.isinf(took[:, :, 0]).any(axis=1), 0.1, 0.0)  # one load range for all departures
+            if weak.any():
+                took = lines.seconds(ship, wind, leave[:, :, None], weak[:, None, None] + part * (1 - weak[:, None, None]))
             first[:, s], last[:, s], least[:, s], times[:, s] = a, b, weak, took
             lo, hi = a + took[:, :, -1].min(axis=1), b + took[:, :, 0].max(axis=1)
         return cls(first, last, least, times)
 
     def _rows(self, s: int, leave):
-        """Times by load of segment s at departures [path, ...], straight between the tabled ones."""
+        """Times [load, path, ...] of segment s at departures [path, ...], straight between the tabled ones."""
         buckets = self.times.shape[2]
         shape = (-1,) + (1,) * (leave.ndim - 1)
         a, b = self.first[:, s].reshape(shape), self.last[:, s].reshape(shape)
-        with np.errstate(all="ignore"):
-            at = np.clip(np.nan_to_num((leave - a) / np.where(b > a, b - a, 1.0) * (buckets - 1)), 0, buckets - 1)
-            k = np.minimum(np.floor(at).astype(int), buckets - 2)
-            f = np.where(b > a, at - k, 0.0)[..., None]
-            path = np.arange(len(self.first)).reshape(shape)
-            low, high = self.times[path, s, k], self.times[path, s, k + 1]
-            return np.where(f == 0, low, low * (1 - f) + high * f)
+        scale = np.where(b > a, (buckets - 1) / np.where(b > a, b - a, 1.0), 0.0)
+        at = np.clip(np.nan_to_num((leave - a) * scale), 0, buckets - 1)
+        k = np.minimum(at.astype(np.intp), buckets - 2)
+        f = at - k
+        table = np.ascontiguousarray(self.times[:, s].reshape(-1, self.times.shape[3]).T)
+        where = k + np.arange(len(self.first)).reshape(shape) * buckets
+        low, high = table.take(where, axis=1), table.take(where + 1, axis=1)
+        if np.isfinite(self.times[:, s]).all():
+            return low + (high - low) * f
+        return np.where(f == 0, low, low * (1 - f) + high * f)
+
+    def _range(self, rows):
+        low, high = rows.min(axis=0), rows.max(axis=0)
+        odd = np.isnan(low) | np.isnan(high)
+        return (np.where(odd, np.inf, low), np.where(odd, np.inf, high)) if odd.any() else (low, high)
 
     def range(self, s: int, leave):
         """(least, most) seconds of segment s."""
-        rows = self._rows(s, leave)
-        low, high = rows.min(axis=-1), rows.max(axis=-1)
-        odd = np.isnan(low) | np.isnan(high)
-        return np.where(odd, np.inf, low), np.where(odd, np.inf, high)
+        with np.errstate(all="ignore"):
+            return self._range(self._rows(s, leave))
+
+    def _load(self, s: int, rows, seconds):
+        n = len(rows)
+        least = self.least[:, s].reshape((-1,) + (1,) * (seconds.ndim - 1))
+        quick = rows[1:] <= seconds
+        k = np.where(quick[-1] | quick.any(axis=0), quick.argmax(axis=0), n - 2)
+        slow, fast = (np.take_along_axis(rows, i[None], 0)[0] for i in (k, k + 1))
+        f = np.where(slow - fast > 0, (slow - seconds) / (slow - fast), 0.0)
+        mixed = least + (k + f) / (n - 1) * (1 - least)
+        return np.where(seconds >= rows[0], least, np.where(seconds <= rows[-1], 1.0, mixed))
 
     def load(self, s: int, leave, seconds):
         """The load at which segment s takes its seconds, straight between the tabled loads."""
-        rows = self._rows(s, leave)
-        n = rows.shape[-1]
-        least = np.broadcast_to(self.least[:, s].reshape((-1,) + (1,) * (leave.ndim - 1)), leave.shape)
         with np.errstate(all="ignore"):
-            quick = rows[..., 1:] <= seconds[..., None]
-            k = np.where(quick.any(axis=-1), quick.argmax(axis=-1), n - 2)
-            slow, fast = (np.take_along_axis(rows, i[..., None], -1)[..., 0] for i in (k, k + 1))
-            f = np.where(slow - fast > 0, (slow - seconds) / (slow - fast), 0.0)
-            mixed = least + (k + f) / (n - 1) * (1 - least)
-            return np.where(seconds >= rows[..., 0], least, np.where(seconds <= rows[..., -1], 1.0, mixed))
+            return self._load(s, self._rows(s, leave), seconds)
+
+    def settle(self, s: int, leave, seconds):
+        """(seconds kept in what segment s can take, the load for them)."""
+        rows = self._rows(s, leave)
+        low, high = self._range(rows)
+        kept = np.minimum(np.maximum(seconds, low), high)
+        return kept, self._load(s, rows, kept)

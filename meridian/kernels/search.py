@@ -116,23 +116,18 @@ def best_times(problem: Problem, x, y, outer, rng: np.random.Generator, iteratio
     m = s.time_particles
     still = sphere.haversine(*problem.segments(x, y)) <= 0
 
-    def within(t):
-        leave, out = np.full((paths, m), s.departure), np.empty_like(t)
+    def settled(t):
+        """Times kept within what each segment can take, and their fitness."""
+        leave, out, cost = np.full((paths, m), s.departure), np.empty_like(t), np.zeros((paths, m))
         for k in range(n - 1):
-            low, high = tables.range(k, leave)
-            out[:, :, k] = np.minimum(np.maximum(t[:, :, k], low), high)
-            leave = leave + out[:, :, k]
-        return out
-
-    def score(t):
-        leave, cost = np.full((paths, m), s.departure), np.zeros((paths, m))
-        for k in range(n - 1):
-            load = np.where(still[:, k, None], 0.0, tables.load(k, leave, t[:, :, k]))
-            cost += t[:, :, k] * s.time_weight + legs.fuel_used(problem.ship, load, t[:, :, k]) * s.fuel_weight
-            leave = leave + t[:, :, k]
-        return np.where(np.isnan(cost), -np.inf, -cost)
-
-    with np.errstate(invalid="ignore", over="ignore"):
+            kept, load = tables.settle(k, leave, t[:, :, k])
+            load = np.where(still[:, k, None], 0.0, load)
+            cost += kept * s.time_weight + legs.fuel_used(problem.ship, load, kept) * s.fuel_weight
+            leave = leave + kept
+            out[:, :, k] = kept
+        return out, np.where(np.isnan(cost), -np.inf, -cost)
+
+    with np.errstate(all="ignore"):
         pos, leave = np.empty((paths, m, n - 1)), np.full((paths, m), s.departure)
         for k in range(n - 1):
             low, high = tables.range(k, leave)
@@ -140,14 +135,13 @@ def best_times(problem: Problem, x, y, outer, rng: np.random.Generator, iteratio
             leave = leave + pos[:, :, k]
         scale = np.where(outer[:, None, 1:] > 0, outer[:, None, 1:] * 0.1, 1.0)
         vel = (rng.random((paths, m, n - 1)) - 0.5) * 2 * np.where(np.isfinite(scale), scale, 1.0)
-        fit = score(pos)
+        pos, fit = settled(pos)
         own, own_fit = pos.copy(), fit.copy()
         for _ in range(iterations or s.time_iterations):
             top = own[np.arange(paths), own_fit.argmax(axis=1)][:, None]
             r1, r2 = rng.random((paths, m, 1)), rng.random((paths, m, 1))
             vel = np.nan_to_num(vel * s.inertia + (own - pos) * (s.cognitive * r1) + (top - pos) * (s.social * r2))
-            pos = within(pos + vel)
-            fit = score(pos)
+            pos, fit = settled(pos + vel)
             better = fit > own_fit
             own[better], own_fit[better] = pos[better], fit[better]
     top = own[np.arange(paths), own_fit.argmax(axis=1)]
