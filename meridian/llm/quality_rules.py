@@ -111,7 +111,7 @@ def measured(docs: DataFrame, common: list[str]) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     # inline() keeps the optimizer from repeating the split in each expression that uses its result
     split = docs.select("doc_id", "lang", text.alias("text"), F.inline(F.array(F.struct(words_of(F.col("text")).alias("words")))))
-    lines = F.filter(F.split(F.col("text"), "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
+    lines = F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     hits = F.filter("words", lambda w: w.isin(common)) if common else F.slice("words", 1, 0)
     classes = [F.length(F.regexp_replace("text", outside, "")).cast("long").alias(name) for name, outside in OUTSIDE.items()]
     return split.select(
