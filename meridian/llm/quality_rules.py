@@ -155,7 +155,9 @@ def references(figures: DataFrame, tops: list[tuple[str, str, int]], rules: Rule
         best = sorted(best, key=lambda x: (-x[0], x[1]))[: rules.common]
         shares = [c / words for c, _ in best] if words else []
         out.append((lang, [w for _, w in best], [*shares, max(0.0, 1.0 - sum(shares))], [c / max(1, sum(classes)) for c in classes]))
-    made = spark.createDataFrame(out, "ref_lang string, ref_words array<string>, ref_shares array<double>, ref_classes array<double>")
+    listed = lambda values, kind: F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
+    each = [F.struct(F.lit(a).alias("ref_lang"), listed(b, "string").alias("ref_words"), listed(c, "double").alias("ref_shares"), listed(d, "double").alias("ref_classes")) for a, b, c, d in out]
+    made = spark.range(1).select(F.inline(F.array(*each)))
     return F.broadcast(made) if len(out) <= MOST_BROADCAST else made
 
 
