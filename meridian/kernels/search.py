@@ -24,6 +24,7 @@ COURSES = (0.2, 0.4, 0.4)
 TOPOLOGIES = ("gbest", "niched", "ring", "von_neumann")
 
 
+# The default settings.
 @dataclass(frozen=True)
 class Settings:
     waypoints: int = 30
@@ -61,7 +62,7 @@ class Settings:
         return self
 
 
-#: The swarm that older published timings were taken with.
+# The swarm that older published timings were taken with.
 LEGACY = {"particles": 40, "iterations": 40, "inertia": 0.2, "cognitive": 1.6, "social": 0.85}
 
 

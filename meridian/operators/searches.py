@@ -151,7 +151,7 @@ def sea_paths(jobs: DataFrame, land: GridLand) -> DataFrame:
 
 
 # What a study varies, as (setting, least, most).
-RANGES = (("inertia", 0.0, 1.0), ("cognitive", 0.0, 3.0), ("social", 0.0, 3.0), ("kick_probability", 0.0, 0.5), ("kick_start", 0.0, 0.2), ("kick_ratio", 0.0, 1.0))
+RANGES = (("inertia", 0.0, 1.2), ("cognitive", 0.0, 4.0), ("social", 0.0, 4.0), ("kick_probability", 0.0, 0.5), ("kick_start", 0.0, 0.2), ("kick_ratio", 0.0, 1.0))
 
 
 def slots(tune: dict, pinned: dict) -> dict[str, float | tuple[float, float]]:

@@ -72,6 +72,7 @@ def journal(trials: DataFrame, path: str) -> None:
 
 # ---- scenarios
 
+# Sections and fields of a scenario.
 SECTIONS = {
     "run": {"map", "start", "end", "bounds", "waypoints", "time_weight", "fuel_weight", "land_weight"},
     "boat": {"mcr_kw", "k", "polar_c", "polar_sin_power", "fuel_a", "fuel_b", "fuel_c"},
