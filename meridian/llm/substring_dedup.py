@@ -213,7 +213,8 @@ def repeats(keyed: DataFrame, width: int = WIDTH) -> DataFrame:
             cols = [np.frombuffer(b"".join(r[i] for r in held), t) for i, t in ((1, np.int64), (2, np.int64), (3, np.int32))]
             return pa.RecordBatch.from_arrays([pa.array(a) for a in repeated([r[0] for r in held], *cols, width)], names)
 
-        for b in batches:
+        # a few rows at a time, or all blobs of a batch would be held twice
+        for b in (batch.slice(at, 128) for batch in batches for at in range(0, batch.num_rows, 128)):
             for bucket, *row in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True):
                 if row[0] is None:
                     cols = [np.frombuffer(x, t) for x, t in zip(row[1:], (np.int64, np.int64, np.int32, np.int32), strict=True)]
