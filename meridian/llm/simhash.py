@@ -35,6 +35,8 @@ MOST_IN_TRIE = 20_000
 #: Rows, and node pairs, that a task holds at once.
 BUFFER = 100_000
 FRONTIER = 100_000
+#: Up to these shares of all pairs, by a hash of the pair, candidates are checked in each round after the first.
+SHARES = (1 / 16, 1.0)
 
 
 # ---- fingerprints
@@ -137,9 +139,13 @@ def unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             parent = up
 
 
-def _local_links(rows: dict[str, np.ndarray], budget: int, most_apart: int | None) -> tuple[np.ndarray, np.ndarray]:
+def _local_links(rows: dict[str, np.ndarray], budget: int, most_apart: int | None, shares: tuple[float, float] | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links (u, v) of the components within some whole deals: stars, or with most_apart real pairs whose check
-    words differ in no more bits than that, the closest first, and few beyond a forest."""
+    words differ in no more bits than that.
+
+    Such pairs are the closest first and few beyond a forest; with shares, they are all pairs of different
+    ``group`` whose hash lies between these shares. (u, u) tells that u has further pairs.
+    """
     order = np.lexsort((rows["key"], rows["side"], rows["deal"]))
     keys, head, deal, side = (rows[c][order] for c in ("key", "head", "deal", "side"))
     new = np.concatenate([[True], (deal[1:] != deal[:-1]) | (side[1:] != side[:-1])])
@@ -149,39 +155,55 @@ def _local_links(rows: dict[str, np.ndarray], budget: int, most_apart: int | Non
     own = split == 0
     mates = np.flatnonzero((split[:-1] == 1) & (deal[lo[:-1]] == deal[lo[1:]])) if len(lo) > 1 else np.empty(0, np.int64)
     roots = [np.concatenate(x) for x in ((lo[own], lo[mates]), (hi[own], hi[mates]), (lo[own], lo[mates + 1]), (hi[own], hi[mates + 1]))]
-    parent, u, v = np.arange(len(keys)), [], []
-    check = None if most_apart is None else rows["check"][order].view(np.uint64)
-    for i, j in join_tries(keys, roots, budget, 0):
-        if check is None:
+    parent = np.arange(len(keys))
+    if most_apart is None:
+        for i, j in join_tries(keys, roots, budget, 0):
             parent = unite(parent, i, j)
-            continue
+        moved = np.flatnonzero(parent != np.arange(len(keys)))
+        yield head[moved], head[parent[moved]]
+        return
+    check, more = rows["check"][order].view(np.uint64), np.zeros(len(keys), bool)
+    group = None if shares is None else rows["group"][order]
+    for i, j in join_tries(keys, roots, budget, 0):
         apart = np.bitwise_count(check[i] ^ check[j])
-        for n in range(most_apart + 1):
-            here = (apart == n) & (parent[i] != parent[j])
+        left = apart <= most_apart
+        if shares is not None:
+            left &= group[i] != group[j]
+            place = mix(np.minimum(head[i], head[j]).view(np.uint64) * ODD + np.maximum(head[i], head[j]).view(np.uint64)) / 2.0**64
+            left &= place >= shares[0]
+            here = left & ((place < shares[1]) | (shares[1] >= 1))
+            left &= ~here
             if here.any():
-                a, b = i[here], j[here]
-                _, one = np.unique(np.stack([np.minimum(parent[a], parent[b]), np.maximum(parent[a], parent[b])]), axis=1, return_index=True)
-                u.append(head[a[one]])
-                v.append(head[b[one]])
-                parent = unite(parent, a[one], b[one])
-    if check is not None:
-        return (np.concatenate(u), np.concatenate(v)) if u else (head[:0], head[:0])
-    moved = np.flatnonzero(parent != np.arange(len(keys)))
-    return head[moved], head[parent[moved]]
-
-
-def links(heads: DataFrame, budget: int = 3, most: int = MOST_IN_TRIE, width: int = BITS, most_apart: int | None = None) -> DataFrame:
+                yield head[i[here]], head[j[here]]
+        else:
+            for n in range(most_apart + 1):
+                here = np.flatnonzero((apart == n) & (parent[i] != parent[j]))
+                if len(here):
+                    a, b = parent[i[here]], parent[j[here]]
+                    _, one = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1, return_index=True)
+                    here = here[one]
+                    yield head[i[here]], head[j[here]]
+                    left[here] = False
+                    parent = unite(parent, i[here], j[here])
+        more[i[left]] = more[j[left]] = True
+    known = np.unique(head[more])
+    yield known, known
+
+
+def links(heads: DataFrame, budget: int = 3, most: int = MOST_IN_TRIE, width: int = BITS, most_apart: int | None = None, shares: tuple[float, float] | None = None) -> DataFrame:
     """(u, v): links that connect all of heads (fp, head) within budget differing bits, as a forest or little more.
 
     fp holds width bits. With most_apart, heads also has ``table`` (fingerprints of different tables do not
-    meet) and ``check``, a further 64 bits of which a link may differ in most_apart.
+    meet) and ``check``, a further 64 bits of which a link may differ in most_apart; a head with links that are
+    not among the rows has a row (u, u). With shares, heads has ``group`` too, and the rows are all links
+    between different groups whose pairs have a hash between these shares.
     """
     blocks = budget + 1
     bits = width // blocks
     mask = (1 << width) - 1 if width < BITS else -1
     turn = lambda k: F.shiftleft("fp", k).bitwiseOR(F.shiftrightunsigned("fp", width - k)).bitwiseAND(F.lit(mask)) if k else F.col("fp")
     rotated = lambda k: F.shiftleft(turn(k), BITS - width) if width < BITS else turn(k)
-    carried = ["head"] if most_apart is None else ["head", "check"]
+    carried = ["head"] if most_apart is None else ["head", "check"] if shares is None else ["head", "check", "group"]
     table = F.lit(0) if most_apart is None else F.col("table")
     turned = heads.select(*carried, table.alias("table"), F.posexplode(F.array(*[rotated(bits * k) for k in range(blocks)])).alias("turn", "key"))
     turned = turned.withColumn("deal", (F.shiftrightunsigned("key", BITS - bits) * 1024 + F.col("table")) * blocks + F.col("turn")).drop("table", "turn")
@@ -209,9 +231,9 @@ def links(heads: DataFrame, budget: int = 3, most: int = MOST_IN_TRIE, width: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
 
-        def joined(rows: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
-            u, v = _local_links({c: np.concatenate([r[c] for r in rows]) for c in rows[0]}, budget, most_apart)
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+        def joined(rows: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            for u, v in _local_links({c: np.concatenate([r[c] for r in rows]) for c in rows[0]}, budget, most_apart, shares):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
 
         for b in batches:
             rows = {c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names}
@@ -226,9 +248,9 @@ def links(heads: DataFrame, budget: int = 3, most: int = MOST_IN_TRIE, width: in
             whole = int(np.searchsorted(rows["deal"], rows["deal"][-1]))
             held = [{c: a[whole:] for c, a in rows.items()}]
             if whole:
-                yield joined([{c: a[:whole] for c, a in rows.items()}])
+                yield from joined([{c: a[:whole] for c, a in rows.items()}])
         if held:
-            yield joined(held)
+            yield from joined(held)
 
     return dealt.mapInArrow(tidy(run), "u long, v long")
 
@@ -305,7 +327,12 @@ def _named(docs: DataFrame) -> DataFrame:
 
 def similar_links(rows: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
     """rows: (sh_row, doc_id, text). Returns (sh_row, doc_id, head), head being the first row with the same sketch,
-    and (u, v): links between heads whose shingle sets reach the similarity."""
+    and (u, v): links between heads whose shingle sets reach the similarity.
+
+    The first round checks a forest of the candidates. A candidate that fails connects nothing, so further rounds
+    check, in growing shares, every candidate between groups that are still apart; what has no candidate left
+    drops out, and a group of copies is one before its pairs are listed.
+    """
     words = -(-plan.tables * plan.bits // BITS) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,11 +351,26 @@ def similar_links(rows: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
             raw = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u4").reshape(b.num_rows, -1)
             check = np.ascontiguousarray(raw[:, -2:]).view(">u8").astype(np.int64).ravel()
             for k in range(plan.tables):
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw[:, k].astype(np.int64)), pa.array(check), pa.array(np.full(b.num_rows, k, np.int32))], ["head", "fp", "check", "table"])
-
-    tables = heads.select("head", "sketch").mapInArrow(tidy(spread), "head long, fp long, check long, table int")
-    found = stable(links(tables, plan.budget, MOST_IN_TRIE, plan.bits, plan.most_apart).distinct())
-    return members, verified(texts, found, plan)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw[:, k].astype(np.int64)), pa.array(check), pa.array(np.full(b.num_rows, k, np.int32)), b.column(2)], ["head", "fp", "check", "table", "group"])
+
+    def candidates(some: DataFrame, shares: tuple[float, float] | None) -> tuple[DataFrame, DataFrame, bool]:
+        """Candidate pairs, heads with further ones, and whether there are such heads."""
+        tables = some.select("head", "sketch", "group").mapInArrow(tidy(spread), "head long, fp long, check long, table int, group long")
+        found = stable(links(tables, plan.budget, MOST_IN_TRIE, plan.bits, plan.most_apart, shares).distinct())
+        more = found.filter("u = v").select(F.col("u").alias("head"))
+        return found.filter("u != v"), more, not more.isEmpty()
+
+    found, more, any_more = candidates(heads.withColumn("group", F.col("head")), None)
+    near = stable(verified(texts, found, plan))
+    for shares in zip((0.0, *SHARES), SHARES):
+        if not any_more:
+            break
+        roots = components(near)
+        some = filtered(heads, more, "head", "left_semi").join(roots, F.col("head") == F.col("node"), "left")
+        some = stable(some.select("head", "sketch", F.coalesce("root", "head").alias("group")))
+        found, more, any_more = candidates(some, shares)
+        near = stable(near.unionByName(verified(texts, found, plan)))
+    return members, near
 
 
 def verified(texts: DataFrame, found: DataFrame, plan: Plan) -> DataFrame:

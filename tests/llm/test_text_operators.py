@@ -216,6 +216,21 @@ def test_one_of_each_group_stays(docs, texts):
     assert left == {n for n, r in connected(sets, alike).items() if n == r}
 
 
+def test_near_copies_in_a_group_with_one_template(spark):
+    rng = random.Random(11)
+    own = lambda n: [f"x{rng.getrandbits(40):x}" for _ in range(n)]
+    rows = []
+    for i in range(0, 300, 2):  # any two documents are alike by 0.7 to 0.8, some neighbours by about 0.88
+        first = [f"t{k}" for k in range(260)] + own(44)
+        rows += [(i, " ".join(first)), (i + 1, " ".join(first[:-18] + own(18) if i < 100 else first[:260] + own(44)))]
+    sets = {i: set(simhash.shingle_set(t.encode(), 5).tolist()) for i, t in rows}
+    alike = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert alike == [(i, i + 1) for i in range(0, 100, 2)]
+    assert len(sets[1] & sets[150]) > 0.7 * len(sets[1] | sets[150])
+    left = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == set(sets) - {b for _, b in alike}
+
+
 def test_copies_of_any_form(spark):
     a = " ".join(f"w{i}" for i in range(100))
     rows = [(1, a), (1, a), (2, a.upper()), (3, ""), (4, None), (None, a), (7, "other text"), (7, "other text")]
