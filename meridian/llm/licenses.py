@@ -3,7 +3,7 @@
 Lines that use a license's vocabulary, with their neighbours, are candidate blocks. A
 block is compressed alone and with each template as a zstandard raw dictionary; what the
 dictionary saves ranks the templates, since it saves most on the text that it repeats.
-The best are confirmed word by word: the block must hold nearly all of the template's
+Each whose needed words are in the block is confirmed word by word, in that order: the block must hold nearly all of the template's
 words in order, and every word that tells it from other licenses, and the differences
 are kept.
 """
@@ -51,13 +51,10 @@ _TRIM = "\"'()[]{}<>,;:!?.#*$%&|="
 
 @dataclass(frozen=True)
 class Plan:
-    """around: words before and after a sign that belong to its block; best: templates that are confirmed;
-    least_saved: share of the block's compressed size that the best must save; most_differ: share of the
-    template's words that may be missing or out of order."""
+    """around: words before and after a sign that belong to its block; most_differ: share of the template's
+    words that may be missing or out of order."""
 
     around: int = 10
-    best: int = 8
-    least_saved: float = 0.02
     most_differ: float = 0.12
 
 
@@ -70,7 +67,6 @@ class Scanner:
         self.plan = plan
         self.templates = []
         options = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
-        self.alone = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(19, **options))
         for name, wording, needed in templates:
             words = [w for x in _WORD.findall(wording) if (w := _plain(x))]
             known = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -101,35 +97,40 @@ class Scanner:
         for lo, hi in spans:
             yield words[lo:hi]
 
-    def ranked(self, block: list[str]) -> list[tuple[float, int]]:
-        """(share of the compressed size saved, template), best first."""
+    def ranked(self, block: list[str], able: list[int]) -> list[int]:
+        """The templates in able by the block's compressed size, the one that saves most first."""
+        if len(able) < 2:
+            return able
         raw = " ".join(block).encode()
-        alone = len(self.alone.compress(raw))
-        saved = [((alone - len(packer.compress(raw))) / alone, k) for k, (_, _, _, packer) in enumerate(self.templates)]
-        return sorted(saved, key=lambda x: (-x[0], x[1]))
+        return sorted(able, key=lambda k: (len(self.templates[k][3].compress(raw)), k))
 
     def confirmed(self, block: list[str], k: int) -> list[tuple[int, int, int, str]]:
         """(first word, past the last, words that differ, differences) of each place where the block has the template."""
-        name, words, needed, _ = self.templates[k]
-        out, at = [], 0
-        while at < len(block):
-            match = difflib.SequenceMatcher(None, words, block[at : at + 4 * self.reach], autojunk=False)
-            parts = [m for m in match.get_matching_blocks() if m.size]
-            if not parts:
-                break
-            longest = max(parts, key=lambda m: m.size)
+        _, words, needed, _ = self.templates[k]
+        out, todo, slack = [], [(0, len(block))], max(2, len(words) // 4)
+        while todo:
+            first, last = todo.pop()
+            if not needed <= set(block[first:last]):
+                continue
+            run = difflib.SequenceMatcher(None, words, block[first:last], autojunk=False).find_longest_match()
+            if not run.size:
+                continue
             # what lies farther from the longest run than the template reaches is another place
-            near = [m for m in parts if abs((m.b - m.a) - (longest.b - longest.a)) <= max(2, len(words) // 4)]
-            held = {words[i] for m in near for i in range(m.a, m.a + m.size)}
-            lo, hi = at + near[0].b, at + near[-1].b + near[-1].size
-            same = sum(m.size for m in near)
-            extra = (hi - lo) - same
-            differ = len(words) - same + extra
-            if differ > self.plan.most_differ * len(words) or not needed <= held:
-                break
-            edits = [f"-{w}" for w in words if w not in held] + [f"+{w}" for w in block[lo:hi] if w not in held]
-            out.append((lo, hi, differ, " ".join(edits)))
-            at = hi
+            start = first + run.b - run.a
+            at, upto = max(first, start - slack), min(last, start + len(words) + slack)
+            match = difflib.SequenceMatcher(None, words, block[at:upto], autojunk=False)
+            near = [m for m in match.get_matching_blocks() if m.size and abs(at + m.b - m.a - start) <= slack]
+            if near:
+                held = {words[i] for m in near for i in range(m.a, m.a + m.size)}
+                lo, hi = at + near[0].b, at + near[-1].b + near[-1].size
+                same = sum(m.size for m in near)
+                differ = len(words) - same + (hi - lo) - same
+                if differ <= self.plan.most_differ * len(words) and needed <= held:
+                    edits = [f"-{w}" for w in words if w not in held] + [f"+{w}" for w in block[lo:hi] if w not in held]
+                    out.append((lo, hi, differ, " ".join(edits)))
+                    todo += [(first, lo), (hi, last)]
+                    continue
+            todo += [(first, first + run.b), (first + run.b + run.size, last)]
         return out
 
     def scan(self, text: str) -> list[tuple[str, int, int, int, str]]:
@@ -140,24 +141,19 @@ class Scanner:
             words = [w for w, _ in plain]
             if not words:
                 continue
-            for saved, k in self.ranked(words)[: self.plan.best]:
-                if saved < self.plan.least_saved:
-                    break
+            known = set(words)
+            able = [k for k, (_, _, needed, _) in enumerate(self.templates) if needed <= known]
+            for k in self.ranked(words, able):
                 for lo, hi, differ, edits in self.confirmed(words, k):
                     start, end = block[plain[lo][1]][1], block[plain[hi - 1][1]][2]
-                    found.setdefault((start, end), (differ, -(hi - lo), self.templates[k][0], edits))
-        upto = -1
-        best: list[tuple] = []
-        for (start, end), (differ, size, name, edits) in sorted(found.items(), key=lambda x: (x[0][0], x[1])):
-            if start < upto:
-                old = best[-1]
-                if (differ, size) < (old[3], old[5]):
-                    best[-1] = (name, start, end, differ, edits, size)
-                    upto = end
-                continue
-            best.append((name, start, end, differ, edits, size))
-            upto = end
-        return [b[:5] for b in best]
+                    new = (differ, -(hi - lo), self.templates[k][0], edits)
+                    if new[0] < found.get((start, end), (len(words) + 1,))[0]:
+                        found[start, end] = new
+        best: list[tuple[str, int, int, int, str]] = []
+        for (start, end), (differ, _, name, edits) in sorted(found.items(), key=lambda x: (x[1][:2], x[0])):
+            if all(end <= b[1] or b[2] <= start for b in best):
+                best.append((name, start, end, differ, edits))
+        return sorted(best, key=lambda b: b[1])
 
 
 def scanned(docs: DataFrame, templates=TEMPLATES, plan: Plan = Plan()) -> DataFrame:

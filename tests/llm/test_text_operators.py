@@ -318,6 +318,22 @@ def test_licenses():
     assert names("we licensed nothing to anyone") == [] and names("") == []
 
 
+@pytest.mark.parametrize("n", [3, 4, 6, 12])
+def test_adjacent_licenses(n):
+    rng, s = random.Random(n), licenses.Scanner()
+    short = [(name, wording) for name, wording, _ in licenses.TEMPLATES if len(wording.split()) <= 14]
+    for _ in range(10):
+        text, want = "", []
+        for name, wording in rng.sample(short, min(n, len(short))):
+            want.append((name, len(text), len(text) + len(wording)))
+            text += wording + " alpha beta gamma delta epsilon "
+        got = s.scan(text)
+        assert [(f[0], f[3]) for f in got] == [(name, 0) for name, *_ in want]
+        assert all(a == f[1] and z - 1 <= f[2] <= z for f, (_, a, z) in zip(got, want, strict=True))
+    twice = "Licensed under CC BY 4.0. " * 3
+    assert [f[0] for f in s.scan(twice)] == ["CC-BY-4.0"] * 3
+
+
 # ---- mixing
 
 
