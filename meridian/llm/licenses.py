@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import bisect
 import difflib
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,19 +48,23 @@ SIGNS = ("licens", "licenc", "permission", "redistribut", "public domain", "spdx
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _TRIM = "\"'()[]{}<>,;:!?.#*$%&|="
+# between two words of a sign: white space, with a comment's marks
+_GAP = r"[\x20\x09-\x0D]+(?:[^\w\x20\x09-\x0D]+[\x20\x09-\x0D]+)*"
+_SIGNS = [re.compile(_GAP.join(map(re.escape, s.split()))) for s in SIGNS]
 
 
 @dataclass(frozen=True)
 class Plan:
-    """around: words before and after a sign that belong to its block; most_differ: share of the template's
-    words that may be missing or out of order."""
+    """most_differ: share of the template's words that may be missing or out of order. Words before and after a sign
+    belong to its block as far as the longest template with such differences reaches."""
 
-    around: int = 10
     most_differ: float = 0.12
 
 
 def _plain(word: str) -> str:
-    return word.lower().strip(_TRIM)
+    """The word as it is compared; marks alone, as of a comment, are none."""
+    plain = word.lower().strip(_TRIM)
+    return plain if any(map(str.isalnum, plain)) else ""
 
 
 class Scanner:
@@ -72,24 +77,22 @@ class Scanner:
             known = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             packer = zstandard.ZstdCompressor(dict_data=known, compression_params=zstandard.ZstdCompressionParameters.from_level(19, **options))
             self.templates.append((name, words, set(needed), packer))
-        self.reach = max(len(w) for _, w, _, _ in self.templates)
+        self.reach = math.ceil(max(len(w) for _, w, _, _ in self.templates) * (1 + plan.most_differ))
 
     def blocks(self, text: str) -> Iterator[list[tuple[str, int, int]]]:
         """Runs of (word, start, end) around signs; a run is as long as its signs go on."""
         low = text.lower()
-        if not any(s in low for s in SIGNS):
+        if not any(s.search(low) for s in _SIGNS):
             return
         if len(low) != len(text):  # some characters have longer lower cases; places must stay
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        hits = sorted({m.start() for s in SIGNS for m in re.finditer(re.escape(s), low)})
-        words = [(m[0], m.start(), m.end()) for m in _WORD.finditer(text)]
+        hits = sorted({m.start() for s in _SIGNS for m in s.finditer(low)})
+        words = [(m[0], m.start(), m.end()) for m in _WORD.finditer(text) if _plain(m[0])]
         ends = [e for _, _, e in words]
         spans: list[list[int]] = []
         for h in hits:
             w = bisect.bisect_right(ends, h)
-            lo, hi = max(0, w - self.plan.around), min(len(words), w + self.plan.around + 1)
-            # a long notice goes on past the words near its signs
-            hi = min(len(words), max(hi, w + self.reach)) if low.startswith(("permission", "redistribut", "licensed"), h) else hi
+            lo, hi = max(0, w - self.reach), min(len(words), w + self.reach + 1)
             if spans and lo <= spans[-1][1] and hi - spans[-1][0] <= 4 * self.reach:
                 spans[-1][1] = max(hi, spans[-1][1])
             else:
@@ -151,9 +154,10 @@ class Scanner:
                         found[start, end] = new
         best: list[tuple[str, int, int, int, str]] = []
         for (start, end), (differ, _, name, edits) in sorted(found.items(), key=lambda x: (x[1][:2], x[0])):
-            if all(end <= b[1] or b[2] <= start for b in best):
-                best.append((name, start, end, differ, edits))
-        return sorted(best, key=lambda b: b[1])
+            k = bisect.bisect_right(best, start, key=lambda b: b[1])
+            if (k == 0 or best[k - 1][2] <= start) and (k == len(best) or end <= best[k][1]):
+                best.insert(k, (name, start, end, differ, edits))
+        return best
 
 
 def scanned(docs: DataFrame, templates=TEMPLATES, plan: Plan = Plan()) -> DataFrame:

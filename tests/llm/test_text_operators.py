@@ -334,6 +334,17 @@ def test_adjacent_licenses(n):
     assert [f[0] for f in s.scan(twice)] == ["CC-BY-4.0"] * 3
 
 
+@pytest.mark.parametrize("name, wording", [t[:2] for t in licenses.TEMPLATES])
+def test_each_license_alone_wrapped_and_in_comments(name, wording):
+    s, words = licenses.Scanner(), wording.split()
+    lines = [" ".join(words[i : i + 3]) for i in range(0, len(words), 3)]
+    for mark in ("", "# ", "// ", " * ", "-- "):
+        for parts in ([wording], lines, words):
+            text = "".join(f"{mark}{p}\n" for p in parts)
+            for around in ("", "other words of the text that are there " * 20):
+                assert [(f[0], f[3]) for f in s.scan(around + "\n" + text + around)] == [(name, 0)], (mark, parts)
+
+
 # ---- mixing
 
 
