@@ -9,7 +9,8 @@ schedule therefore holds each source near its share.
 
 Offsets on the line are two-level prefix sums (buckets of a source, documents of a
 bucket), so no source is gathered into one task. The slots are at most ``max_slots``;
-blocks grow with the corpus instead.
+blocks grow with the corpus instead, and each source is then settled: blocks are added
+or left out at its end and its last one is cut, so that its words are its rounded target.
 """
 
 from __future__ import annotations
@@ -86,6 +87,16 @@ def schedule(goal: DataFrame, total: float, block: int) -> DataFrame:
     return chosen.select("k", "sid", (F.row_number().over(Window.partitionBy("sid").orderBy("k")) - 1).cast("long").alias("rank"))
 
 
+def settled(slots: DataFrame, goal: DataFrame, block: int) -> DataFrame:
+    """slots (sid, no) with as many blocks of each source as its rounded target needs."""
+    slots = stable(slots)
+    need = goal.select("sid", F.ceil(F.round("target") / F.lit(block)).alias("need"))
+    have = slots.groupBy("sid").agg(F.count("*").alias("n"))
+    missing = need.join(have, "sid", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter("n < need")
+    added = missing.select("sid", F.explode(F.sequence("n", F.col("need") - 1)).alias("no"))
+    return slots.join(need, "sid").filter("no < need").select("sid", "no").unionByName(added)
+
+
 def laid_out(sizes: DataFrame, goal: DataFrame) -> DataFrame:
     """Documents with ``at``, their first word's place on their source's line."""
     small = goal.select("sid", F.col("source").alias("g_source"), "source_size", "target")
@@ -115,6 +126,9 @@ def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: float
     total = float(goal.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0])
     block = max(1, math.ceil(total / max_slots))
     slots = schedule(goal, max(total, 1.0), block).select("sid", F.col("rank").alias("no"))
+    till = F.lit(float("inf"))
+    if block > 1:  # blocks of one word are the target but for a few words
+        slots, till = settled(slots, goal, block), F.round("target")
     placed = laid_out(sizes, goal)
     length, word, b = F.col("source_size"), F.col("size"), F.lit(block)
 
@@ -125,7 +139,8 @@ def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: float
     parts = parts.select("*", F.explode("passes").alias("p")).drop("passes")
     parts = parts.select("*", F.explode_outer(blocks(F.col("p.start"))).alias("no"))
     got = parts.join(slots.withColumn("hit", F.lit(True)), ["sid", "no"], "left")
-    overlap = F.least(F.col("p.start") + word, (F.col("no") + 1) * b) - F.greatest(F.col("p.start"), F.col("no") * b)
+    end = F.least(F.col("p.start") + word, (F.col("no") + 1) * b, till)
+    overlap = F.greatest(end - F.greatest(F.col("p.start"), F.col("no") * b), F.lit(0))
     words = lambda e: F.coalesce(F.sum(F.when(F.col("hit") & (F.col("p.epoch") == e), overlap)), F.lit(0)).cast("long")
     keys = ["rid", "row", "doc_id", "source", "size", "source_size", "target", "at"]
     out = got.groupBy(*keys).agg(words(0).alias("first"), words(1).alias("second"))

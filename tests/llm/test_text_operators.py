@@ -381,6 +381,17 @@ def test_mix_meets_its_targets(spark, docs, small):
     assert words == sum(took.values())
 
 
+@pytest.mark.parametrize("max_slots", [4, 100, 5000])
+def test_small_sources_meet_their_targets_with_large_blocks(docs, max_slots):
+    rows = mixing.mix(docs, max_slots=max_slots).collect()
+    took, want = collections.Counter(), {}
+    for r in rows:
+        assert 0 <= r.taken <= 2 * r["size"] and sum(r.epochs) == r.taken
+        took[r.source] += r.taken
+        want[r.source] = r.target
+    assert len(want) == 20 and all(abs(took[s] - t) <= 0.5 for s, t in want.items())
+
+
 # ---- personal data
 
 
