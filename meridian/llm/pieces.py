@@ -1,13 +1,14 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and its lossless decoding.
 
 Encoding keeps an agenda of candidate merges, best first. A candidate that comes up is
-skipped for good with probability ``dropout``, by a hash of the seed, the word, the
-word's stream and the candidate; what remains merged is the segmentation. The agendas of
-all new words of a batch are worked through together, as arrays: in each round every
-word's best candidate comes up. Each place of
-a word in a document draws one of ``streams`` by a hash of the seed, the document and
-the place, so a text is segmented in varied ways, reruns agree, and the segmentation of
-a word in a stream is worked out once and kept.
+skipped for good with probability ``dropout``, by a hash of the seed, the document, the
+word's place in it and the candidate; what remains merged is the segmentation. So every
+place draws its own segmentation, and reruns agree.
+
+A word's agenda without dropout is worked through once and its merges are kept. At a
+place where no such merge is skipped the segmentation is the kept one; at the others the
+agenda is worked through for that place, all such places of a batch together, as arrays:
+in each round every word's best candidate comes up.
 
 No piece has a space mark after another character, so a text falls into words that
 never merge with each other; that is checked when a vocabulary is loaded. Characters
@@ -39,21 +40,24 @@ PACK_CHARS = 1 << 19
 #: Characters of the longest word whose agenda is worked through together with others.
 LONG = 64
 BATCH_TOKENS = 1_000_000
+#: log2 of the slots of a table of merges.
+SLOT_BITS = 18
+#: Words whose agendas are worked through together.
+TOGETHER = 20_000
 
 
 @dataclass(frozen=True)
 class Plan:
-    """dropout: probability that a candidate merge is skipped; streams: segmentations of a word, a power of two;
-    kept: words of a stream that make a generation; a process keeps two."""
+    """dropout: probability that a candidate merge is skipped; kept: words whose agenda without dropout a process
+    keeps before it starts anew (this bounds memory and changes no result)."""
 
     dropout: float = 0.1
-    streams: int = 4
     seed: int = 42
-    kept: int = 25_000
+    kept: int = 60_000
 
 
 class Vocabulary:
-    """Pieces with their merge ranks and bytes; read on the driver and sent to the tasks (a few hundred kB)."""
+    """Pieces with their merge ranks and bytes; read on the driver and broadcast (some 15 MB of tables)."""
 
     def __init__(self, path: str = MODEL):
         import sentencepiece
@@ -102,8 +106,8 @@ class Vocabulary:
         self.tables: list[tuple[np.uint64, np.ndarray, np.ndarray]] = []
         odd = int(ODD)
         while len(keys):
-            slot = ((keys * np.uint64(odd)) >> np.uint64(44)).astype(np.int64)
-            held, value = np.zeros(1 << 20, np.uint64), np.full(1 << 20, -1, np.int32)
+            slot = ((keys * np.uint64(odd)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+            held, value = np.zeros(1 << SLOT_BITS, np.uint64), np.full(1 << SLOT_BITS, -1, np.int32)
             held[slot], value[slot] = keys, made
             self.tables.append((np.uint64(odd), held, value))
             out = held[slot] != keys
@@ -120,14 +124,17 @@ class Vocabulary:
         out = np.full(len(keys), -1, np.int32)
         todo = np.flatnonzero((left >= 0) & (right >= 0))
         for odd, held, value in self.tables:
-            slot = ((keys[todo] * odd) >> np.uint64(44)).astype(np.int64)
+            slot = ((keys[todo] * odd) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
             hit = held[slot] == keys[todo]
             out[todo[hit]] = value[slot[hit]]
             todo = todo[~hit & (value[slot] >= 0)]
         return out
 
-    def segment_all(self, words: list[str], keys: np.ndarray, limit: int) -> list[bytes]:
-        """Ids, as bytes, of many non-empty words; word for word what segmented() gives."""
+    def segment_all(self, words: list[str], keys: np.ndarray, limit: int, merges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of many non-empty words, one after the other; word for word what segmented() gives.
+
+        merges, if given, receives (word numbers, candidate codes) of the merges made, round by round.
+        """
         none = np.int64(1 << 38)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         symbols = self.symbol[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -139,9 +146,7 @@ class Vocabulary:
             rank = self.order[piece]
             gone = piece < 0
             if limit:
-                h = key ^ (piece.astype(np.uint64) * ODD + place.astype(np.uint64) * ODD2)
-                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                gone |= (h >> np.uint64(32)) < limit
+                gone |= skipped(key, code(piece, place), limit)
             return piece, np.where(gone, none, rank)
 
         last = starts + sizes - 1
@@ -150,15 +155,14 @@ class Vocabulary:
         inner[last] = False
         inner = np.flatnonzero(inner)
         piece[inner], rank[inner] = candidates(symbols[inner], symbols[inner + 1], np.repeat(keys, sizes)[inner], at[inner])
-        out: list[bytes | None] = [None] * len(words)
+        done_words: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         number = np.arange(len(words))
         while len(number):
             best = np.minimum.reduceat(rank << 24 | np.arange(len(rank)), starts)
             done = best >= none << 24
             if done.any():
                 which = np.flatnonzero(done)
-                flat = symbols[np.repeat(done, sizes)]
-                self._finish(out, number[which], flat, sizes[which])
+                done_words.append((number[which], symbols[np.repeat(done, sizes)], sizes[which]))
                 live = ~done
                 keep = ~np.repeat(done, sizes)
                 moved = np.cumsum(keep) - 1
@@ -170,6 +174,8 @@ class Vocabulary:
                     break
             else:
                 hit = best & 0xFFFFFF
+            if merges is not None:
+                merges.append((number, code(piece[hit], at[hit])))
             symbols[hit] = piece[hit]
             keep = np.ones(len(symbols), bool)
             keep[hit + 1] = False
@@ -183,19 +189,26 @@ class Vocabulary:
             piece[hit[more]], rank[hit[more]] = candidates(symbols[hit[more]], symbols[hit[more] + 1], keys[more], at[hit[more]])
             less = hit > starts
             piece[hit[less] - 1], rank[hit[less] - 1] = candidates(symbols[hit[less] - 1], symbols[hit[less]], keys[less], at[hit[less] - 1])
-        return out
-
-    def _finish(self, out: list, number: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
-        """Put the ids of finished words in place; characters without a piece are spelled in bytes."""
-        ends = np.cumsum(sizes)
-        if (flat < 0).any():
-            for n, lo, hi in zip(number.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
-                ids = [t for s in flat[lo:hi].tolist() for t in ([s] if s >= 0 else [self.byte[b] for b in chr(-1 - s).encode()])]
-                out[n] = np.array(ids, np.int32).tobytes()
-            return
-        raw = flat.astype(np.int32).tobytes()
-        for n, lo, hi in zip(number.tolist(), (4 * (ends - sizes)).tolist(), (4 * ends).tolist(), strict=True):
-            out[n] = raw[lo:hi]
+        if not done_words:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        number, flat, sizes = (np.concatenate(x) for x in zip(*done_words, strict=True))
+        order = np.argsort(number)
+        flat, sizes = flat[ragged((np.cumsum(sizes) - sizes)[order], sizes[order])], sizes[order]
+        return self._spelled_out(flat, sizes)
+
+    def _spelled_out(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of words of symbols: characters without a piece become bytes."""
+        odd = np.flatnonzero(flat < 0)
+        if not len(odd):
+            return flat, sizes
+        raw = [chr(-1 - s).encode() for s in flat[odd].tolist()]
+        wide = np.ones(len(flat), np.int64)
+        wide[odd] = [len(r) for r in raw]
+        ends = np.concatenate([[0], np.cumsum(wide)])
+        ids = np.repeat(flat, wide)
+        ids[ragged(ends[odd], wide[odd])] = np.array(self.byte, np.int32)[np.frombuffer(b"".join(raw), np.uint8)]
+        upto = ends[np.concatenate([[0], np.cumsum(sizes)])]
+        return ids, np.diff(upto)
 
     def spelled(self, symbol: str) -> list[int]:
         """Byte pieces of a symbol without a piece."""
@@ -241,52 +254,109 @@ class Vocabulary:
         return out
 
 
+def code(piece: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A candidate merge, as it is hashed: the piece it makes and the place of its first character in the word."""
+    return piece.astype(np.uint64) * ODD + place.astype(np.uint64) * ODD2
+
+
+def skipped(key: np.ndarray, codes: np.ndarray, limit: int) -> np.ndarray:
+    """Whether candidates are skipped under the keys of their words' places; limit is of 2^32."""
+    h = key ^ codes
+    return (((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)) < limit
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers starts[i], starts[i] + 1, ... of each run of sizes[i], one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Runs:
+    """Runs of values that are appended to and looked up by number."""
+
+    def __init__(self, kind):
+        self.values, self.starts, self.sizes = np.empty(0, kind), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def append(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.values) + np.cumsum(sizes) - sizes])
+        self.values, self.sizes = np.concatenate([self.values, values]), np.concatenate([self.sizes, sizes])
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary, plan: Plan):
         self.v, self.plan = vocabulary, plan
         self.find = re.compile(vocabulary.pattern).findall
         self.limit = int(plan.dropout * (1 << 32))
-        self.young: list[dict[str, bytes]] = [{} for _ in range(plan.streams)]
-        self.old: list[dict[str, bytes]] = [{} for _ in range(plan.streams)]
+        self._anew()
+
+    def _anew(self) -> None:
+        """Keep no words."""
+        self.number: dict[str, int] = {}
+        self.ids, self.merges = Runs(np.int32), Runs(np.uint64)  # of each word without dropout
+
+    def _learn(self, words: list[str]) -> None:
+        """Segmentations without dropout of words that follow those in ids and merges; long ones are left empty."""
+        for at in range(0, len(words), TOGETHER):
+            part = words[at : at + TOGETHER]
+            short = np.fromiter((len(w) <= LONG for w in part), bool, len(part))
+            some = [w for w in part if len(w) <= LONG]
+            rounds: list[tuple[np.ndarray, np.ndarray]] = []
+            ids, sizes = self.v.segment_all(some, np.zeros(len(some), np.uint64), 0, rounds) if some else (np.empty(0, np.int32), np.empty(0, np.int64))
+            number = np.concatenate([n for n, _ in rounds] or [np.empty(0, np.int64)])
+            codes = np.concatenate([c for _, c in rounds] or [np.empty(0, np.uint64)])
+            n_ids, n_merges = np.zeros((2, len(part)), np.int64)
+            n_ids[short], n_merges[short] = sizes, np.bincount(number, minlength=len(some))
+            self.ids.append(ids, n_ids)
+            self.merges.append(codes[np.argsort(number, kind="stable")], n_merges)
+
+    def _drawn(self, words: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of words at places where some merge is skipped, and of long words."""
+        made = Runs(np.int32)
+        for at in range(0, len(words), TOGETHER):
+            part, key = words[at : at + TOGETHER], keys[at : at + TOGETHER]
+            short = np.fromiter((len(w) <= LONG for w in part), bool, len(part))
+            if short.all():
+                made.append(*self.v.segment_all(part, key, self.limit))
+                continue
+            # a round costs a word's length, so long words have an agenda of their own
+            for w, k, ok in zip(part, key.tolist(), short.tolist(), strict=True):
+                ids = self.v.segment_all([w], np.array([k], np.uint64), self.limit)[0] if ok else np.array(self.v.segmented(w, k, self.limit), np.int32)
+                made.append(ids, np.array([len(ids)]))
+        return made.values, made.sizes
 
     def encode_all(self, rows: list[tuple[str, int]]) -> list[np.ndarray]:
         """Ids of some texts, given with their documents' numbers."""
-        texts, new = [], [set() for _ in self.young]
+        if len(self.number) >= self.plan.kept:
+            self._anew()
+        number, words, keys, count = self.number, [], [], []
         for text, doc in rows:
-            words = self.find(" " + text) if text else []
+            found = self.find(" " + text) if text else []
             start = np.uint64((doc * 2 + self.plan.seed) & 0xFFFFFFFFFFFFFFFF)
-            draw = mix(mix(np.arange(len(words), dtype=np.uint64) * ODD + start) + start) >> np.uint64(40)
-            streams = (draw & np.uint64(self.plan.streams - 1)).tolist()
-            texts.append((words, streams))
-            young = self.young
-            for w, s in zip(words, streams, strict=True):
-                if w not in young[s]:
-                    new[s].add(w)
-        fresh: list[dict[str, bytes]] = []
-        for s, words in enumerate(new):
-            old = self.old[s]
-            found = {w: old[w] for w in words if w in old}
-            todo = sorted(words - found.keys())
-            for at in range(0, len(todo), 20_000):
-                part = todo[at : at + 20_000]
-                keys = [xxhash.xxh64_intdigest(w.encode(), seed=self.plan.seed * 1_000_003 + s) for w in part]
-                short = [len(w) <= LONG for w in part]
-                # a round costs a word's length, so long words have an agenda of their own
-                found.update((w, np.array(self.v.segmented(w, k, self.limit), np.int32).tobytes()) for w, k, ok in zip(part, keys, short, strict=True) if not ok)
-                part, keys = [w for w, ok in zip(part, short, strict=True) if ok], [k for k, ok in zip(keys, short, strict=True) if ok]
-                if part:
-                    found.update(zip(part, self.v.segment_all(part, np.array(keys, np.uint64), self.limit), strict=True))
-            fresh.append(found)
-        for s, found in enumerate(fresh):
-            self.young[s].update(found)
-        young = self.young
-        made = [np.frombuffer(b"".join([young[s][w] for w, s in zip(words, streams, strict=True)]), np.int32) for words, streams in texts]
-        for s, found in enumerate(fresh):
-            for w in [w for w in found if len(w) > LONG]:
-                del young[s][w]
-            if len(young[s]) >= self.plan.kept:
-                self.old[s], self.young[s] = young[s], {}
-        return made
+            keys.append(mix(mix(np.arange(len(found), dtype=np.uint64) * ODD + start) + start))
+            count.append(len(found))
+            words += found
+        known = len(number)
+        for w in words:
+            if w not in number:
+                number[w] = len(number)
+        if len(number) > known:
+            self._learn(list(number)[known:])
+        at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        key = np.concatenate(keys or [np.empty(0, np.uint64)])
+        starts, sizes = self.ids.starts[at], self.ids.sizes[at]
+        again = sizes == 0  # long words
+        if self.limit:
+            n = self.merges.sizes[at]
+            hits = skipped(np.repeat(key, n), self.merges.values[ragged(self.merges.starts[at], n)], self.limit)
+            upto = np.concatenate([[0], np.cumsum(hits)])
+            ends = np.cumsum(n)
+            again |= upto[ends] > upto[ends - n]
+        some = np.flatnonzero(again)
+        ids, more = self._drawn([words[i] for i in some.tolist()], key[some])
+        starts[some], sizes[some] = len(self.ids.values) + np.cumsum(more) - more, more
+        flat = np.concatenate([self.ids.values, ids])[ragged(starts, sizes)]
+        edges = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(count)])]
+        return [flat[lo:hi] for lo, hi in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
 
     def encode(self, text: str, doc: int) -> np.ndarray:
         """Ids of a text."""
@@ -306,23 +376,28 @@ class Encoder:
 _ENCODERS: dict = {}
 
 
-def _encoder(vocabulary: Vocabulary, plan: Plan, name: str) -> Encoder:
-    """One encoder a process for each vocabulary and plan, so that its words stay known from task to task."""
+def _encoder(vocabulary, plan: Plan, name: str) -> Encoder:
+    """One encoder a process for each vocabulary (a broadcast) and plan, so that its words stay known from task to task."""
     key = (name, plan)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(vocabulary, plan)
+        _ENCODERS[key] = Encoder(vocabulary.value, plan)
     return _ENCODERS[key]
 
 
+def _document(ident) -> int:
+    """The number that a document's segmentations are drawn by."""
+    return 0 if ident is None else ident if isinstance(ident, int) else xxhash.xxh64_intdigest(str(ident).encode())
+
+
 def encoded(docs: DataFrame, path: str = MODEL, plan: Plan = Plan()) -> DataFrame:
     """(doc_id, ids, n_tokens, lossless) for every row; lossless: decoding ids gave the text back.
 
     A null text has null ids, no tokens, and counts as lossless; an empty one has no ids. Equal rows are
-    segmented alike. A null doc_id draws its streams as number 0. An empty table gives no rows. Only doc_id
-    and text are looked at.
+    segmented alike. A null doc_id draws as number 0, one that is no number by its text's hash. An empty table
+    gives no rows. Only doc_id and text are looked at.
     """
-    vocabulary = Vocabulary(path)
+    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "ids", "n_tokens", "lossless"]
 
@@ -340,7 +415,7 @@ def encoded(docs: DataFrame, path: str = MODEL, plan: Plan = Plan()) -> DataFram
                 return pa.RecordBatch.from_arrays([b.column(0).slice(first, upto - first), lists, pa.array(n, pa.int64()), pa.array(same)], names)
 
             held = 0
-            rows = ((t.as_py(), d or 0) for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+            rows = ((t.as_py(), _document(d)) for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True))
             for pack in packs(rows, PACK_CHARS, lambda row: len(row[0] or "")):
                 for (text, _), ids in zip(pack, coder.encode_all([(t or "", d) for t, d in pack]), strict=True):
                     made.append(None if text is None else ids)
@@ -357,12 +432,15 @@ def encoded(docs: DataFrame, path: str = MODEL, plan: Plan = Plan()) -> DataFram
 
 
 def decoded(rows: DataFrame, path: str = MODEL) -> DataFrame:
-    """rows (doc_id, ids) as (doc_id, text); null ids give a null text."""
-    vocabulary = Vocabulary(path)
+    """rows (doc_id, ids) as (doc_id, text); null ids give a null text, no ids an empty one.
+
+    Repeated rows are each decoded; an empty table gives no rows. Only doc_id and ids are looked at.
+    """
+    vocabulary = rows.sparkSession.sparkContext.broadcast(Vocabulary(path))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(vocabulary, Plan())
+        coder = Encoder(vocabulary.value, Plan())
         for b in batches:
             texts = [None if x.as_py() is None else coder.decode(x.values.to_numpy(zero_copy_only=False).astype(np.int64)) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
