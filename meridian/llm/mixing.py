@@ -5,12 +5,13 @@ words, twice (a mix may take every document two times), and cut into blocks of e
 many words. The schedule has one slot per block to take: slot k is the golden-ratio
 point frac((k + 1/2) / phi), mapped through the sources' cumulative target shares, and a
 slot's rank among its source's slots names the block it takes. Any stretch of the
-schedule therefore holds each source near its share.
+schedule therefore holds each source near its share, and the mix is read in its order.
 
 Offsets on the line are two-level prefix sums (buckets of a source, documents of a
 bucket), so no source is gathered into one task. The slots are at most ``max_slots``;
-blocks grow with the corpus instead, and each source is then settled: blocks are added
-or left out at its end and its last one is cut, so that its words are its rounded target.
+blocks grow with the corpus instead. Whatever the blocks' size, each source is then
+settled: blocks are added behind the schedule or left out at the source's end, and its
+last one is cut, so that its words are its rounded target exactly.
 """
 
 from __future__ import annotations
@@ -20,24 +21,25 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridian.llm.common import stable, table, words_of
+from meridian.llm.common import MOST_KEYS, stable, stored, table, words_of
 
 # 1 / phi as a double.
 INVERSE_PHI = 0.6180339887498949
 BINS = 4096
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(rid, row, doc_id, source, size, spot): one row per document row; row is a key that equal rows share, spot
-    the keyed shuffle position."""
+def sized(docs: DataFrame, rid: str | None = None) -> DataFrame:
+    """(rid, row, doc_id, source, size, spot): one row per document row; rid numbers the rows (the column named, or a
+    number given here), row is a key that equal rows share, spot the keyed shuffle position."""
+    ident, text = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))
     return stable(
         docs.select(
-            F.monotonically_increasing_id().alias("rid"),
+            F.monotonically_increasing_id().alias("rid") if rid is None else F.col(rid).alias("rid"),
             F.xxhash64("doc_id", "source", "text").alias("row"),
             "doc_id",
             "source",
             F.size(words_of(F.col("text"))).cast("long").alias("size"),
-            F.md5(F.concat(F.lit("mix-42:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("spot"),
+            F.md5(F.concat(F.lit("mix-42:"), ident, F.lit(":"), F.md5(text))).alias("spot"),
         )
     )
 
@@ -87,25 +89,30 @@ def schedule(goal: DataFrame, total: float, block: int) -> DataFrame:
     return chosen.select("k", "sid", (F.row_number().over(Window.partitionBy("sid").orderBy("k")) - 1).cast("long").alias("rank"))
 
 
-def settled(slots: DataFrame, goal: DataFrame, block: int) -> DataFrame:
-    """slots (sid, no) with as many blocks of each source as its rounded target needs."""
+def settled(slots: DataFrame, goal: DataFrame, block: int, n: int) -> DataFrame:
+    """slots (k, sid, no) with as many blocks of each source as its rounded target needs; those that the n slots
+    lack have numbers behind them, round by round of the sources."""
     slots = stable(slots)
     need = goal.select("sid", F.ceil(F.round("target") / F.lit(block)).alias("need"))
     have = slots.groupBy("sid").agg(F.count("*").alias("n"))
     missing = need.join(have, "sid", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter("n < need")
+    sources = goal.count()
     added = missing.select("sid", F.explode(F.sequence("n", F.col("need") - 1)).alias("no"))
-    return slots.join(need, "sid").filter("no < need").select("sid", "no").unionByName(added)
+    added = added.select((F.lit(n) + F.col("no") * sources + F.col("sid")).alias("k"), "sid", "no")
+    return slots.join(need, "sid").filter("no < need").select("k", "sid", "no").unionByName(added)
 
 
 def laid_out(sizes: DataFrame, goal: DataFrame) -> DataFrame:
     """Documents with ``at``, their first word's place on their source's line."""
     small = goal.select("sid", F.col("source").alias("g_source"), "source_size", "target")
     rows = sizes.join(F.broadcast(small) if goal_is_small(goal) else small, F.col("source").eqNullSafe(F.col("g_source"))).drop("g_source")
-    rows = rows.withColumn("bucket", F.substring("spot", 1, 3))
+    # some 65,536 documents a bucket, whatever their number
+    digits = max(3, math.ceil(math.log(max(1, sizes.count()), 16)) - 4)
+    rows = rows.withColumn("bucket", F.substring("spot", 1, digits))
     sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("sid", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("bucket_at"))
-    inside = Window.partitionBy("sid", "bucket").orderBy("spot", "doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sid", "bucket").orderBy("spot", "doc_id", "size", "row", "rid").rowsBetween(Window.unboundedPreceding, -1)
     return rows.join(starts, ["sid", "bucket"]).withColumn("at", F.col("bucket_at") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
 
 
@@ -114,21 +121,20 @@ def goal_is_small(goal: DataFrame, most: int = 50_000) -> bool:
     return goal.limit(most + 1).count() <= most
 
 
-def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, max_slots: int = 1 << 20) -> DataFrame:
-    """(rid, row, doc_id, source, size, source_size, target, at, epochs, taken).
+def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, max_slots: int = 1 << 20, rid: str | None = None) -> DataFrame:
+    """(rid, row, doc_id, source, size, source_size, target, at, epochs, slots, taken).
 
-    epochs: words taken on the first and the second pass over the line; taken is their sum. Null texts have
-    size 0 and take nothing; a null source is a source; repeated rows are documents of their own; an empty
-    table gives no rows. Columns other than doc_id, text and source are not looked at.
+    epochs: words taken on the first and the second pass over the line, of which taken is the sum; slots: the
+    first slot of the schedule that takes them, null where a pass takes none. Null texts have size 0 and take
+    nothing; a null source is a source; a null doc_id is shuffled as an empty one; repeated rows are documents
+    of their own and follow each other; an empty table gives no rows. Columns other than doc_id, text and
+    source (and rid, a column that numbers the rows) are not looked at.
     """
-    sizes = sized(docs)
+    sizes = sized(docs, rid)
     goal = stable(targets(sizes, weights, share, cap))
     total = float(goal.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0])
     block = max(1, math.ceil(total / max_slots))
-    slots = schedule(goal, max(total, 1.0), block).select("sid", F.col("rank").alias("no"))
-    till = F.lit(float("inf"))
-    if block > 1:  # blocks of one word are the target but for a few words
-        slots, till = settled(slots, goal, block), F.round("target")
+    slots = settled(schedule(goal, max(total, 1.0), block).select("k", "sid", F.col("rank").alias("no")), goal, block, int(max(total, 1.0) // block))
     placed = laid_out(sizes, goal)
     length, word, b = F.col("source_size"), F.col("size"), F.lit(block)
 
@@ -138,33 +144,42 @@ def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: float
     parts = placed.withColumn("passes", F.array(F.struct(F.lit(0).alias("epoch"), F.col("at").alias("start")), F.struct(F.lit(1).alias("epoch"), (F.col("at") + length).alias("start"))))
     parts = parts.select("*", F.explode("passes").alias("p")).drop("passes")
     parts = parts.select("*", F.explode_outer(blocks(F.col("p.start"))).alias("no"))
-    got = parts.join(slots.withColumn("hit", F.lit(True)), ["sid", "no"], "left")
-    end = F.least(F.col("p.start") + word, (F.col("no") + 1) * b, till)
+    got = parts.join(slots, ["sid", "no"], "left")
+    end = F.least(F.col("p.start") + word, (F.col("no") + 1) * b, F.round("target"))
     overlap = F.greatest(end - F.greatest(F.col("p.start"), F.col("no") * b), F.lit(0))
-    words = lambda e: F.coalesce(F.sum(F.when(F.col("hit") & (F.col("p.epoch") == e), overlap)), F.lit(0)).cast("long")
+    words = lambda e: F.coalesce(F.sum(F.when(F.col("k").isNotNull() & (F.col("p.epoch") == e), overlap)), F.lit(0)).cast("long")
+    slot = lambda e: F.min(F.when((F.col("p.epoch") == e) & (overlap > 0), F.col("k")))
     keys = ["rid", "row", "doc_id", "source", "size", "source_size", "target", "at"]
-    out = got.groupBy(*keys).agg(words(0).alias("first"), words(1).alias("second"))
+    out = got.groupBy(*keys).agg(words(0).alias("first"), words(1).alias("second"), F.array(slot(0), slot(1)).alias("slots"))
     return out.withColumn("epochs", F.array("first", "second")).withColumn("taken", F.col("first") + F.col("second")).drop("first", "second")
 
 
 def mixed(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The mix itself, with docs' columns: a row for each pass over the line that takes words of a document.
 
-    A pass that takes a document in part has its first words, joined by single spaces; n_chars, where docs has
-    it, follows the text. Documents of which nothing is taken are not in the mix.
+    The rows are in the schedule's order, partition by partition, so any stretch of them holds each source near its
+    share. A pass that takes a document in part has its first words, joined by single spaces; n_chars, where docs
+    has it, follows the text. Documents of which nothing is taken are not in the mix, null and blank texts
+    among them. Rows that repeat, wholly or in doc_id, source and text alone, are documents of their own with all
+    their columns; columns may have any names. An empty table gives no rows.
     """
     columns = docs.columns
     at = {c: f"c{i}" for i, c in enumerate(columns)}
-    plain = docs.toDF(*at.values())
-    plain = plain.withColumn("mix_row", F.xxhash64(at["doc_id"], at["source"], at["text"])).dropDuplicates(["mix_row"])
-    plan = mix(docs.select("doc_id", "source", "text"), weights, share, cap).filter("taken > 0")
-    plan = plan.select(F.col("row").alias("mix_row"), F.col("size").alias("mix_size"), F.explode("epochs").alias("mix_words")).filter("mix_words > 0")
+    plain = stored(docs.toDF(*at.values()).withColumn("mix_rid", F.monotonically_increasing_id()))
+    plan = mix(plain.select(*[F.col(at[c]).alias(c) for c in ("doc_id", "source", "text")], "mix_rid"), weights, share, cap, rid="mix_rid")
+    passes = F.explode(F.arrays_zip(F.col("epochs").alias("words"), F.col("slots").alias("slot")))
+    plan = plan.filter("taken > 0").select(F.col("rid").alias("mix_rid"), F.col("size").alias("mix_size"), "at", passes.alias("p"))
+    plan = stable(plan.select("mix_rid", "mix_size", "at", F.col("p.words").alias("mix_words"), F.col("p.slot").alias("mix_slot")).filter("mix_words > 0"))
+    n, last = plan.agg(F.count("*"), F.max("mix_slot")).first()
     text = F.col(at["text"])
     cut = F.concat_ws(" ", F.slice(words_of(text), F.lit(1), F.col("mix_words").cast("int")))
-    out = plain.join(plan, "mix_row").withColumn(at["text"], F.when(F.col("mix_words") < F.col("mix_size"), cut).otherwise(text))
+    out = plain.join(F.broadcast(plan) if n <= MOST_KEYS // 4 else plan, "mix_rid").withColumn(at["text"], F.when(F.col("mix_words") < F.col("mix_size"), cut).otherwise(text))
     if "n_chars" in at:
         out = out.withColumn(at["n_chars"], F.length(at["text"]).cast(docs.schema["n_chars"].dataType))
-    return out.select(*at.values()).toDF(*columns)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stretch = F.least(F.floor(F.col("mix_slot") * parts / F.lit((last or 0) + 1)), F.lit(parts - 1)).cast("int")
+    ordered = out.repartitionById(parts, stretch).sortWithinPartitions("mix_slot", "at", "mix_rid")
+    return ordered.select(*at.values()).toDF(*columns)
 
 
 def op8_mixing(spark, sf_dir):
@@ -174,7 +189,7 @@ def op8_mixing(spark, sf_dir):
 OP8_SQL = """
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-         md5('mix-42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS spot
+         md5('mix-42:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS spot
   FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY encode(source) ASC NULLS LAST) - 1 AS sid FROM s0),
@@ -184,15 +199,9 @@ s3 AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, sid ROWS BETWEEN
               sum(source_size) OVER () * 1.5::DOUBLE AS t FROM s2),
 lv AS (SELECT arg_min((t - filled) / free_w, (cap / weight, sid)) AS level FROM s3 WHERE (t - filled) / free_w <= cap / weight),
 goal AS (SELECT sid, source, source_size, least(cap, coalesce(level, 'inf'::DOUBLE) * weight) AS target FROM s3 LEFT JOIN lv ON true),
-tot AS (SELECT sum(target) AS total, CAST(greatest(1, ceil(sum(target) / 1048576)) AS BIGINT) AS b FROM goal),
-span0 AS (SELECT sid, sum(target) OVER (ORDER BY sid) / total AS hi FROM goal, tot WHERE target > 0),
-span AS (SELECT sid, coalesce(lag(hi) OVER (ORDER BY sid), 0.0) AS lo,
-                CASE WHEN lead(sid) OVER (ORDER BY sid) IS NULL THEN 1.0::DOUBLE ELSE hi END AS hi FROM span0),
-pt AS (SELECT (k + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE AS x, k FROM (SELECT unnest(range(0, CAST(floor(total / b) AS BIGINT))) AS k FROM tot)),
-cnt AS (SELECT sid, count(*) AS slots FROM pt, span WHERE x - floor(x) >= lo AND x - floor(x) < hi GROUP BY sid),
-pl AS (SELECT d.doc_id, d.size, g.source_size, g.target, coalesce(c.slots, 0) * (SELECT b FROM tot) AS till,
+pl AS (SELECT d.doc_id, d.size, g.source_size, g.target, round(g.target) AS till,
               coalesce(sum(d.size) OVER (PARTITION BY g.sid ORDER BY spot, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
-       FROM d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN cnt c ON c.sid = g.sid)
+       FROM d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target,
        CAST(greatest(0, least(pos + size, till) - pos) + greatest(0, least(pos + source_size + size, till) - (pos + source_size)) AS BIGINT) AS taken
 FROM pl
