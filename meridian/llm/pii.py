@@ -1,25 +1,29 @@
 """Personal data by fixed patterns and a skip-chain conditional random field.
 
 Patterns find e-mail addresses, IP addresses, card numbers and phone numbers. The field
-then labels each document's candidate words (those with a digit or an at sign; no other
-word can be part of these kinds) with a kind or none. Neighbouring candidates share a
-chain potential. Candidates that are equal or alike however far apart (the same text,
-the same last seven digits, the same mailbox) share a skip potential, each linked to the
-next such one, so links grow with the text only. Words inside pattern matches keep those labels; loopy message
-passing carries them along both kinds of links, and what is then labelled surely enough
-is added, so a number that was found once in full is also found where it is repeated in
-part.
+then labels each document's candidate words with a kind or none. Candidates are the words
+with a digit or an at sign, and those that are the mailbox of an address in the document;
+no other word can be part of these kinds. Neighbouring candidates share a chain potential.
+Candidates that are alike however far apart (the same text, the same last seven digits, the
+last four digits of a match, the same network, the same mailbox) share a skip potential,
+each linked to the next such one, so links grow with the text only. Words inside pattern
+matches keep those labels; loopy message passing carries them along both kinds of links,
+and what is then labelled surely enough is added, so a number that was found once in full
+is also found where it is repeated in part.
 
 The field is trained by pseudo-likelihood on a bounded sample of documents with the
-patterns as labels. A word that is linked to a match without being one counts as
-unlabelled there: the patterns missing it says nothing.
+patterns as labels. Texts rarely say which partial mentions are personal data, so mentions
+are held out for it: a part of a match is put elsewhere in its document and bears the
+match's label; a part of another document's match is put there too and bears none. The two
+look the same, so only the links can tell them apart. A word of the text itself that is
+linked to a match without being one counts as unlabelled.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,19 +45,21 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DOTTED = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PLUS = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_NET = re.compile(r"([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})(?:\.[0-9x*]+)?")
 _EDGE = "\"'()[]{}<>,;:!?.#*$%&|="
 
 
 @dataclass(frozen=True)
 class Plan:
-    """sample_bytes: text the field is trained on; bits: log2 of the hashed features; rounds: of message passing;
-    sure: the probability from which a label is added."""
+    """sample_bytes: text the field is trained on, longest: bytes of a text in that sample; bits: log2 of the hashed
+    features; rounds: of message passing; sure: the probability from which a label is added."""
 
     sample_bytes: int = 12 << 20
+    longest: int = 1 << 20
     bits: int = 12
-    steps: int = 150
+    steps: int = 400
     rounds: int = 12
-    sure: float = 0.9
+    sure: float = 0.8
     seed: int = 42
 
 
@@ -98,24 +104,38 @@ def matched(text: str) -> list[list[tuple[int, int]]]:
 
 
 class Graph:
-    """Candidate words of a document: spans, features, links, and the patterns' labels (0: none)."""
+    """Candidate words of a document: spans, features, links, and the patterns' labels (0: none).
 
-    def __init__(self, text: str, spans: list[list[tuple[int, int]]], bits: int):
+    held: (start, end, label) of words whose label is known without a pattern, for training.
+    """
+
+    def __init__(self, text: str, spans: list[list[tuple[int, int]]], bits: int, held: Sequence[tuple[int, int, int]] = ()):
+        boxes = {box for a, b in spans[0] if _telling(box := text[a:b].partition("@")[0].lower())}
         words, places = [], []
         for k, m in enumerate(_WORD.finditer(text)):
-            if _SIGN.search(m[0]):
+            if (sign := _SIGN.search(m[0])) or boxes:
                 core = m[0].strip(_EDGE)
-                lo = m.start() + m[0].find(core) if core else m.start()
-                words.append((lo, lo + len(core) if core else m.end(), core or m[0]))
-                places.append(k)
+                if sign or core.lower() in boxes:
+                    lo = m.start() + m[0].find(core) if core else m.start()
+                    words.append((lo, lo + len(core) if core else m.end(), core or m[0]))
+                    places.append(k)
         self.spans = [(a, b) for a, b, _ in words]
         n = len(words)
         self.label = np.zeros(n, np.int64)
+        self.held = np.zeros(n, bool)
         starts = np.array([a for a, _, _ in words], np.int64)
         ends = np.array([b for _, b, _ in words], np.int64)
+        inside = lambda a, b: slice(np.searchsorted(ends, a, "right"), np.searchsorted(starts, b, "left"))
+        numbers: dict[int, str] = {}  # digits of a matched number, by its last word
         for k in reversed(range(len(KINDS))):
             for a, b in spans[k]:
-                self.label[np.searchsorted(ends, a, "right") : np.searchsorted(starts, b, "left")] = k + 1
+                at = inside(a, b)
+                self.label[at] = k + 1
+                if k >= 2 and at.stop > at.start:
+                    numbers[at.stop - 1] = _bare(text[a:b])
+        for a, b, label in held:
+            at = inside(a, b)
+            self.label[at], self.held[at] = label, True
         shapes = [_shape(w) for _, _, w in words]
         self.features, links, last = [], [], {}
         for i, (_, _, w) in enumerate(words):
@@ -123,7 +143,7 @@ class Graph:
             ahead = i + 1 < n and places[i + 1] - places[i] <= 1
             if near:
                 links.append((i - 1, i, 0))
-            for key in _keys(w):
+            for key in _keys(w, numbers.get(i)):
                 if key in last and not (near and last[key] == i - 1):
                     links.append((last[key], i, 1))
                 last[key] = i
@@ -153,19 +173,61 @@ def _shape(word: str) -> str:
     return out[:20]
 
 
-def _keys(word: str) -> list[str]:
-    """What makes distant words alike."""
-    digits = _bare(word)
+def _telling(box: str) -> bool:
+    """Whether a mailbox names somebody by itself: no plain word, as "info" is."""
+    return len(box) >= 4 and not box.isalpha() and not box.isdigit()
+
+
+def _keys(word: str, number: str | None) -> list[str]:
+    """What makes distant words alike; number: the digits of the matched number that ends with the word."""
+    digits = number or _bare(word)
     found = ["same " + word.lower()] if len(word) >= 5 else []
-    if len(digits) >= 7 and len(digits) * 2 >= len(word):
+    if len(digits) >= 7 and (number or len(digits) * 2 >= len(word)):
         found.append("tail " + digits[-7:])
-    if (box := word.partition("@")[0]) != word and len(box) >= 4:
-        found.append("box " + box.lower())
-    elif len(word) >= 4 and "@" not in word and not digits == word:
-        found.append("box " + word.lower())
+    if number or (len(digits) == 4 and digits == word):
+        found.append("last " + digits[-4:])
+    if m := _NET.fullmatch(word):
+        found.append("net " + m[1])
+    box = word.partition("@")[0].lower()
+    if _telling(box) and not _NET.fullmatch(word):
+        found.append("box " + box)
     return found
 
 
+def parts_of(kind: int, match: str) -> list[str]:
+    """Partial mentions of a match: what a text may repeat of it that no pattern finds."""
+    if kind == 0:
+        return [match.partition("@")[0]]
+    if kind == 1:
+        return [match.rpartition(".")[0], match.rpartition(".")[0] + ".x"]
+    digits = _bare(match)
+    return [digits[-8:], digits[-7:-4] + "-" + digits[-4:], digits[-4:], digits[-10:]]
+
+
+def with_mentions(text: str, spans: list[list[tuple[int, int]]], foreign: list[tuple[int, str]], seed: int) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with partial mentions of its own matches and of foreign ones (kind, match), and where they stand:
+    (start, end, label), labels of the own ones as of their match, of the foreign ones 0."""
+    rng = np.random.default_rng([seed, xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), 2)])
+    own = [(k, text[a:b]) for k, found in enumerate(spans) for a, b in found]
+    chosen = [(k + 1, own[i]) for k in range(len(KINDS)) if (of := [i for i, m in enumerate(own) if m[0] == k]) for i in [of[rng.integers(len(of))]]]
+    chosen += [(0, m) for m in foreign]
+    taken = np.array(sorted(x for found in spans for x in found), np.int64).reshape(-1, 2)
+    gaps = [m.start() for m in re.finditer(r"[\x20\x09-\x0D]", text)]
+    free = [g for g in gaps if not ((taken[:, 0] <= g) & (g <= taken[:, 1])).any()] if len(gaps) <= 100_000 else []
+    if not free:
+        return text, []
+    put = sorted((free[rng.integers(len(free))], i, label, (f := parts_of(*m))[rng.integers(len(f))]) for i, (label, m) in enumerate(chosen))
+    out, held, at, size = [], [], 0, 0
+    for gap, _, label, part in put:
+        piece = text[at:gap]
+        size += len(piece) + 1
+        held.append((size, size + len(part), label))
+        out += [piece, " ", part]
+        size += len(part)
+        at = gap
+    return "".join([*out, text[at:]]), held
+
+
 class Field:
     def __init__(self, bits: int):
         k = len(KINDS) + 1
@@ -187,11 +249,15 @@ class Field:
         links = np.concatenate([g.links + np.array([b, b, 0]) for g, b in zip(graphs, base, strict=False)])
         skip = links[links[:, 2] == 1]
         told = np.ones(len(label), bool)
+        held = np.concatenate([g.held for g in graphs])
         for a, b in ((0, 1), (1, 0)):  # alike a match but none itself: unlabelled
             told[skip[(label[skip[:, a]] > 0) & (label[skip[:, b]] == 0), b]] = False
+        told |= held
+        # the held-out mentions, few as they are, weigh as much as all other words together
+        weight = told * np.where(held, max(1.0, (told & ~held).sum() / max(1, held.sum())), 1.0)
         links = links[told[links[:, 0]] & told[links[:, 1]]]
         i, j, kind = links.T
-        share = told / max(1, told.sum())
+        share = weight / max(1.0, weight.sum())
         want = np.eye(k)[label]
         params = [self.node, self.pair]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -259,17 +325,27 @@ class Field:
 
 
 def trained(docs: DataFrame, plan: Plan = Plan()) -> Field:
-    """A field trained on a hashed sample of documents that hold a digit or an at sign, of at most sample_bytes."""
-    some = docs.filter(F.col("text").rlike("[0-9@]")).select("text")
+    """A field trained on a hashed sample of documents that hold a digit or an at sign, of at most sample_bytes.
+
+    Null texts and texts over ``longest`` bytes are not in the sample; repeated rows count as often as they are
+    drawn; without any such document all potentials are zero, and nothing is ever added.
+    """
+    some = docs.filter(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= plan.longest)).select("text")
     n, size = some.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     share = int(min(1.0, plan.sample_bytes / max(1, size)) * (1 << 30))
     draw = F.xxhash64(F.lit(plan.seed), "text")
-    graphs, left = [], 2 * plan.sample_bytes
+    graphs, left, before = [], 2 * plan.sample_bytes, [""] * len(KINDS)
     for r in some.filter(F.pmod(draw, F.lit(1 << 30)) < share).orderBy(draw, "text").toLocalIterator():
+        if len(r.text) > left:
+            continue
         left -= len(r.text)
-        if left < 0:
-            break
-        graphs.append(Graph(r.text, matched(r.text), plan.bits))
+        spans = matched(r.text)
+        graphs.append(Graph(r.text, spans, plan.bits))
+        foreign = [(k, old) for k, old in enumerate(before) if old and any(spans)]
+        text, held = with_mentions(r.text, spans, foreign, plan.seed)
+        if held:
+            graphs.append(Graph(text, matched(text), plan.bits, held))
+        before = [r.text[f[0][0] : f[0][1]] if f else b for f, b in zip(spans, before, strict=True)]
     field = Field(plan.bits)
     field.train(graphs, plan.steps)
     return field
@@ -324,7 +400,10 @@ def redact(text: str, spans: list[list[tuple[int, int]]]) -> str:
 
 
 def redacted(docs: DataFrame, field: Field, plan: Plan = Plan()) -> DataFrame:
-    """docs with text redacted, all other columns as they are; null texts stay null."""
+    """docs with text redacted, all other columns as they are, whatever their names.
+
+    Null texts stay null and empty ones empty. Repeated rows are redacted alike; an empty table gives no rows.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
