@@ -4,12 +4,14 @@ Two bag models over the same hash buckets are counted: the target's, from docume
 labels call good, and the raw corpus's, from every document. A document's log weight is
 the log ratio of its probability under both. Adding Gumbel noise keyed by the document
 and keeping the k largest draws k documents without replacement in proportion to their
-weights. k is the number of documents whose weight reaches a low quantile of held-out
-good documents, so that the sample has room for all that look like the target.
+weights. k is stated, or else the number of documents whose weight reaches a low quantile
+of held-out good documents, so that the sample has room for all that look like the target.
 
-A document of more than ``full`` n-grams counts in the models like one of that many, or a
-few very long texts would decide what the corpus is like. Counts are kept in whole
-units, so that they add up alike in any order.
+A document stands for at most ``full`` n-grams, in the models and in its own weight alike:
+a longer one counts, and is weighed, like ``full`` n-grams of its average. Otherwise a few
+very long texts would decide what the corpus is like, and weights would be so far apart
+that noise never decides between two documents. Counts are kept in whole units, so that
+they add up alike in any order.
 
 The n-grams are byte trigrams of the single-spaced text and word pairs; a word that
 repeats its predecessor counts as one token of its own kind.
@@ -36,15 +38,17 @@ UNIT = 1 << 20
 @dataclass(frozen=True)
 class Plan:
     """bits: log2 of the hash buckets; labelled: good documents that the target model and its quantile are
-    fitted on, about half each; lost: the share of held-out good documents below the weight that sets k;
-    prior: the count with which a bucket's ratio of target to raw share is drawn to 1, so that buckets the
-    target's sample is too small to tell stay neutral; full: n-grams that a document counts for at most."""
+    fitted on, about half each; k: documents to draw; without it, lost: the share of held-out good documents
+    below the weight that sets k; prior: the count with which a bucket's ratio of target to raw share is drawn
+    to 1, so that buckets the target's sample is too small to tell stay neutral; full: n-grams that a document
+    stands for at most."""
 
     bits: int = 16
     labelled: int = 20_000
+    k: int | None = None
     lost: float = 0.001
     prior: float = 5.0
-    full: int = 512
+    full: int = 64
     seed: int = 42
 
 
@@ -146,7 +150,8 @@ def weighted(docs: DataFrame, labels: DataFrame, plan: Plan = Plan(), columns: l
             out, at = np.zeros(b.num_rows), 0
             for pack in packs((((t.as_py() or "").encode(),) for t in b.column(text)), PACK_BYTES):
                 grams, of = buckets([normal(t) for (t,) in pack], plan.bits)
-                out[at : at + len(pack)] = np.bincount(of, ratio[grams], minlength=len(pack))
+                n = np.bincount(of, minlength=len(pack))
+                out[at : at + len(pack)] = np.bincount(of, ratio[grams], minlength=len(pack)) * plan.full / np.maximum(n, plan.full)
                 at += len(pack)
             ids = np.array([-1 if d is None else d for d in b.column(ident).to_pylist()], np.int64).view(np.uint64)
             u = ((mix(mix(ids + ODD) + np.uint64(plan.seed)) >> np.uint64(12)).astype(np.float64) + 0.5) / (1 << 52)
@@ -181,6 +186,8 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float:
 def thresholds(scored: DataFrame, held: np.ndarray, plan: Plan) -> float:
     """The k-th largest key: keys at least that are the sample."""
     spark = scored.sparkSession
+    if plan.k is not None:
+        return kth_largest(scored, "iw_key", plan.k) if plan.k > 0 else np.inf
     if not len(held):
         return -np.inf
     # at most plan.labelled doc_ids
@@ -197,8 +204,8 @@ def resampled(docs: DataFrame, labels: DataFrame, plan: Plan = Plan()) -> DataFr
     """(doc_id, log_weight, key, kept) for every row; kept: among the k largest keys, ties included.
 
     Null and blank texts have log weight 0 and are ranked like any other. Rows that repeat a doc_id share its
-    noise. Without good labels every document is kept; an empty table gives no rows. Only doc_id and text,
-    and the labels' doc_id and quality, are looked at.
+    noise; a null doc_id has the noise of -1. With neither k nor good labels every document is kept; an empty
+    table gives no rows. Only doc_id and text, and the labels' doc_id and quality, are looked at.
     """
     scored, held = weighted(docs, labels, plan, ["doc_id", "text"])
     scored = stable(scored.select("doc_id", "iw_log", "iw_key"))
@@ -207,7 +214,10 @@ def resampled(docs: DataFrame, labels: DataFrame, plan: Plan = Plan()) -> DataFr
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """The rows of docs that the resampling draws, with docs' columns. Columns named iw_log and iw_key may not be docs' own."""
+    """The rows of docs that the resampling draws, with docs' columns, whatever their names.
+
+    Nulls, blank texts, repeated rows, ties and empty tables fare as in resampled().
+    """
     columns = docs.columns
     plain = docs.toDF(*[c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(columns)])
     scored, held = weighted(plain, labels, plan)
