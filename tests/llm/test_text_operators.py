@@ -143,8 +143,33 @@ def test_agendas_together_as_one_by_one(texts):
     words = sorted({w for t in list(texts.values())[:40] for w in coder.find(" " + t) if 0 < len(w) <= pieces.LONG}) + ["▁▁x", "   ", "a▁b", "\0q", "é́漢😀"]
     keys = np.random.default_rng(1).integers(0, 1 << 63, len(words)).astype(np.uint64)
     for limit in (0, 1 << 29, 1 << 31):
-        got = v.segment_all(words, keys.copy(), limit)
-        assert all(np.frombuffer(g, np.int32).tolist() == v.segmented(w, int(k), limit) for g, w, k in zip(got, words, keys, strict=True))
+        ids, sizes = v.segment_all(words, keys.copy(), limit)
+        got = np.split(ids, np.cumsum(sizes)[:-1])
+        assert all(g.tolist() == v.segmented(w, int(k), limit) for g, w, k in zip(got, words, keys, strict=True))
+
+
+def test_each_place_draws_its_own_segmentation(texts):
+    v = pieces.Vocabulary()
+    for dropout, kept in ((0.1, 60_000), (0.4, 50)):
+        coder = pieces.Encoder(v, pieces.Plan(dropout=dropout, kept=kept))
+        rows = [(t, i) for i, t in list(texts.items())[:60]] + [("a" * 200 + " ▁é\0 漢" * 3, 7), ("", 8)]
+        got = [ids for at in range(0, len(rows), 9) for ids in coder.encode_all(rows[at : at + 9])]
+        for (t, i), ids in zip(rows, got, strict=True):
+            words = coder.find(" " + t) if t else []
+            start = np.uint64(i * 2 + coder.plan.seed)
+            keys = pieces.mix(pieces.mix(np.arange(len(words), dtype=np.uint64) * pieces.ODD + start) + start).tolist()
+            assert ids.tolist() == [n for w, k in zip(words, keys, strict=True) for n in v.segmented(w, k, coder.limit)]
+    word = "segmentation "
+    ids = pieces.Encoder(v, pieces.Plan(dropout=0.3)).encode(word * 2000, 1)
+    cut = [i for i, n in enumerate(ids.tolist()) if bytes(v.bytes[v.places[n] : v.places[n] + v.sizes[n]]).startswith(b" ")]
+    forms = {tuple(ids[a:b].tolist()) for a, b in zip(cut, cut[1:], strict=False)}
+    assert len(forms) > 40  # a word is not held to a few ways
+
+
+def test_documents_named_by_texts(spark):
+    d = spark.createDataFrame([("a", "some words of a text " * 20), ("b", "some words of a text " * 20), (None, "x")], "doc_id string, text string")
+    got = {r.doc_id: r for r in pieces.encoded(d).collect()}
+    assert all(r.lossless for r in got.values()) and got["a"].ids != got["b"].ids
 
 
 def test_dropout_varies_and_decodes(texts):
@@ -374,7 +399,7 @@ def test_mix_meets_its_targets(spark, docs, small):
     for r in rows:
         took[r.source] += r.taken
         want[r.source] = r.target
-    assert all(abs(took[s] - t) <= max(3, 0.01 * t) for s, t in want.items())
+    assert all(abs(took[s] - t) <= 0.5 for s, t in want.items())
     text = mixing.mixed(docs)
     assert text.columns == docs.columns
     words = text.select(F.sum(F.size(mixing.words_of(F.col("text"))))).first()[0]
@@ -392,6 +417,51 @@ def test_small_sources_meet_their_targets_with_large_blocks(docs, max_slots):
     assert len(want) == 20 and all(abs(took[s] - t) <= 0.5 for s, t in want.items())
 
 
+def test_the_mix_follows_the_schedule(spark, docs):
+    rows = mixing.mix(docs).collect()
+    assert all((w > 0) == (k is not None) for r in rows for w, k in zip(r.epochs, r.slots, strict=True))
+    # the schedule by its definition: the source of slot k, and which of its blocks that is
+    goal = sorted((r for r in mixing.targets(mixing.sized(docs)).collect() if r.target > 0), key=lambda r: r.sid)
+    total = sum(r.target for r in goal)
+    edges = np.cumsum([r.target for r in goal]) / total
+    k = np.arange(int(total))
+    u = (k + 0.5) * mixing.INVERSE_PHI % 1.0
+    of = np.minimum(np.searchsorted(edges, u, "right"), len(goal) - 1)
+    slots = {g.source: k[of == i] for i, g in enumerate(goal)}
+    for r in rows:
+        for turn, (w, slot) in enumerate(zip(r.epochs, r.slots, strict=True)):
+            first = r["at"] + turn * r.source_size  # blocks are single words here
+            if w and first < len(slots[r.source]):
+                assert slot == slots[r.source][first]
+    # any stretch of the mix holds each source near its share
+    order = sorted((k, r.source, w) for r in rows for w, k in zip(r.epochs, r.slots, strict=True) if w)
+    half, words = collections.Counter(), 0
+    for _, source, w in order:
+        if words < total / 2:
+            half[source] += w
+            words += w
+    largest = max(r["size"] for r in rows)
+    assert all(abs(half[g.source] - words * g.target / total) <= 0.02 * total + largest for g in goal)
+    text = [r.text for r in mixing.mixed(docs).collect()]
+    assert len(text) == len(order) and sum(len(WORDS.findall(t)) for t in text) == sum(w for *_, w in order)
+
+
+def test_rows_that_share_a_text_keep_their_columns(spark):
+    words = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, words, "en", "a", 5), (1, words, "de", "a", 9), (1, words, "de", "a", 9), (None, words, "fr", "b", 1), (None, words, "fr", "b", 1), (2, "", "en", "c", 3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, mix_rid long")
+    got = collections.Counter()
+    for r in mixing.mixed(d).collect():
+        got[r.doc_id, r.lang, r.mix_rid] += len(r.text.split())
+    plan = mixing.mix(d).collect()
+    assert sum(got.values()) == sum(r.taken for r in plan) and {(1, "en", 5), (1, "de", 9)} <= set(got) | {(None, "fr", 1)}
+    assert sum(n for (i, *_), n in got.items() if i == 1) == round(next(r.target for r in plan if r.source == "a"))
+    again = collections.Counter()
+    for r in mixing.mixed(d).collect():
+        again[r.doc_id, r.lang, r.mix_rid] += len(r.text.split())
+    assert got == again
+
+
 # ---- personal data
 
 
@@ -418,18 +488,70 @@ def test_patterns_equal_plain_ones(texts):
         assert pii.matched(t) == patterns(t)
 
 
-def test_field_adds_what_is_repeated_in_part(spark, docs):
+@pytest.fixture(scope="module")
+def field(spark):
+    """A field trained on made documents with one match of each kind and plain numbers."""
+    rng = random.Random(8)
+    number = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    rows = []
+    for i in range(240):
+        body = number(15)
+        card = next(body + c for c in "0123456789" if pii.luhn(body + c))
+        ip = ".".join(str(rng.randint(1, 255)) for _ in range(4))
+        found = [f"{rng.choice(['mary', 'john', 'kim'])}.{number(3)}@mail{rng.randint(1, 9)}.example.com", ip, card, f"+1 ({number(3)}) 555-{number(4)}"]
+        words = [rng.choice(["the", "in", "year", "of", number(4), number(7), "house", "3.5"]) for _ in range(60)]
+        for m in rng.sample(found, 2):
+            words.insert(rng.randrange(len(words)), m)
+        rows.append((i, " ".join(words)))
+    return pii.trained(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_links_add_what_is_repeated_in_part(field):
+    plan = pii.Plan()
+    cases = [
+        (0, "mary.447@mail2.example.com", "mary.447", "john.981"),
+        (2, "4111111111111111", "11111111", "52839174"),
+        (3, "+1 (555) 123-4567", "1234567", "7654328"),
+        (3, "+1 (555) 123-4567", "123-4567", "765-4328"),
+    ]
+    for kind, whole, part, other in cases:
+        text = f"write to {whole} in the house of the year. Later on they asked for {part} in that house"
+        base, every = pii.both(text, field, plan)
+        at = text.rindex(part)
+        assert base[kind] == [(text.index(whole), text.index(whole) + len(whole))]
+        assert every[kind] == [*base[kind], (at, at + len(part))], part
+        # the same words without the link are not personal data, nor is the part without the whole
+        for clean in (text[:at] + other + text[at + len(part) :], text.replace(whole, "nobody")):
+            base, every = pii.both(clean, field, plan)
+            assert base == every, clean
+
+
+def test_held_out_mentions_are_recovered(field, texts):
+    found = collections.Counter()
     plan = pii.Plan()
-    field = pii.trained(docs.unionByName(docs.filter("false")), plan)
-    number = "4111111111111111"
-    text = f"pay {number} 4000056655665556 now"  # two cards with one space between them match neither
-    base, every = pii.both(text, field, plan)
-    assert base[2] == [] and all(set(b) <= set(e) for b, e in zip(base, every, strict=True))
-    clean = "plain words only, version 3 and 4.0 of 2024"
-    assert pii.both(clean, field, plan)[1] == [[], [], [], []]
+    for t in texts.values():
+        spans = pii.matched(t)
+        text, held = pii.with_mentions(t, spans, [(3, "+1 (999) 888-7776")] if any(spans) else [], 5)
+        base, every = pii.both(text, field, plan)
+        for a, b, label in held:
+            hit = any(x < b and a < y for k, of in enumerate(every) for x, y in of if not label or k == label - 1)
+            found[bool(label), hit] += 1
+    assert found[True, True] >= 0.8 * (found[True, True] + found[True, False]) > 0
+    assert found[False, True] <= 0.1 * (found[False, True] + found[False, False])
+
+
+def test_redaction_and_clean_texts(field):
+    assert pii.both("plain words only, version 3 and 4.0 of 2024", field, pii.Plan())[1] == [[], [], [], []]
     assert pii.redact("a b@c.de f", [[(2, 8)], [], [], []]) == "a <EMAIL> f"
 
 
+def test_a_text_that_does_not_fit_the_sample_is_passed_over(spark):
+    long = (0, "9 " * 4000)
+    rows = [long] + [(i, f"call +1 (555) 555-{1000 + i} now or {1000 + i} then") for i in range(1, 60)]
+    field = pii.trained(spark.createDataFrame(rows, "doc_id long, text string"), pii.Plan(sample_bytes=2000, longest=10_000))
+    assert np.abs(field.pair).max() > 0.5
+
+
 def test_message_passing_is_exact_on_a_chain():
     field = pii.Field(4)
     rng = np.random.default_rng(0)
@@ -460,6 +582,30 @@ def test_counts_equal_brute_force(spark, docs, texts):
     assert (target == want[0] * importance.UNIT).all() and (raw == want[1] * importance.UNIT).all()
 
 
+def test_weights_keys_and_draws_equal_brute_force(spark, small, docs, texts):
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    for plan in (importance.Plan(bits=10), importance.Plan(bits=10, k=40), importance.Plan(bits=10, full=16, lost=0.1)):
+        fit, held = (set(x.tolist()) for x in importance.good_labels(labels, plan))
+        grams = {i: importance.buckets([b" ".join(t.encode().split())], 10)[0] for i, t in texts.items()}
+        target, raw = np.zeros(1024), np.zeros(1024)
+        for i, g in grams.items():
+            counts = np.bincount(g, minlength=1024) * (importance.UNIT * plan.full // max(len(g), plan.full)) / importance.UNIT
+            raw += counts
+            target += counts * (i in fit)
+        ratio = (target + plan.prior) / (target.sum() * raw / raw.sum() + plan.prior)
+        ratio = np.log(ratio / (raw / raw.sum() * ratio).sum())
+        weight = {i: ratio[g].sum() * min(1.0, plan.full / max(1, len(g))) for i, g in grams.items()}
+        rows = {r.doc_id: r for r in importance.resampled(docs, labels, plan).collect()}
+        assert all(rows[i].log_weight == pytest.approx(w, abs=1e-6) for i, w in weight.items())
+        noise = np.array([r.key - r.log_weight for r in rows.values()])
+        assert abs(noise.mean() - 0.577) < 0.35 and abs(noise.std() - 1.28) < 0.4  # Gumbel
+        k = plan.k or sum(w >= np.quantile([weight[i] for i in held if i in weight], plan.lost) - 1e-9 for w in weight.values())
+        best = sorted(rows.values(), key=lambda r: -r.key)[:k]
+        assert {r.doc_id for r in rows.values() if r.kept} == {r.doc_id for r in best}
+        if plan.k:
+            assert {r.doc_id for r in best} != set(sorted(weight, key=lambda i: -weight[i])[:k])  # the noise decides too
+
+
 def test_the_kth_largest(spark):
     rng = random.Random(1)
     values = [rng.choice([rng.gauss(0, 1), rng.gauss(-1e5, 10), 3.5]) for _ in range(500)]
@@ -472,7 +618,7 @@ def test_good_documents_are_drawn(spark, small, docs):
     labels = spark.read.parquet(f"{small}/labels.parquet")
     rows = importance.resampled(docs, labels).join(labels, "doc_id").collect()
     good, bad = [r.kept for r in rows if r.quality], [r.kept for r in rows if not r.quality]
-    assert sum(good) >= 0.95 * len(good) and sum(bad) <= 0.5 * len(bad)
+    assert sum(good) >= 0.95 * len(good) and sum(bad) <= 0.2 * len(bad)
     assert {(r.doc_id, r.kept) for r in rows} == {(r.doc_id, r.kept) for r in importance.resampled(docs, labels).join(labels, "doc_id").collect()}
 
 
