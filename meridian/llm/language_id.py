@@ -30,10 +30,12 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Plan:
-    """order: bytes of the longest context (at most 7); sample_bytes: text that all trees together are counted on."""
+    """order: bytes of the longest context (at most 7); sample_bytes: text that all trees together are counted on;
+    longest: characters of the text that stands in for a language which the sample would leave out."""
 
     order: int = 4
     sample_bytes: int = 3 << 20
+    longest: int = 1 << 16
     seed: int = 42
 
 
@@ -126,20 +128,30 @@ class Trees:
 
 
 def learned(docs: DataFrame, usable, plan: Plan = Plan()) -> Trees:
-    """Trees from a sample of the usable rows with a language: whole texts, about equally many bytes a language."""
-    named = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = named.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()
+    """Trees from a bounded sample of the usable rows with a language, about equally many bytes a language.
+
+    The sample is drawn by a hash of doc_id and text. Every language with a text is learned: where the draw
+    leaves one short, its first document by that hash is added. A text gives as many characters at most as its
+    language is to have bytes. Null and empty texts teach nothing.
+    """
+    named = docs.filter(usable & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
+    draw = F.xxhash64(F.lit(plan.seed), "doc_id", "text")
+    head = F.substring("text", 1, plan.longest)
+    sizes = named.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n"), F.min_by(head, draw).alias("first")).collect()
     texts: dict[str, list[str]] = {}
     if sizes:
-        each = plan.sample_bytes / len(sizes)
-        share = F.create_map(*[x for r in sizes for x in (F.lit(r.lang), F.lit(int(min(1.0, each / max(1, r.n)) * (1 << 30))))])
-        draw = F.pmod(F.xxhash64(F.lit(plan.seed), "doc_id", "text"), F.lit(1 << 30))
+        each = max(1, plan.sample_bytes // len(sizes))
+        share = F.create_map(*[x for r in sizes for x in (F.lit(r.lang), F.lit(int(min(1.0, each / r.n) * (1 << 30))))])
         left = dict.fromkeys((r.lang for r in sizes), 2 * each)  # a bound, whatever the draw
-        some = named.filter(draw < F.element_at(share, F.col("lang"))).select("lang", "text").orderBy("lang", F.xxhash64("text"))
+        some = named.filter(F.pmod(draw, F.lit(1 << 30)) < F.element_at(share, F.col("lang")))
+        some = some.select("lang", F.substring("text", 1, each).alias("text")).orderBy("lang", F.xxhash64("text"))
         for r in some.toLocalIterator():
             if left[r.lang] > 0:
                 texts.setdefault(r.lang, []).append(r.text)
                 left[r.lang] -= len(r.text.encode())
+        for r in sizes:
+            if 2 * each - left[r.lang] < min(each, r.n) // 2:
+                texts.setdefault(r.lang, []).append(r.first[:each])
     return Trees(texts, plan)
 
 
