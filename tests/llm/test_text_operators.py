@@ -121,6 +121,18 @@ def test_language_of_held_out_documents(spark, small, docs):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_every_language_with_text_is_learned(spark):
+    rows = [(i, "kurze zeilen in aa " * 4, "aa") for i in range(50)]
+    rows += [(100 + i, "zq vx long lines of bb " * 20_000, "bb") for i in range(2)]
+    rows += [(200, "one only ünd short", "cc"), (201, None, "dd"), (202, "", "ee"), (203, "no name", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for size in (20_000, 300):
+        trees = language_id.learned(d, F.lit(True), language_id.Plan(sample_bytes=size))
+        assert trees.langs == ["aa", "bb", "cc"]
+        assert {r.doc_id: r.lang_pred for r in language_id.identified(d.filter("doc_id in (1, 100)"), trees).collect()} == {1: "aa", 100: "bb"}
+        assert len(trees.known) < 2 * size
+
+
 def test_no_letters_is_undetermined(spark, odd):
     got = {r.doc_id: r.lang_pred for r in APPLY["language_id"](spark, odd.filter("doc_id in (2, 3, 4, 5)")).collect()}
     assert got[2] == got[3] == got[4] == "und" and got[5] != "und"
@@ -370,6 +382,28 @@ def test_each_license_alone_wrapped_and_in_comments(name, wording):
                 assert [(f[0], f[3]) for f in s.scan(around + "\n" + text + around)] == [(name, 0)], (mark, parts)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_exact_wordings_at_all_places(seed):
+    rng, s = random.Random(seed), licenses.Scanner()
+    pool = sorted({w for _, wording, _ in licenses.TEMPLATES for w in wording.split()})
+    for _ in range(5):
+        words = []
+        for _ in range(rng.randint(2, 10)):
+            words += rng.choice(licenses.TEMPLATES)[1].split() if rng.random() < 0.7 else rng.sample(pool, rng.randint(1, 30))
+            words += ["alpha"] * rng.randint(0, 3)
+        text = " ".join(words)
+        places = [(m[0], m.start(), m.end()) for m in WORDS.finditer(text) if licenses._plain(m[0])]
+        plain = [licenses._plain(w) for w, _, _ in places]
+        exact = set()
+        for name, wording, _ in licenses.TEMPLATES:
+            want = [w for x in wording.split() if (w := licenses._plain(x))]
+            exact |= {(name, places[i][1], places[i + len(want) - 1][2]) for i in range(len(plain) - len(want) + 1) if plain[i : i + len(want)] == want}
+        longest = {(n, a, z) for n, a, z in exact if not any((c, y) != (a, z) and c < z and a < y and (y - c > z - a or (c <= a and z <= y)) for _, c, y in exact)}
+        got = {(n, a, z) for n, a, z, differ, _ in s.scan(text) if not differ}
+        assert got <= exact
+        assert {(a, z) for _, a, z in longest} <= {(a, z) for _, a, z in got}
+
+
 # ---- mixing
 
 
