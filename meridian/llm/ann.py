@@ -7,9 +7,12 @@ visits that reached the calibrated recall, and enough candidates. The visits are
 calibrated by widening them until a sample of queries, searched exactly against all
 vectors, finds the wanted share of its true neighbours.
 
-Queries meet candidates in blocks of bounded size on both sides, so neither a crowded
-leaf nor a popular one fills a task. Equal vectors are searched once: of each, the k + 1
-smallest ids can be answers, and equal queries share one search.
+Neighbouring leaves form parts of about ``block`` candidates. A query is sent once to each
+part it visits, with the list of its leaves there, and comes back with one list of answers,
+however many of the part's leaves it visits. Queries meet candidates in blocks of bounded
+size on both sides, so neither a crowded leaf nor a popular one fills a task. Equal vectors
+are searched once: of each, the k + 1 smallest ids can be answers, and equal queries share
+one search.
 """
 
 from __future__ import annotations
@@ -30,13 +33,14 @@ from meridian.llm.common import stable, table, tidy
 class Plan:
     """sample: vectors the tree is fitted on; sample_bytes bounds it for wide vectors; branching: children of
     a node; leaf: vectors a leaf should hold; calibration: queries searched exactly; recall: what they must
-    reach; block, visits: candidates and queries that meet at once."""
+    reach; block, visits: candidates and queries that meet at once. Beyond sample / least leaves, leaves grow with
+    the data instead of their number."""
 
-    sample: int = 20_000
+    sample: int = 100_000
     sample_bytes: int = 64 << 20
     branching: int = 12
     leaf: int = 200
-    most_leaves: int = 5_000
+    least: int = 4
     rounds: int = 8
     calibration: int = 96
     recall: float = 0.97
@@ -104,7 +108,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> tup
 def fit_tree(sample: np.ndarray, total: int, plan: Plan) -> Tree:
     """A tree with about total / leaf leaves, from a sample of distinct vectors."""
     tree, rng = Tree(), np.random.default_rng(plan.seed)
-    leaves = max(1, min(plan.most_leaves, total // plan.leaf, len(sample) // 4))
+    leaves = max(1, min(total // plan.leaf, len(sample) // plan.least))
     most = max(1, len(sample) // leaves)
 
     def grow(rows: np.ndarray) -> int:
@@ -153,19 +157,34 @@ def _matrix(column, kind: str, d: int) -> np.ndarray:
     return np.frombuffer(b"".join(parts), kind).reshape(-1, d).astype(np.float64)
 
 
-def _best(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(scores, ids, places) of each query's k best candidates; scores are summed in one fixed order."""
-    step = max(1, 4_000_000 // max(1, len(c)))
+def _best(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, leaf: np.ndarray | None = None, visited: list[np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(scores, ids, places) of each query's k best candidates; scores are summed in one fixed order.
+
+    With visited, a query only meets candidates whose leaf is among its own; candidates are then sorted by leaf.
+    """
+    step = max(1, 2_000_000 // max(1, len(c)))
+    if visited is not None:
+        names, first = np.unique(leaf, return_index=True)
+        upto = np.append(first[1:], len(leaf))
     for at in range(0, len(q), step):
-        rough = q[at : at + step] @ c.T
-        if len(c) > k:
-            floor = np.partition(rough, len(c) - k, axis=1)[:, len(c) - k]
+        part = q[at : at + step]
+        if visited is None:
+            rough = part @ c.T
         else:
-            floor = np.full(len(rough), -np.inf)
-        slack = 1e-9 * (1 + np.abs(floor))
+            rough = np.full((len(part), len(c)), -np.inf)
+            mine = visited[at : at + step]
+            who = np.repeat(np.arange(len(part)), [len(v) for v in mine])
+            where = np.concatenate(mine)
+            order = np.argsort(where, kind="stable")
+            who, where = who[order], where[order]
+            for name, lo, hi, a, b in zip(names.tolist(), first.tolist(), upto.tolist(), np.searchsorted(where, names).tolist(), np.searchsorted(where, names, "right").tolist(), strict=True):
+                if b > a:
+                    rough[who[a:b], lo:hi] = part[who[a:b]] @ c[lo:hi].T
+        floor = np.partition(rough, len(c) - k, axis=1)[:, len(c) - k] if len(c) > k else np.full(len(rough), -np.inf)
+        slack = np.where(np.isfinite(floor), 1e-9 * (1 + np.abs(floor)), 0.0)
         for i, row in enumerate(rough):
-            near = np.flatnonzero(row >= floor[i] - slack[i]) if len(c) > k else np.arange(len(c))
-            exact = (c[near] * q[at + i]).sum(axis=1)
+            near = np.flatnonzero((row >= floor[i] - slack[i]) & (row > -np.inf))
+            exact = (c[near] * part[i]).sum(axis=1)
             order = np.lexsort((ids[near], -exact))[:k]
             yield exact[order], ids[near][order], near[order]
 
@@ -230,9 +249,9 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, plan: Plan = Plan()) -
     base = stable(base)
     if not d:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    # Equal vectors are equally near: the k + 1 smallest ids are all that a query can be given.
+    # A repeated row is one candidate. Equal vectors are equally near: the k + 1 smallest ids are all that a query can be given.
     first = Window.partitionBy("v").orderBy("vec_id")
-    distinct = base.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= k + 1)
+    distinct = base.dropDuplicates(["vec_id", "v"]).withColumn("place", F.row_number().over(first)).filter(F.col("place") <= k + 1)
     total = base.count()
     wanted = max(1, min(plan.sample, plan.sample_bytes // (d * 8)))
     share = int(min(1.0, 0.9 * wanted / total) * (1 << 30))
@@ -240,10 +259,11 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, plan: Plan = Plan()) -
     sample = [r.v for r in base.filter(by_hash(plan.seed) < share).orderBy("vec_id").limit(wanted).collect()]
     sample = _matrix(sorted(set(sample)), kind, d) if sample else np.zeros((0, d))
     tree = fit_tree(sample, total, plan)
+    shared = spark.sparkContext.broadcast(tree)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            leaf = tree.place(_matrix(b.column("v"), kind, d)) if b.num_rows else np.zeros(0, np.int64)
+            leaf = shared.value.place(_matrix(b.column("v"), kind, d)) if b.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(leaf)], ["vec_id", "v", "leaf"])
 
     index = stable(distinct.select("vec_id", "v").mapInArrow(tidy(placed), "vec_id long, v binary, leaf long"))
@@ -256,52 +276,70 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, plan: Plan = Plan()) -
     groups = stable(asked.groupBy("v").agg(F.min("vec_id").alias("group")))
     visits = calibrated(index, groups, tree, kind, d, k, plan)
 
+    part = np.zeros(tree.leaves, np.int64)  # of each leaf: neighbours in the tree, up to about a block
+    filled, now = 0, 0
+    for leaf in range(tree.leaves):
+        if filled and filled + held[leaf] > plan.block:
+            filled, now = 0, now + 1
+        part[leaf], filled = now, filled + held[leaf]
+
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "v", "part", "at"]
         for b in batches:
             q = _matrix(b.column("v"), kind, d) if b.num_rows else np.zeros((0, d))
             out = []
             for i, (group, raw) in enumerate(zip(b.column("group").to_pylist(), b.column("v").to_pylist(), strict=True)):
-                seen = met = 0
-                for leaf in tree.walk(q[i]):
-                    out.append((group, raw, leaf))
-                    seen, met = seen + 1, met + held[leaf]
-                    if seen >= visits and met > k:
+                seen, met = [], 0
+                for leaf in shared.value.walk(q[i]):
+                    seen.append(leaf)
+                    met += held[leaf]
+                    if len(seen) >= visits and met > k:
                         break
+                leaves = np.sort(np.array(seen, np.int32))
+                cuts = np.flatnonzero(np.diff(part[leaves])) + 1
+                out += [(group, raw, int(part[x[0]]), x.tobytes()) for x in np.split(leaves, cuts)]
                 if len(out) >= 10_000:
-                    yield _answers(out, ["group", "v", "leaf"])
+                    yield _answers(out, names)
                     out = []
             if out:
-                yield _answers(out, ["group", "v", "leaf"])
-
-    visited = stable(groups.select("group", "v").mapInArrow(tidy(walked), "group long, v binary, leaf long"))
-    calls = {r.leaf: r.n for r in visited.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    grid = [(leaf, max(1, -(-int(held[leaf]) // plan.block)), max(1, -(-n // plan.visits))) for leaf, n in calls.items() if held[leaf]]
-    # One row a leaf, at most most_leaves of them.
-    shape = F.broadcast(spark.createDataFrame(grid or [(-1, 1, 1)], "leaf long, blocks long, turns long"))
+                yield _answers(out, names)
+
+    visited = stable(groups.select("group", "v").mapInArrow(tidy(walked), "id long, v binary, part long, at binary"))
+    calls = {r.part: r.n for r in visited.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    inside = np.bincount(part, held)
+    shape = {p: (p, max(1, -(-int(inside[p]) // plan.block)), max(1, -(-n // plan.visits))) for p, n in calls.items() if inside[p]}
+    # One row a part, and one a leaf: at most sample / least of them.
+    shapes = F.broadcast(spark.createDataFrame(list(shape.values()) or [(-1, 1, 1)], "part long, blocks long, turns long"))
+    leaves = F.broadcast(spark.createDataFrame([(leaf, *shape[p]) for leaf, p in enumerate(part.tolist()) if p in shape] or [(-1, -1, 1, 1)], "leaf long, part long, blocks long, turns long"))
     span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    cell = F.xxhash64("leaf", "block", "turn").alias("cell")
-    here = index.join(shape, "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks")).select("*", span("turns").alias("turn")).select(cell, F.lit(0).alias("side"), F.col("vec_id").alias("id"), "v", "leaf")
-    ask = visited.join(shape, "leaf").withColumn("turn", F.pmod(F.xxhash64("group"), "turns")).select("*", span("blocks").alias("block")).select(cell, F.lit(1).alias("side"), F.col("group").alias("id"), "v", "leaf")
+    cell = F.xxhash64("part", "block", "turn").alias("cell")
+    own = F.unhex(F.lpad(F.hex("leaf"), 8, "0"))  # big-endian, 4 bytes
+    here = index.join(leaves, "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks")).select("*", span("turns").alias("turn")).select(cell, F.lit(0).alias("side"), F.col("vec_id").alias("id"), "v", own.alias("at"))
+    ask = visited.join(shapes, "part").withColumn("turn", F.pmod(F.xxhash64("id"), "turns")).select("*", span("blocks").alias("block")).select(cell, F.lit(1).alias("side"), "id", "v", "at")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, c_ids, c_raw, q_ids, q_raw, leaf = None, [], [], [], [], 0
+        now, c_ids, c_raw, c_at, q_ids, q_raw, q_at = None, [], [], [], [], [], []
 
         def close():
             if not q_ids or not c_ids:
                 return
-            ids = np.array(c_ids, np.int64)
-            found = _best(_matrix(q_raw, kind, d), _matrix(c_raw, kind, d), ids, k + 1)
-            rows = [(g, s.tobytes(), v.tobytes(), np.full(len(v), leaf).tobytes()) for g, (s, v, _) in zip(q_ids, found, strict=True)]
+            leaf = np.frombuffer(b"".join(c_at), ">i4").astype(np.int64)
+            order = np.argsort(leaf, kind="stable")
+            ids, leaf = np.array(c_ids, np.int64)[order], leaf[order]
+            own = [np.frombuffer(x, np.int32) for x in q_at]
+            found = _best(_matrix(q_raw, kind, d), _matrix(c_raw, kind, d)[order], ids, k + 1, leaf, own)
+            rows = [(g, s.tobytes(), v.tobytes(), leaf[at].tobytes()) for g, (s, v, at) in zip(q_ids, found, strict=True)]
             yield _answers(rows, ANSWER_NAMES)
 
         for b in batches:
             for cell, side, i, raw, at in zip(*(b.column(j).to_pylist() for j in range(5)), strict=True):
                 if cell != now:
                     yield from close()
-                    now, c_ids, c_raw, q_ids, q_raw, leaf = cell, [], [], [], [], at
+                    now, c_ids, c_raw, c_at, q_ids, q_raw, q_at = cell, [], [], [], [], [], []
                 (q_ids if side else c_ids).append(i)
                 (q_raw if side else c_raw).append(raw)
+                (q_at if side else c_at).append(at)
         yield from close()
 
     parts = here.unionByName(ask).repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(tidy(met), ANSWER)
