@@ -691,6 +691,24 @@ def test_odd_vectors_and_ties(spark):
     assert ann.search(d.filter("vec_id = 20")).count() == 0
 
 
+@pytest.mark.parametrize("block", [64, 4096])
+def test_repeated_rows_and_blocks_lose_no_neighbours(spark, block):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 8))
+    x = (centres[rng.integers(12, size=1500)] + 0.3 * rng.normal(size=(1500, 8))).astype(np.float32).astype(float)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] * 2
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    plan = ann.Plan(leaf=40, block=block, visits=16, recall=1.0, calibration=75)
+    found = collections.defaultdict(list)
+    for r in ann.search(d, plan=plan).orderBy("query_id", "rank").collect():
+        found[r.query_id].append(r.vec_id)
+    assert len(found) == 75
+    for q, got in found.items():  # all queries are calibrated on and reach all of their neighbours
+        s = (x * x[q]).sum(axis=1)
+        s[q] = -np.inf
+        assert got == np.lexsort((np.arange(len(x)), -s))[:20].tolist()
+
+
 def test_the_pipeline(spark, small, docs):
     import corpus_pipeline as c
 
