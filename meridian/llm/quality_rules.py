@@ -96,14 +96,18 @@ def runs(ordered: Column) -> Column:
 def common_words(docs: DataFrame, rules: Rules) -> list[tuple[str, str, int]]:
     """(lang, word, n): the most frequent words of each language, and of all documents as POOLED.
 
-    Bounded by ``common`` rows a language; every word of every document is counted.
+    Bounded by ``common`` rows a language; every word of every document is counted, documents without a language
+    among all. Ties go to the smaller word.
     """
     each = docs.select(F.coalesce("lang", F.lit(POOLED)).alias("lang"), F.explode(words_of(F.col("text"))).alias("word"))
     counts = each.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    held = counts.groupBy("word").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("n"))
+    named = F.filter("by", lambda x: x["lang"] != POOLED)
+    whole = F.array(F.struct(F.lit(POOLED).alias("lang"), F.col("n").alias("n")))
+    every = held.select("word", F.inline(F.concat(named, whole)))
     best = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
-    # A word among the most frequent of all documents need not be among a language's, so candidates for both are kept wide.
-    tops = counts.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= 4 * rules.common)
-    return [(r.lang, r.word, r.n) for r in tops.drop("place").collect()]
+    tops = every.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= rules.common)
+    return [(r.lang, r.word, r.n) for r in tops.collect()]
 
 
 def measured(docs: DataFrame, common: list[str]) -> DataFrame:
@@ -143,16 +147,14 @@ def references(figures: DataFrame, tops: list[tuple[str, str, int]], rules: Rule
     rows = sums.groupBy("lang").agg(F.sum("n_words").alias("words"), *[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(n)]).collect()
     totals = {r["lang"]: (r["words"], [r[f"c{i}"] for i in range(n)]) for r in rows}
     all_words = sum(w for w, _ in totals.values())
-    pooled: dict[str, int] = {}
     by_lang: dict[str, list[tuple[int, str]]] = {}
     for lang, word, count in tops:
-        pooled[word] = pooled.get(word, 0) + count
         by_lang.setdefault(lang, []).append((count, word))
-    found = {POOLED: (all_words, [sum(c[i] for _, c in totals.values()) for i in range(n)], [(c, w) for w, c in pooled.items()])}
+    found = {POOLED: (all_words, [sum(c[i] for _, c in totals.values()) for i in range(n)], by_lang.get(POOLED, []))}
     found |= {k: (w, c, by_lang.get(k, [])) for k, (w, c) in totals.items() if w >= rules.least_reference and k != POOLED}
     out = []
     for lang, (words, classes, best) in found.items():
-        best = sorted(best, key=lambda x: (-x[0], x[1]))[: rules.common]
+        best = sorted(best, key=lambda x: (-x[0], x[1]))
         shares = [c / words for c, _ in best] if words else []
         out.append((lang, [w for _, w in best], [*shares, max(0.0, 1.0 - sum(shares))], [c / max(1, sum(classes)) for c in classes]))
     listed = lambda values, kind: F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
@@ -217,7 +219,8 @@ OP5_SQL = r"""
 WITH d0 AS (SELECT doc_id, coalesce(lang, '*') AS lang, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),
 d AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d0),
 wc AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(w) AS word FROM d) GROUP BY lang, word),
-tops AS (SELECT * FROM wc QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, encode(word)) <= 256),
+tops AS (SELECT * FROM (SELECT * FROM wc WHERE lang <> '*' UNION ALL SELECT '*', word, sum(n) FROM wc GROUP BY word)
+         QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, encode(word)) <= 64),
 win AS (SELECT rid, i, w[i:i + 7] AS k FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 6, 1))) AS i FROM d)),
 rep AS (SELECT rid, count(DISTINCT c) AS n FROM (
           SELECT rid, unnest(range(i, i + 8)) AS c FROM (SELECT *, count(*) OVER (PARTITION BY rid, k) AS n FROM win) WHERE n > 1) GROUP BY rid),
@@ -234,7 +237,7 @@ cl AS (SELECT lang, i, CAST(sum(c) AS DOUBLE) AS c FROM (SELECT lang, unnest(cls
 keep AS (SELECT lang, words FROM tot WHERE words >= 5000 AND lang <> '*'),
 allw AS (SELECT sum(words) AS words FROM tot),
 refw0 AS (SELECT t.lang, t.word, t.n, k.words FROM tops t JOIN keep k USING (lang)
-          UNION ALL SELECT '*', word, sum(n), (SELECT words FROM allw) FROM tops GROUP BY word),
+          UNION ALL SELECT lang, word, n, (SELECT words FROM allw) FROM tops WHERE lang = '*'),
 refw AS (SELECT lang, word, n / words AS q FROM refw0 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, encode(word)) <= 64),
 refo AS (SELECT lang, greatest(0.0, 1 - sum(q)) AS other FROM refw GROUP BY lang),
 refc AS (SELECT lang, i, c / sum(c) OVER (PARTITION BY lang) AS q FROM (
