@@ -35,6 +35,9 @@ PACK_BYTES = 4 << 20
 SAMPLE_DOCS = 8_000
 FREQUENT = 6
 MOST_FREQUENT = 1 << 16
+#: Text whose windows come to a bucket, and to a partition of buckets, on the average, at most.
+BUCKET_BYTES = 8 << 20
+PART_BYTES = 256 << 20
 #: Of zstandard, for strings and texts that are shuffled.
 LEVEL = 6
 NO_ID = -(1 << 63)
@@ -155,9 +158,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
-def frequent_runs(keyed: DataFrame, sample: int = SAMPLE_DOCS) -> np.ndarray:
-    """Hashes of word runs that many documents of a bounded sample hold."""
-    n = keyed.count()
+def frequent_runs(keyed: DataFrame, n: int, sample: int = SAMPLE_DOCS) -> np.ndarray:
+    """Hashes of word runs that many documents of a bounded sample of the n hold."""
     if not n:
         return np.empty(0, np.uint64)
     share = int(min(1.0, sample / n) * (1 << 30))
@@ -178,9 +180,11 @@ def frequent_runs(keyed: DataFrame, sample: int = SAMPLE_DOCS) -> np.ndarray:
 def repeats(keyed: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc, key, lo, hi): runs of windows, by first word, whose word sequence starts elsewhere too."""
     spark = keyed.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * parts
-    frequent = frequent_runs(keyed)
+    n, size = keyed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    # a task holds a bucket at a time: there are as many as keep it small, whatever the number of partitions
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
+    buckets = max(4 * parts, size // BUCKET_BYTES)
+    frequent = frequent_runs(keyed, n)
     strings = "bucket int, blob binary, doc binary, key binary, start binary, last binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
