@@ -1,8 +1,8 @@
 """Many voyage searches at once: one row a search, one task for as many rows as come to it.
 
-A search is sequential inside and independent of all others, so jobs are spread over
-tasks and each search runs whole where it lands. A search that fails gives a row with
-its error instead of failing the job.
+A search is sequential inside and independent of all others, so jobs are dealt one by one
+over many tasks and each search runs whole where it lands. A search that fails gives a row
+with its error instead of failing the job.
 """
 
 from __future__ import annotations
@@ -27,26 +27,36 @@ JOB = ("run", "lon1", "lat1", "lon2", "lat2", "lon_min", "lon_max", "lat_min", "
 WAYPOINTS = "run long, k int, lon double, lat double, seconds double, load double, fuel double, land_m double, fitness double, error string"
 
 
-def wind_of(cells: DataFrame, lon: float, lat: float, step: float, step_s: float, crossfade_s: float | None = None, most: int = 4_000_000) -> GridWind:
-    """A task's wind from baked cells (ix, iy, uv); a bake is bounded to 1024 cells a side, checked here by ``most``."""
+def wind_of(cells: DataFrame, lon: float, lat: float, step: float, step_s: float, crossfade_s: float | None = None, most: int = 64_000_000) -> GridWind:
+    """A task's wind from baked cells (ix, iy, uv), at most ``most`` cells times frames (8 bytes each): 61 frames of
+    a bake of the largest size, 1024 cells a side. It goes to the executors as one broadcast."""
     shape = cells.agg(F.max("ix"), F.max("iy"), F.max(F.size("uv"))).first()
     nx, ny, nt = (0 if v is None else int(v) + d for v, d in zip(shape, (1, 1, 0), strict=True))
     if not 0 < nx * ny * nt <= most:
         raise ValueError(f"a wind of {nx} x {ny} x {nt} cells does not fit a task")
-    uv = np.full((ny, nx, nt, 2), np.nan)
-    for r in cells.toLocalIterator():
-        uv[r.iy, r.ix] = [(s.u, s.v) for s in r.uv]
+    uv = np.full((ny, nx, nt, 2), np.nan, np.float32)
+    part = lambda c: F.transform("uv", lambda s: s[c].cast("float")).alias(c)
+    for b in cells.filter(F.size("uv") == nt).select("ix", "iy", part("u"), part("v")).toArrow().to_batches():
+        ix, iy = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        for k in (0, 1):
+            uv[iy, ix, :, k] = b.column(2 + k).flatten().to_numpy(zero_copy_only=False).reshape(-1, nt)
     return GridWind(uv, lon, lat, step, step_s, crossfade_s)
 
 
 def land_of(grid: DataFrame, cell: float) -> GridLand:
     """A task's land from a mask (i, j, is_land): at most 360 * 180 / cell^2 cells."""
     mask = np.zeros((round(180 / cell), round(360 / cell)), bool)
-    for r in grid.filter("is_land").select("i", "j").toLocalIterator():
-        mask[r.j, r.i] = True
+    for b in grid.filter("is_land").select("i", "j").toArrow().to_batches():
+        mask[b.column(1).to_numpy(zero_copy_only=False), b.column(0).to_numpy(zero_copy_only=False)] = True
     return GridLand(mask, cell)
 
 
+def dealt(jobs: DataFrame, tasks: int | None = None) -> DataFrame:
+    """jobs in so many tasks, by default a few for each core, one by one in turn; adaptive execution leaves a stated
+    number as it is. A search outweighs its row by far, so none should wait for another while a core is idle."""
+    return jobs.repartition(tasks or 4 * jobs.sparkSession.sparkContext.defaultParallelism)
+
+
 def _problem(job, ship: Ship, wind, land, settings: kernel.Settings) -> kernel.Problem:
     known = {k: getattr(job, k) for k in kernel.Settings.__dataclass_fields__ if hasattr(job, k)}
     cast = {k: type(getattr(settings, k))(v) for k, v in known.items() if v is not None and v == v}
@@ -73,8 +83,7 @@ def _each(jobs: DataFrame, work: Callable, tasks: int | None) -> DataFrame:
                 except (kernel.NoRoute, ValueError) as e:
                     yield _failed(job.run, f"{type(e).__name__}: {e}")
 
-    spread = jobs.repartition(tasks, "run") if tasks else jobs.repartition("run")
-    return spread.mapInPandas(run, WAYPOINTS)
+    return dealt(jobs, tasks).mapInPandas(run, WAYPOINTS)
 
 
 def searched(jobs: DataFrame, ship: Ship, wind, land, settings: kernel.Settings = kernel.Settings(), tasks: int | None = None) -> DataFrame:
@@ -130,7 +139,7 @@ def evolutions(jobs: DataFrame, ship: Ship, wind, land, settings: kernel.Setting
                     n = len(f["fit"])
                     yield pd.DataFrame({"run": job.run, "iteration": np.full(n, k, np.int32), "particle": np.arange(n, dtype=np.int32), "niche": found.niches.astype(np.int32), "fit": f["fit"], "best_fit": f["best_fit"]})
 
-    return jobs.repartition("run").mapInPandas(run, "run long, iteration int, particle int, niche int, fit double, best_fit double")
+    return dealt(jobs).mapInPandas(run, "run long, iteration int, particle int, niche int, fit double, best_fit double")
 
 
 def sea_paths(jobs: DataFrame, land: GridLand) -> DataFrame:
@@ -144,7 +153,7 @@ def sea_paths(jobs: DataFrame, land: GridLand) -> DataFrame:
                     x, y = np.array(line, float).T
                     yield pd.DataFrame({"run": job.run, "k": np.arange(len(x), dtype=np.int32), "lon": x, "lat": y})
 
-    return jobs.repartition("run").mapInPandas(run, "run long, k int, lon double, lat double")
+    return dealt(jobs).mapInPandas(run, "run long, k int, lon double, lat double")
 
 
 # ---- studies

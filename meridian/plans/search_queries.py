@@ -35,7 +35,18 @@ ins AS (SELECT i, j, poly FROM ce, ed WHERE (y1 > lat) <> (y2 > lat) AND lon < x
 mk AS (SELECT ce.*, EXISTS (SELECT 1 FROM ins WHERE ins.i = ce.i AND ins.j = ce.j) AS is_land FROM ce)"""
 
 
-RASTERIZE = f"WITH {_mask_sql(2.0)} SELECT i, j FROM mk WHERE is_land"
+def _raster_sql(cell: float) -> str:
+    """Land by scan lines: the cuts of each row's centre line, paired in order."""
+    nx, ny = round(360 / cell), round(180 / cell)
+    edges = _mask_sql(cell).split("ce AS")[0]
+    return f"""{edges}ln AS (SELECT j, (j + 0.5::DOUBLE) * {cell} - 90 AS lat FROM range({ny}) b(j)),
+cut AS (SELECT poly, j, x1 + (lat - y1) / (y2 - y1) * (x2 - x1) AS x FROM ed JOIN ln ON (y1 > lat) <> (y2 > lat)),
+num AS (SELECT poly, j, x, row_number() OVER (PARTITION BY poly, j ORDER BY x) AS n FROM cut),
+pr AS (SELECT a.j, a.x AS lo, b.x AS hi FROM num a JOIN num b ON a.poly = b.poly AND a.j = b.j AND b.n = a.n + 1 WHERE a.n % 2 = 1),
+ras AS (SELECT DISTINCT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j FROM pr, range({nx}) c(i) WHERE (i + 0.5::DOUBLE) * {cell} - 180 >= lo AND (i + 0.5::DOUBLE) * {cell} - 180 < hi)"""
+
+
+RASTERIZE = f"WITH {_raster_sql(2.0)} SELECT i, j FROM ras"
 
 
 def _sdf(spark):

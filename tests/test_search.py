@@ -163,3 +163,94 @@ def test_study_scores(spark):
     for rows, want in (([("a", -1000.0), ("b", -2000.0)], 1.0), ([("a", -950.0), ("b", -1900.0)], 0.95), ([("a", -1100.0)], 1.1), ([("c", -1.0)], float("inf"))):
         routes = spark.createDataFrame([(0, *r) for r in rows], "trial int, route string, mean double")
         assert study.scores(routes, base).first().score == pytest.approx(want)
+
+
+def test_jobs_are_dealt_over_tasks(spark):
+    from pyspark.sql import functions as F
+
+    jobs = spark.range(100).coalesce(1).withColumnRenamed("id", "run")
+    where = searches.dealt(jobs).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(where) > 8 and max(r["count"] for r in where) <= 2 * 100 / len(where)
+    assert searches.dealt(jobs, 3).rdd.getNumPartitions() == 3
+
+
+def test_a_wind_of_many_cells(spark):
+    n, frames = 300, 60  # more cells times frames than a few million
+    cell = "transform(sequence(0, {}), f -> struct(cast(ix + f / 100 as double) as u, cast(iy - f / 100 as double) as v))".format(frames - 1)
+    cells = spark.range(n * n).selectExpr(f"cast(id % {n} as int) as ix", f"cast(id div {n} as int) as iy").selectExpr("ix", "iy", f"{cell} as uv")
+    wind = searches.wind_of(cells, 0.0, 0.0, 1.0, 3600.0)
+    assert wind.uv.shape == (n, n, frames, 2) and wind.uv.dtype == np.float32
+    u, v = wind.sample(np.array([7.0, 299.0]), np.array([9.0, 0.0]), np.array([0.0, 3600.0 * 50]))
+    assert u == pytest.approx([7.0, 299.5], rel=1e-6) and v == pytest.approx([9.0, -0.5], rel=1e-6)
+    with pytest.raises(ValueError, match="does not fit"):
+        searches.wind_of(cells, 0.0, 0.0, 1.0, 3600.0, most=1000)
+
+
+def test_checks_are_not_vacuous(spark, small):
+    from meridian.plans import kernel_queries as q
+    from pyspark.sql import functions as F
+
+    found, jobs = q.search_voyages(spark, small).cache(), q._jobs(spark, small)
+    for broken, column in (("fitness", "weighed"), ("fuel", "fuelled"), ("lat", "starts")):
+        bad = q.checked(found.withColumn(broken, F.col(broken) * 1.01 + 0.001), jobs, q.SMALL)
+        assert bad.filter(~F.col(column)).count() == bad.count() > 0
+    slow = found.withColumn("seconds", F.when(F.col("k") == 2, -1.0).otherwise(F.col("seconds")))
+    assert q.checked(slow, jobs, q.SMALL).filter("not timed").count() == jobs.count()
+    found.unpersist()
+
+
+CORRIDORS = FormulaWind(lambda x, y, t: (12 * np.minimum(np.abs(y) / 2, 1), np.zeros(np.shape(x))))
+
+
+def _spread(frame):
+    """Mean distance of the particles' paths from their centre, in degrees."""
+    x, y = frame["x"], frame["y"]
+    return float(np.hypot(x - x.mean(axis=0), y - y.mean(axis=0)).mean())
+
+
+def test_a_ring_keeps_apart_and_loses_little():
+    def run(topology, iterations):
+        s = kernel.Settings(waypoints=6, particles=24, iterations=iterations, time_particles=8, time_iterations=4, seed=11, topology=topology)
+        return kernel.search(kernel.Problem(Ship(), CORRIDORS, NoLand(), Bounds((-14.0, 0.5), (14.0, -0.5), Box(-19.0, 19.0, -9.0, 9.0)), s))
+
+    one, ring = run("gbest", 20), run("ring", 30)
+    assert ring.fit >= one.fit * 1.05  # fitness is a negative cost
+    assert _spread(ring.frames[19]) > _spread(one.frames[19])
+
+
+@pytest.mark.parametrize("seed", [0, 3])
+def test_cohorts_stay_on_their_side_of_a_bar(seed):
+    lon, lat = np.arange(720) / 2 + 0.25 - 180, np.arange(360) / 2 + 0.25 - 90
+    land = GridLand((np.abs(lat) < 1)[:, None] & (np.abs(lon) < 14)[None, :], 0.5)
+    s = kernel.Settings(waypoints=8, particles=24, iterations=12, time_particles=8, time_iterations=4, kick_probability=0.0, topology="niched", seed=seed)
+    uneven = FormulaWind(lambda x, y, t: (np.where(y < 0, 10.0, 0.5), np.zeros(np.shape(x))))
+    found = kernel.search(kernel.Problem(Ship(), uneven, land, Bounds((-19.0, 0.0), (19.0, 0.0), Box(-24.0, 24.0, -9.0, 9.0)), s))
+    last = found.frames[-1]
+    mid = last["best_y"][:, 3:5].mean(axis=1)
+    assert (mid[found.niches == 1] > -1).all() and (mid[found.niches == 2] < 1).all()
+
+
+def test_most_of_the_first_swarm_is_at_sea():
+    class Bar(BoxLand):
+        def sea_path(self, origin, destination, box, bias=None):
+            side = -1 if bias == "south" else 1
+            return [origin, (-3.0, 10.5 * side), (0.0, 10.5 * side), (3.0, 10.5 * side), destination]
+
+    bounds = Bounds((-15.0, 0.0), (15.0, 0.0), Box(-20.0, 20.0, -12.0, 12.0))
+    for seed in (5, 42):
+        p = kernel.Problem(Ship(), STEADY, Bar(-2.0, 2.0, -9.0, 9.0), bounds, kernel.Settings(waypoints=8, particles=32))
+        x, y, niche = kernel.started(p, np.random.default_rng(seed))
+        over = legs.land_metres(p.land, x[:, :-1], y[:, :-1], x[:, 1:], y[:, 1:], bounds.cap).sum(axis=1)
+        assert (over < 50_000).mean() > 0.6 and (over[niche == 0] > 50_000).all()
+
+
+def test_topologies_cost_about_the_same():
+    rng = np.random.default_rng(2)
+    uv = rng.normal(0, 4, (20, 20, 1, 2))
+    from meridian.kernels.fields import GridWind
+
+    wind, cost = GridWind(uv, 0.0, 0.0, 1.0, 3600.0), {}
+    for topology in kernel.TOPOLOGIES:
+        s = kernel.Settings(waypoints=12, particles=16, iterations=10, time_particles=8, time_iterations=6, seed=3, topology=topology)
+        cost[topology] = -kernel.search(kernel.Problem(Ship(), wind, NoLand(), Bounds((2.0, 3.0), (17.0, 18.0), Box(0.0, 19.0, 0.0, 19.0)), s)).fit
+    assert all(np.isfinite(c) and c <= 1.5 * cost["gbest"] for c in cost.values())
