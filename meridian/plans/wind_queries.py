@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
+import pandas as pd
 from pyspark.sql import functions as F
 
-from meridian.functions import text, winds
+from meridian.functions import geo, text, winds
 from meridian.operators import grids as ops
 from meridian.plans.sqltext import circ, mod, rnd
 from meridian.plans.voyage_queries import r
 from meridian.session import table
-from meridian.sources import archive
+from meridian.sources import archive, grib
 from meridian.sources.observations import OBSERVATIONS_SQL, wind_observations
 
 # The grid that queries look up, by whole-number rules.
@@ -273,6 +276,39 @@ def lod_decimate(spark, sf_dir):
 
 LOD = f"WITH {FRAMES_SQL} SELECT i, j, {rnd('(lon - 10) * cos(radians(45)) * 4', 6)} AS x, {rnd('-(lat - 45) * 4', 6)} AS y, {rnd('lon', 6)} AS lon, {rnd('lat', 6)} AS lat FROM fr WHERE f = 2 AND i BETWEEN 5 AND 30 AND j BETWEEN 2 AND 14 AND i % 4 = 0 AND j % 4 = 0"
 
+# ---- forecast files
+
+FORECAST = ops.Grid(-30.0, -20.0, 2.5, 2.5, 25, 17, 6, 10800.0)
+#: How the file of each frame is packed: data template, order of differences, order of points.
+PACKINGS = ((0, 0, 0x40), (2, 0, 0x60), (3, 1, 0x50), (3, 2, 0x70), (4, 0, 0x40), (41, 4, 0x40))
+
+
+def _forecast_files(spark):
+    """(path, content): a file for each frame of whole metres a second, packed in different ways."""
+    i, j, f = F.col("i"), F.col("j"), F.col("f")
+    cells = ops.lattice(spark, FORECAST).withColumns({"u": (i * 7 + j * 3 + f * 5) % 41 - 20, "v": (i * 5 + j * 11 + f * 3) % 37 - 18})
+
+    def made(cells):
+        cells, f = cells.sort_values(["j", "i"]), int(cells["f"].iloc[0])
+        template, order, scan = PACKINGS[f]
+        lat, lon = cells["lat"].unique(), cells["lon"].unique()
+        grid = lambda c: cells[c].to_numpy(float).reshape(len(lat), len(lon))
+        parts = [grib.write_message(lat, lon, grid(c), p, dt.datetime(2024, 1, 1), 3 * f, template=template, order=order, scan=scan) for c, p in (("u", 2), ("v", 3))]
+        return pd.DataFrame({"path": [f"f{f}"], "content": [b"".join(parts)]})
+
+    return cells.groupBy("f").applyInPandas(made, "path string, content binary")
+
+
+def forecast_scan(spark, sf_dir):
+    """The winds of forecast files of all packings, in a box, every second row and column of it."""
+    rows = grib.winds_of(grib.unpacked(_forecast_files(spark), 2, geo.Box(-20.0, 21.0, -12.0, 16.0)))
+    return rows.select("t_seconds", "lon", "lat", r("speed", 6).alias("speed"), r("direction", 6).alias("direction"))
+
+
+FORECAST_SCAN = f"""WITH c AS (SELECT f, i, j, i * 2.5::DOUBLE - 30 AS lon, j * 2.5::DOUBLE - 20 AS lat, CAST((i * 7 + j * 3 + f * 5) % 41 - 20 AS DOUBLE) AS u, CAST((i * 5 + j * 11 + f * 3) % 37 - 18 AS DOUBLE) AS v FROM range(6) a(f), range(25) b(i), range(17) d(j)),
+k AS (SELECT *, dense_rank() OVER (ORDER BY lon) AS x, dense_rank() OVER (ORDER BY lat) AS y FROM c WHERE lon BETWEEN -20 AND 21 AND lat BETWEEN -12 AND 16)
+SELECT 1704067200 + f * 10800 AS t_seconds, lon, lat, {rnd('sqrt(u * u + v * v)', 6)} AS speed, {rnd(f"CASE WHEN u = 0 AND v = 0 THEN 0.0 ELSE {mod('270 - degrees(atan2(v, u))', '360.0::DOUBLE')} END", 6)} AS direction FROM k WHERE x % 2 = 1 AND y % 2 = 1"""
+
 # Index lines of a small archive file.
 INDEX_LINES = ["1:0:d=2024010100:HGT:500 mb:anl:", "2:5482:d=2024010100:UGRD:10 m above ground:anl:", "3:11034:d=2024010100:VGRD:10 m above ground:anl:", "4:16500:d=2024010100:TMP:2 m above ground:anl:", "5:22000:d=2024010100:UGRD:10 m above ground:anl:"]
 
@@ -353,6 +389,7 @@ QUERIES = {
     "bake_grid": bake_grid,
     "baked_sample": baked_sample,
     "pair_uv": pair_uv,
+    "forecast_scan": forecast_scan,
     "drift_buckets": drift_buckets,
     "drift_thresholds": drift_thresholds,
     "lod_decimate": lod_decimate,
@@ -382,6 +419,7 @@ ORACLES = {
     "bake_grid": BAKE,
     "baked_sample": BAKED_SAMPLE,
     "pair_uv": PAIR_UV,
+    "forecast_scan": FORECAST_SCAN,
     "drift_buckets": DRIFT_BUCKETS,
     "drift_thresholds": DRIFT_THRESHOLDS,
     "lod_decimate": LOD,

@@ -49,6 +49,51 @@ def test_forecast_files(spark, tmp_path):
     assert {r.lat for r in cut} == {0.0, 2.0} and {r.lon for r in cut} == {10.0, 12.0}
 
 
+PACKINGS = [(0, 0), (2, 0), (3, 1), (3, 2), (4, 0), (41, 0), (41, 1), (41, 2), (41, 3), (41, 4)]
+
+
+@pytest.mark.parametrize("template, order", PACKINGS)
+@pytest.mark.parametrize("scan", [0x40, 0x60, 0x50, 0x70])
+def test_packings_and_scan_orders(template, order, scan):
+    rng = np.random.default_rng(order)
+    lat, lon = np.arange(7) * 0.5 - 1, np.arange(11) * 0.25 + 3
+    for values in (rng.integers(-40, 40, (7, 11)), np.zeros((7, 11)), np.cumsum(rng.integers(-3, 4, 77)).reshape(7, 11) * 0.5, np.full((7, 11), -3.0)):
+        for hole in (False, template != 41):
+            grid = values.astype(float)
+            if hole:
+                grid[rng.random(grid.shape) < 0.2] = np.nan
+            raw = grib.write_message(lat, lon, grid, 2, dt.datetime(2024, 5, 6, 7), 5, template=template, order=order, scan=scan, group=9)
+            (m,) = grib.messages(raw)
+            assert m.template == template and m.ten_metre_wind and m.parameter == 2
+            np.testing.assert_allclose(m.values(), grid, atol=1e-3)
+            assert (m.axes[0] == lat).all() and (m.axes[1] == lon).all()
+
+
+def test_missing_values_of_groups():
+    # two groups of four: widths 2 and 0; the largest number of each stands for a missing value
+    refs, widths = np.array([5, 7]), np.array([2, 0])
+    data = grib._packed(refs, [3, 3]) + grib._packed(widths, [2, 2]) + grib._packed(np.array([0, 1, 2, 3]), [2] * 4)
+    for missing, want in ((0, [5, 6, 7, 8, 7, 7, 7, 7]), (1, [5, 6, 7, None] + [None] * 4), (2, [5, 6, None, None] + [None] * 4)):
+        rep = bytes(9) + (2).to_bytes(2, "big") + bytes(8) + bytes([3, 0, 1, missing]) + bytes(8) + (2).to_bytes(4, "big") + bytes([0, 2]) + (4).to_bytes(4, "big") + bytes([1]) + (4).to_bytes(4, "big") + bytes([0])
+        got = grib.grouped(rep, data, 8)
+        assert [None if np.isnan(v) else v for v in got] == want
+
+
+def test_bad_messages_are_passed_over(spark, tmp_path):
+    lat, lon, t0 = np.arange(3) * 1.0, np.arange(4) * 1.0, dt.datetime(2024, 1, 1)
+    u, v = np.ones((3, 4)), np.full((3, 4), 2.0)
+    good = grib.write_message(lat, lon, u, 2, t0, 0, template=3) + grib.write_message(lat, lon, v, 3, t0, 0, template=41)
+    odd = bytearray(grib.write_message(lat, lon, u * 9, 2, t0, 0))
+    at = odd.index(b"\x00\x00\x00\x0c\x00\x00", 60)  # the number of the data template is set to one that is not known
+    odd[at + 5] = 40
+    (tmp_path / "a.grib2").write_bytes(good + bytes(odd) + good[: len(good) // 3])
+    (tmp_path / "b.grib2").write_bytes(grib.write_message(lat, lon, u * 5, 2, t0, 0) + b"GRIB" + bytes(20))
+    rows = registry.load(spark, str(tmp_path)+"/*.grib2").collect()
+    assert len(rows) == 12
+    assert {round(r.speed, 6) for r in rows} == {round(float(np.hypot(5, 2)), 6)}  # the last message of the last file
+    assert [m.template for m in grib.messages(bytes(odd))] == [40]
+
+
 def test_registry_errors(spark):
     assert registry.format_of("/a/b.GRB2") == "grib2"
     for path in ("/a/b.txt", "/a.b/c"):
