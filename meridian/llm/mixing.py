@@ -21,21 +21,21 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridian.llm.common import MOST_KEYS, stable, stored, table, words_of
+from meridian.llm.common import MOST_KEYS, filtered, stable, table, words_of
 
 # 1 / phi as a double.
 INVERSE_PHI = 0.6180339887498949
 BINS = 4096
 
 
-def sized(docs: DataFrame, rid: str | None = None) -> DataFrame:
-    """(rid, row, doc_id, source, size, spot): one row per document row; rid numbers the rows (the column named, or a
-    number given here), row is a key that equal rows share, spot the keyed shuffle position."""
+def sized(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """(rid, row, doc_id, source, size, spot): one row per document row; rid numbers the rows, row is a key that equal
+    rows share (the column named, or a hash), spot the keyed shuffle position."""
     ident, text = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))
     return stable(
         docs.select(
-            F.monotonically_increasing_id().alias("rid") if rid is None else F.col(rid).alias("rid"),
-            F.xxhash64("doc_id", "source", "text").alias("row"),
+            F.monotonically_increasing_id().alias("rid"),
+            F.xxhash64("doc_id", "source", "text").alias("row") if key is None else F.col(key).alias("row"),
             "doc_id",
             "source",
             F.size(words_of(F.col("text"))).cast("long").alias("size"),
@@ -121,16 +121,16 @@ def goal_is_small(goal: DataFrame, most: int = 50_000) -> bool:
     return goal.limit(most + 1).count() <= most
 
 
-def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, max_slots: int = 1 << 20, rid: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, max_slots: int = 1 << 20, key: str | None = None) -> DataFrame:
     """(rid, row, doc_id, source, size, source_size, target, at, epochs, slots, taken).
 
     epochs: words taken on the first and the second pass over the line, of which taken is the sum; slots: the
     first slot of the schedule that takes them, null where a pass takes none. Null texts have size 0 and take
     nothing; a null source is a source; a null doc_id is shuffled as an empty one; repeated rows are documents
     of their own and follow each other; an empty table gives no rows. Columns other than doc_id, text and
-    source (and rid, a column that numbers the rows) are not looked at.
+    source (and key, a column that equal rows share) are not looked at.
     """
-    sizes = sized(docs, rid)
+    sizes = sized(docs, key)
     goal = stable(targets(sizes, weights, share, cap))
     total = float(goal.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0])
     block = max(1, math.ceil(total / max_slots))
@@ -165,20 +165,28 @@ def mixed(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: flo
     """
     columns = docs.columns
     at = {c: f"c{i}" for i, c in enumerate(columns)}
-    plain = stored(docs.toDF(*at.values()).withColumn("mix_rid", F.monotonically_increasing_id()))
-    plan = mix(plain.select(*[F.col(at[c]).alias(c) for c in ("doc_id", "source", "text")], "mix_rid"), weights, share, cap, rid="mix_rid")
+    # two hashes of all columns tell rows apart; those that are equal in every column are one text and several plans
+    whole = [F.to_json(at[f.name]) if "map" in f.dataType.simpleString() else F.col(at[f.name]) for f in docs.schema]
+    plain = docs.toDF(*at.values())
+    plain = plain.withColumn("mix_row", F.struct(F.xxhash64(*whole), F.xxhash64(F.lit(1), *whole[::-1])))
+    plan = mix(plain.select(*[F.col(at[c]).alias(c) for c in ("doc_id", "source", "text")], "mix_row"), weights, share, cap, key="mix_row")
+    plan = stable(plan.filter("taken > 0"))
     passes = F.explode(F.arrays_zip(F.col("epochs").alias("words"), F.col("slots").alias("slot")))
-    plan = plan.filter("taken > 0").select(F.col("rid").alias("mix_rid"), F.col("size").alias("mix_size"), "at", passes.alias("p"))
-    plan = stable(plan.select("mix_rid", "mix_size", "at", F.col("p.words").alias("mix_words"), F.col("p.slot").alias("mix_slot")).filter("mix_words > 0"))
-    n, last = plan.agg(F.count("*"), F.max("mix_slot")).first()
+    parts = plan.select(F.col("row").alias("mix_row"), F.col("size").alias("mix_size"), "rid", "at", passes.alias("p"))
+    parts = stable(parts.select("mix_row", "mix_size", "rid", "at", F.col("p.words").alias("mix_words"), F.col("p.slot").alias("mix_slot")).filter("mix_words > 0"))
+    again = stable(plan.groupBy(F.col("row").alias("mix_row")).agg(F.count("*").alias("n")).filter("n > 1").select("mix_row"))
+    if not again.isEmpty():
+        once = filtered(plain, again, "mix_row", "left_semi").dropDuplicates(["mix_row"])
+        plain = filtered(plain, again, "mix_row", "left_anti").unionByName(once)
+    n, last = parts.agg(F.count("*"), F.max("mix_slot")).first()
     text = F.col(at["text"])
     cut = F.concat_ws(" ", F.slice(words_of(text), F.lit(1), F.col("mix_words").cast("int")))
-    out = plain.join(F.broadcast(plan) if n <= MOST_KEYS // 4 else plan, "mix_rid").withColumn(at["text"], F.when(F.col("mix_words") < F.col("mix_size"), cut).otherwise(text))
+    out = plain.join(F.broadcast(parts) if n <= MOST_KEYS // 2 else parts, "mix_row").withColumn(at["text"], F.when(F.col("mix_words") < F.col("mix_size"), cut).otherwise(text))
     if "n_chars" in at:
         out = out.withColumn(at["n_chars"], F.length(at["text"]).cast(docs.schema["n_chars"].dataType))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stretch = F.least(F.floor(F.col("mix_slot") * parts / F.lit((last or 0) + 1)), F.lit(parts - 1)).cast("int")
-    ordered = out.repartitionById(parts, stretch).sortWithinPartitions("mix_slot", "at", "mix_rid")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stretch = F.least(F.floor(F.col("mix_slot") * tasks / F.lit((last or 0) + 1)), F.lit(tasks - 1)).cast("int")
+    ordered = out.repartitionById(tasks, stretch).sortWithinPartitions("mix_slot", "at", "rid")
     return ordered.select(*at.values()).toDF(*columns)
 
 
