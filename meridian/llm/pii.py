@@ -54,7 +54,7 @@ class Plan:
     """sample_bytes: text the field is trained on, longest: bytes of a text in that sample; bits: log2 of the hashed
     features; rounds: of message passing; sure: the probability from which a label is added."""
 
-    sample_bytes: int = 12 << 20
+    sample_bytes: int = 4 << 20
     longest: int = 1 << 20
     bits: int = 12
     steps: int = 400
@@ -212,8 +212,9 @@ def with_mentions(text: str, spans: list[list[tuple[int, int]]], foreign: list[t
     chosen = [(k + 1, own[i]) for k in range(len(KINDS)) if (of := [i for i, m in enumerate(own) if m[0] == k]) for i in [of[rng.integers(len(of))]]]
     chosen += [(0, m) for m in foreign]
     taken = np.array(sorted(x for found in spans for x in found), np.int64).reshape(-1, 2)
-    gaps = [m.start() for m in re.finditer(r"[\x20\x09-\x0D]", text)]
-    free = [g for g in gaps if not ((taken[:, 0] <= g) & (g <= taken[:, 1])).any()] if len(gaps) <= 100_000 else []
+    gaps = np.array([m.start() for m in re.finditer(r"[\x20\x09-\x0D]", text)], np.int64)
+    ends = np.concatenate([[-1], np.maximum.accumulate(taken[:, 1])]) if len(taken) else np.array([-1])
+    free = gaps[ends[np.searchsorted(taken[:, 0], gaps, "right")] < gaps].tolist()  # in no match
     if not free:
         return text, []
     put = sorted((free[rng.integers(len(free))], i, label, (f := parts_of(*m))[rng.integers(len(f))]) for i, (label, m) in enumerate(chosen))
@@ -258,24 +259,19 @@ class Field:
         links = links[told[links[:, 0]] & told[links[:, 1]]]
         i, j, kind = links.T
         share = weight / max(1.0, weight.sum())
-        want = np.eye(k)[label]
+        want, flat = np.eye(k)[label], feats.ravel()
         params = [self.node, self.pair]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         for step in range(1, steps + 1):
             score = self.node[feats].sum(axis=1)
-            np.add.at(score, j, self.pair[kind, label[i]])
-            np.add.at(score, i, self.pair[kind, :, label[j]])
+            for c in range(k):
+                score[:, c] += np.bincount(j, self.pair[kind, label[i], c], len(score)) + np.bincount(i, self.pair[kind, c, label[j]], len(score))
             p = np.exp(score - score.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             off = (p - want) * share[:, None]
-            node = 1e-5 * self.node
-            for f in feats.T:
-                np.add.at(node, f, off)
-            pair = 1e-5 * self.pair
-            np.add.at(pair, (kind, label[i]), off[j])
-            back = np.zeros_like(pair)
-            np.add.at(back, (kind, label[j]), off[i])
-            pair = pair + back.transpose(0, 2, 1)
+            node = 1e-5 * self.node + np.stack([np.bincount(flat, np.repeat(off[:, c], feats.shape[1]), len(self.node)) for c in range(k)], axis=1)
+            onto = lambda at, to: np.stack([np.bincount(kind * k + label[at], off[to, c], 2 * k) for c in range(k)], axis=1).reshape(2, k, k)
+            pair = 1e-5 * self.pair + onto(i, j) + onto(j, i).transpose(0, 2, 1)
             pair[1] = (pair[1] + pair[1].T) / 2
             for at, g in enumerate((node, pair)):
                 first[at] = 0.9 * first[at] + 0.1 * g
