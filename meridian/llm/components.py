@@ -31,11 +31,17 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 
 def _state(links: DataFrame):
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
+    """What tells one set of links from another: their number, and sums of two hashes of 64 bits as they are."""
+    wide = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(38,0)"))
+    return tuple(links.agg(F.count("*"), wide("u", "v"), wide(F.lit(1), "v", "u")).first())
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of links (u, v); root is the smallest node of its component, itself not listed."""
+    """(node, root) for every node of links (u, v); root is the smallest node of its component, itself not listed.
+
+    Repeated links, links both ways and links of a node with itself change nothing; no links give no rows. Rounds
+    go on until nothing changes, which takes about the logarithm of the longest chain.
+    """
     links = stable(links.filter("u != v").distinct())
     state = _state(links)
     while state[0]:

@@ -10,6 +10,11 @@ again only those within the budget.
 
 Copies share a fingerprint and are joined once; links become the stars of local
 components before they leave a task, so a group of thousands sends no pair list.
+
+Near-duplicates by shingle similarity take several shorter SimHashes and trie joins of
+each. What those connect are clusters of candidates, in which every pair is compared
+exactly: a cluster is one block of shingle sets or several, and a task takes two blocks and
+gives back the links of local components, never the pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import filtered, stable, table, tidy
+from meridian.llm.common import filtered, stable, stored, table, tidy
 from meridian.llm.components import components
 from meridian.llm.words import ODD, mix
 
@@ -35,8 +40,13 @@ MOST_IN_TRIE = 20_000
 #: Rows, and node pairs, that a task holds at once.
 BUFFER = 100_000
 FRONTIER = 100_000
-#: Up to these shares of all pairs, by a hash of the pair, candidates are checked in each round after the first.
-SHARES = (1 / 16, 1.0)
+#: Shingle sets that a task compares with as many others, and their bytes.
+BLOCK = 2048
+BLOCK_BYTES = 32 << 20
+#: Sets from which a shingle is counted by matrix products instead of pair by pair.
+COMMON = 48
+#: Pairs of sets that are counted at once.
+PAIRS = 2_000_000
 
 
 # ---- fingerprints
@@ -62,7 +72,11 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp): a signed 64-bit fingerprint for every row."""
+    """(doc_id, fp): a signed 64-bit fingerprint for every row, from its whole text.
+
+    Null and blank texts have 0; repeated rows have one each; an empty table gives no rows. Only doc_id and text
+    are looked at.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,13 +153,9 @@ def unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             parent = up
 
 
-def _local_links(rows: dict[str, np.ndarray], budget: int, most_apart: int | None, shares: tuple[float, float] | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links (u, v) of the components within some whole deals: stars, or with most_apart real pairs whose check
-    words differ in no more bits than that.
-
-    Such pairs are the closest first and few beyond a forest; with shares, they are all pairs of different
-    ``group`` whose hash lies between these shares. (u, u) tells that u has further pairs.
-    """
+def _local_links(rows: dict[str, np.ndarray], budget: int, most_apart: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (u, v) that connect the components within some whole deals: stars, or with most_apart pairs whose check
+    words differ in no more bits than that, the closest first and few beyond a forest."""
     order = np.lexsort((rows["key"], rows["side"], rows["deal"]))
     keys, head, deal, side = (rows[c][order] for c in ("key", "head", "deal", "side"))
     new = np.concatenate([[True], (deal[1:] != deal[:-1]) | (side[1:] != side[:-1])])
@@ -162,48 +172,34 @@ def _local_links(rows: dict[str, np.ndarray], budget: int, most_apart: int | Non
         moved = np.flatnonzero(parent != np.arange(len(keys)))
         yield head[moved], head[parent[moved]]
         return
-    check, more = rows["check"][order].view(np.uint64), np.zeros(len(keys), bool)
-    group = None if shares is None else rows["group"][order]
+    check = [rows[c][order].view(np.uint64) for c in ("check", "check2")]
     for i, j in join_tries(keys, roots, budget, 0):
-        apart = np.bitwise_count(check[i] ^ check[j])
-        left = apart <= most_apart
-        if shares is not None:
-            left &= group[i] != group[j]
-            place = mix(np.minimum(head[i], head[j]).view(np.uint64) * ODD + np.maximum(head[i], head[j]).view(np.uint64)) / 2.0**64
-            left &= place >= shares[0]
-            here = left & ((place < shares[1]) | (shares[1] >= 1))
-            left &= ~here
-            if here.any():
-                yield head[i[here]], head[j[here]]
-        else:
-            for n in range(most_apart + 1):
-                here = np.flatnonzero((apart == n) & (parent[i] != parent[j]))
-                if len(here):
-                    a, b = parent[i[here]], parent[j[here]]
-                    _, one = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1, return_index=True)
-                    here = here[one]
-                    yield head[i[here]], head[j[here]]
-                    left[here] = False
-                    parent = unite(parent, i[here], j[here])
-        more[i[left]] = more[j[left]] = True
-    known = np.unique(head[more])
-    yield known, known
-
-
-def links(heads: DataFrame, budget: int = 3, most: int = MOST_IN_TRIE, width: int = BITS, most_apart: int | None = None, shares: tuple[float, float] | None = None) -> DataFrame:
+        apart = sum(np.bitwise_count(c[i] ^ c[j]).astype(np.int64) for c in check)
+        near = np.flatnonzero((apart <= most_apart) & (parent[i] != parent[j]))
+        near = near[np.argsort(apart[near], kind="stable")]
+        while len(near):  # the closest pair of any two components, then those that are apart still
+            a, b = parent[i[near]], parent[j[near]]
+            _, first = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1, return_index=True)
+            here = near[first]
+            yield head[i[here]], head[j[here]]
+            parent = unite(parent, i[here], j[here])
+            near = near[parent[i[near]] != parent[j[near]]]
+
+
+def links(heads: DataFrame, budget: int = 3, most: int = MOST_IN_TRIE, width: int = BITS, most_apart: int | None = None) -> DataFrame:
     """(u, v): links that connect all of heads (fp, head) within budget differing bits, as a forest or little more.
 
     fp holds width bits. With most_apart, heads also has ``table`` (fingerprints of different tables do not
-    meet) and ``check``, a further 64 bits of which a link may differ in most_apart; a head with links that are
-    not among the rows has a row (u, u). With shares, heads has ``group`` too, and the rows are all links
-    between different groups whose pairs have a hash between these shares.
+    meet) and ``check`` and ``check2``, 128 further bits of which a link may differ in most_apart. Of equal fp there
+    should be one head, as only one is linked on; no heads give no rows. A deal is split by twelve bits at most,
+    which keeps tries small up to some 80 million fingerprints of one block value.
     """
     blocks = budget + 1
     bits = width // blocks
     mask = (1 << width) - 1 if width < BITS else -1
     turn = lambda k: F.shiftleft("fp", k).bitwiseOR(F.shiftrightunsigned("fp", width - k)).bitwiseAND(F.lit(mask)) if k else F.col("fp")
     rotated = lambda k: F.shiftleft(turn(k), BITS - width) if width < BITS else turn(k)
-    carried = ["head"] if most_apart is None else ["head", "check"] if shares is None else ["head", "check", "group"]
+    carried = ["head"] if most_apart is None else ["head", "check", "check2"]
     table = F.lit(0) if most_apart is None else F.col("table")
     turned = heads.select(*carried, table.alias("table"), F.posexplode(F.array(*[rotated(bits * k) for k in range(blocks)])).alias("turn", "key"))
     turned = turned.withColumn("deal", (F.shiftrightunsigned("key", BITS - bits) * 1024 + F.col("table")) * blocks + F.col("turn")).drop("table", "turn")
@@ -232,7 +228,7 @@ def links(heads: DataFrame, budget: int = 3, most: int = MOST_IN_TRIE, width: in
         held: list[dict[str, np.ndarray]] = []
 
         def joined(rows: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            for u, v in _local_links({c: np.concatenate([r[c] for r in rows]) for c in rows[0]}, budget, most_apart, shares):
+            for u, v in _local_links({c: np.concatenate([r[c] for r in rows]) for c in rows[0]}, budget, most_apart):
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
 
         for b in batches:
@@ -241,7 +237,7 @@ def links(heads: DataFrame, budget: int = 3, most: int = MOST_IN_TRIE, width: in
             if not len(rows["deal"]):
                 continue
             held.append(rows)
-            if sum(len(r["deal"]) for r in held) < BUFFER:
+            if sum(len(r["deal"]) for r in held) < BUFFER or held[0]["deal"][0] == rows["deal"][-1]:
                 continue
             # the last deal may go on in the next batch
             rows = {c: np.concatenate([r[c] for r in held]) for c in held[0]}
@@ -277,18 +273,19 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 3) -> DataFra
 class Plan:
     """width: words of a shingle; similarity: Jaccard similarity of two documents' shingle sets from which they
     are near-duplicates; tables, bits, budget: SimHashes per document, their length, and the bits in which a
-    candidate pair may differ in one of them; most_apart: bits of a further 64 in which it may differ.
+    candidate pair may differ in one of them; most_apart: bits of a further 128 in which it may differ (4.5
+    deviations more than pairs with similarity 0.8 do, and as many less than unlike ones).
 
     Shingle sets with similarity 0.8 differ in a SimHash bit with probability 0.15, so one table of 32 bits and
-    a budget of 3 finds 27 % of such pairs, ten 96 %; pairs from 0.9 on are found by 99.9 %.
+    a budget of 3 finds 27 % of such pairs, sixteen 99.3 %; of pairs from 0.85 on they find 99.98 %.
     """
 
     width: int = 5
     similarity: float = 0.8
-    tables: int = 10
+    tables: int = 16
     bits: int = 32
     budget: int = 3
-    most_apart: int = 20
+    most_apart: int = 38
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
@@ -306,8 +303,8 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray, plan: Plan) -> bytes:
-    """Majority bits of the set: plan.tables SimHashes, then 64 bits to check; zeros for an empty set."""
-    words = -(-plan.tables * plan.bits // BITS) + 1
+    """Majority bits of the set: plan.tables SimHashes, then 128 bits to check; zeros for an empty set."""
+    words = -(-plan.tables * plan.bits // BITS) + 2
     if not len(shingles):
         return bytes(8 * words)
     ones = np.zeros(BITS * words, np.int64)
@@ -327,13 +324,7 @@ def _named(docs: DataFrame) -> DataFrame:
 
 def similar_links(rows: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
     """rows: (sh_row, doc_id, text). Returns (sh_row, doc_id, head), head being the first row with the same sketch,
-    and (u, v): links between heads whose shingle sets reach the similarity.
-
-    The first round checks a forest of the candidates. A candidate that fails connects nothing, so further rounds
-    check, in growing shares, every candidate between groups that are still apart; what has no candidate left
-    drops out, and a group of copies is one before its pairs are listed.
-    """
-    words = -(-plan.tables * plan.bits // BITS) + 1
+    and (u, v): links that connect heads whose shingle sets reach the similarity, and no others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -349,40 +340,55 @@ def similar_links(rows: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
             if not b.num_rows:
                 continue
             raw = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u4").reshape(b.num_rows, -1)
-            check = np.ascontiguousarray(raw[:, -2:]).view(">u8").astype(np.int64).ravel()
+            check = np.ascontiguousarray(raw[:, -4:]).view(">u8").astype(np.int64)
             for k in range(plan.tables):
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw[:, k].astype(np.int64)), pa.array(check), pa.array(np.full(b.num_rows, k, np.int32)), b.column(2)], ["head", "fp", "check", "table", "group"])
-
-    def candidates(some: DataFrame, shares: tuple[float, float] | None) -> tuple[DataFrame, DataFrame, bool]:
-        """Candidate pairs, heads with further ones, and whether there are such heads."""
-        tables = some.select("head", "sketch", "group").mapInArrow(tidy(spread), "head long, fp long, check long, table int, group long")
-        found = stable(links(tables, plan.budget, MOST_IN_TRIE, plan.bits, plan.most_apart, shares).distinct())
-        more = found.filter("u = v").select(F.col("u").alias("head"))
-        return found.filter("u != v"), more, not more.isEmpty()
-
-    found, more, any_more = candidates(heads.withColumn("group", F.col("head")), None)
-    near = stable(verified(texts, found, plan))
-    for shares in zip((0.0, *SHARES), SHARES):
-        if not any_more:
-            break
-        roots = components(near)
-        some = filtered(heads, more, "head", "left_semi").join(roots, F.col("head") == F.col("node"), "left")
-        some = stable(some.select("head", "sketch", F.coalesce("root", "head").alias("group")))
-        found, more, any_more = candidates(some, shares)
-        near = stable(near.unionByName(verified(texts, found, plan)))
-    return members, near
-
-
-def verified(texts: DataFrame, found: DataFrame, plan: Plan) -> DataFrame:
-    """Those of found (u, v) whose shingle sets have the similarity, compared exactly."""
-    nodes = stable(found.select(F.explode(F.array("u", "v")).alias("sh_row")).distinct())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw[:, k].astype(np.int64)), pa.array(check[:, 0].copy()), pa.array(check[:, 1].copy()), pa.array(np.full(b.num_rows, k, np.int32))], ["head", "fp", "check", "check2", "table"])
+
+    tables = heads.select("head", "sketch").mapInArrow(tidy(spread), "head long, fp long, check long, check2 long, table int")
+    found = stable(links(tables, plan.budget, MOST_IN_TRIE, plan.bits, plan.most_apart).distinct())
+    return members, compared(texts, found, plan)
+
+
+def shingle_sets(texts: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
+    """(head, shingles, size) of the rows that nodes names."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), plan.width).tobytes() for t in b.column(1)], pa.binary())], ["row", "shingles"])
+            found = [shingle_set(t.as_py(), plan.width).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary()), pa.array([len(x) for x in found], pa.int64())], ["head", "shingles", "size"])
+
+    some = filtered(texts, nodes.select(F.col("head").alias("sh_row")), "sh_row", "left_semi").dropDuplicates(["sh_row"])
+    return some.select("sh_row", "text").mapInArrow(tidy(sets), "head long, shingles binary, size long")
+
 
-    held = filtered(texts, nodes, "sh_row", "left_semi").dropDuplicates(["sh_row"]).select("sh_row", "text").mapInArrow(tidy(sets), "row long, shingles binary")
-    pairs = found.join(held.select(F.col("row").alias("u"), F.col("shingles").alias("a")), "u").join(held.select(F.col("row").alias("v"), F.col("shingles").alias("b")), "v")
+def compared(texts: DataFrame, found: DataFrame, plan: Plan) -> DataFrame:
+    """(u, v): links that connect what has the similarity among the clusters that the candidates found (u, v) connect.
+
+    In a cluster of more than a block, the candidates themselves are verified first, as many as there are documents
+    or few more, so that most of a large group of near-duplicates is one before blocks meet; blocks within such a
+    group need not meet.
+    """
+    roots = components(found)
+    nodes = stable(roots.select(F.col("node").alias("head"), F.col("root").alias("cluster")).unionByName(roots.select(F.col("root").alias("head"), F.col("root").alias("cluster")).distinct()))
+    sets = stored(shingle_sets(texts, nodes, plan))
+    sized = stable(nodes.join(sets.select("head", "size"), "head"))
+    whole = sized.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    wide = stable(whole.filter((F.col("n") > BLOCK) | (F.col("bytes") > BLOCK_BYTES)).select("cluster"))
+    grouped, first = sized.withColumn("group", F.col("head")), None
+    if not wide.isEmpty():
+        inner = stable(filtered(sized, wide, "cluster", "left_semi").select("head"))
+        first = stable(verified(sets, filtered(found.withColumnRenamed("u", "head"), inner, "head", "left_semi").withColumnRenamed("head", "u"), plan))
+        joined = components(first)
+        grouped = sized.join(joined, F.col("head") == F.col("node"), "left").withColumn("group", F.coalesce("root", "head")).drop("node", "root")
+        grouped = stable(grouped)
+    links_ = in_blocks(grouped, sets, plan)
+    return stable(links_ if first is None else links_.unionByName(first))
+
+
+def verified(sets: DataFrame, found: DataFrame, plan: Plan) -> DataFrame:
+    """Those of found (u, v) whose shingle sets have the similarity."""
+    named = lambda head, set_: sets.select(F.col("head").alias(head), F.col("shingles").alias(set_))
+    pairs = found.join(named("u", "a"), "u").join(named("v", "b"), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -396,6 +402,109 @@ def verified(texts: DataFrame, found: DataFrame, plan: Plan) -> DataFrame:
     return pairs.select("u", "v", "a", "b").mapInArrow(tidy(run), "u long, v long")
 
 
+def in_blocks(rows: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+    """(u, v): links that connect what has the similarity within each cluster of rows (head, cluster, group, size).
+
+    Groups are connected already. A group of more than a block has blocks of its own, which need not meet each
+    other; the other groups of a cluster share blocks. Clusters of one group are left out.
+    """
+    groups = rows.groupBy("cluster", "group").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    many = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES, F.lit(1e-9)))
+    groups = stable(groups.withColumn("own", many))
+    several = groups.groupBy("cluster").agg(F.count("*").alias("groups")).filter("groups > 1").select("cluster")
+    groups = stable(groups.join(several, "cluster", "left_semi"))
+    shared = groups.filter("own = 1").groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).withColumn("of", many)
+    span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("k")
+    blocks = shared.select("cluster", F.lit(None).cast("long").alias("of_group"), span("of"))
+    blocks = stable(blocks.unionByName(groups.filter("own > 1").select("cluster", F.col("group").alias("of_group"), span("own"))))
+    # every two blocks of a cluster meet in a cell, but for those of one group; a cluster of one block has one cell
+    mate = blocks.withColumnsRenamed({"of_group": "of_group2", "k": "k2"})
+    order = F.struct(F.coalesce("of_group2", F.lit(-(1 << 63))), "k2") >= F.struct(F.coalesce("of_group", F.lit(-(1 << 63))), "k")
+    cells = blocks.join(mate, "cluster").filter(order & ~F.coalesce(F.col("of_group") == F.col("of_group2"), F.lit(False)))
+    cells = cells.withColumn("cell", F.xxhash64("cluster", "of_group", "k", "of_group2", "k2"))
+    same = F.col("of_group").isNull() & F.col("of_group2").isNull() & (F.col("k") == F.col("k2"))
+    ends = cells.select("cluster", "of_group", "k", "cell", F.lit(0).alias("side")).unionByName(cells.filter(~same).select("cluster", F.col("of_group2").alias("of_group"), F.col("k2").alias("k"), "cell", F.lit(1).alias("side")))
+    place = rows.join(groups.select("cluster", "group", "own"), ["cluster", "group"]).join(shared.select("cluster", "of"), "cluster", "left")
+    block = F.when(F.col("own") > 1, F.pmod(F.xxhash64("head"), "own")).otherwise(F.pmod(F.xxhash64("group"), "of"))
+    place = place.select("cluster", F.when(F.col("own") > 1, F.col("group")).alias("of_group"), block.alias("k"), "head", "group")
+    on = (F.col("p.cluster") == F.col("e.cluster")) & F.col("p.k").eqNullSafe(F.col("e.k")) & F.col("p.of_group").eqNullSafe(F.col("e.of_group"))
+    placed = place.alias("p").join(ends.alias("e"), on).select("e.cell", "e.side", "p.head", "p.group")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = placed.join(sets.select("head", "shingles"), "head").repartition(parts, "cell").sortWithinPartitions("cell")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            for cell, *row in zip(*(b.column(c).to_pylist() for c in ("cell", "side", "head", "group", "shingles")), strict=True):
+                if cell != now and held:
+                    yield met(held, plan.similarity)
+                    held = []
+                now = cell
+                held.append(row)
+        if held:
+            yield met(held, plan.similarity)
+
+    return dealt.select("cell", "side", "head", "group", "shingles").mapInArrow(tidy(run), "u long, v long")
+
+
+def met(rows: list[tuple], similarity: float) -> pa.RecordBatch:
+    """Links (u, v) that connect what has the similarity across the sides of a cell, or within its only side."""
+    rows = sorted(rows, key=lambda r: (r[0], r[1]))
+    side, head, group = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+    both = shared_shingles([np.frombuffer(r[3], np.uint64) for r in rows], side)
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if side.any() else left
+    size = np.array([len(r[3]) // 8 for r in rows], np.int64)
+    near = both >= similarity * (size[left][:, None] + size[right][None, :] - both)
+    i, j = np.nonzero(near & (group[left][:, None] != group[right][None, :]))
+    parent = unite(np.unique(group, return_index=True)[1][np.unique(group, return_inverse=True)[1]], left[i], right[j])
+    # what a group's first row here is linked to, the group is
+    moved = np.flatnonzero((parent != np.arange(len(rows))) & (group != group[parent]))
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(head[moved], head[parent[moved]])), pa.array(np.minimum(head[moved], head[parent[moved]]))], ["u", "v"])
+
+
+def shared_shingles(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
+    """How many shingles sets of side 0 and of side 1 share, [left, right]; of side 0 and itself if there is no other
+    (a set's count with itself lacks what it alone holds).
+
+    Shingles of few sets are counted pair by pair, those of many by products of 0/1 matrices.
+    """
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    alone = not len(right)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    values = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    start = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, np.int64)
+    n = np.diff(np.append(start, len(values)))
+    rows, cols = len(left), len(left) if alone else len(right)
+    out = np.zeros((rows, cols), np.float32)
+    place = np.zeros(len(sets), np.int64)
+    place[left] = np.arange(len(left))
+    place[right] = np.arange(len(right))
+    few = np.flatnonzero((n > 1) & (n < COMMON))
+    for some in np.split(few, np.flatnonzero(np.diff(np.cumsum(n[few] ** 2) // PAIRS)) + 1):
+        s, m = start[some], n[some]
+        i, j = _expand(s, s + m, s, s + m)
+        a, b = owner[i], owner[j]
+        fits = (side[a] == 0) & ((side[b] == 1) | alone)
+        out += np.bincount(place[a[fits]] * cols + place[b[fits]], minlength=rows * cols).reshape(rows, cols).astype(np.float32)
+    common = np.flatnonzero(n >= COMMON)
+    for at in range(0, len(common), 1024):
+        some = common[at : at + 1024]
+        m = n[some]
+        column = np.repeat(np.arange(len(some)), m)
+        of = owner[np.repeat(start[some] - np.cumsum(m) + m, m) + np.arange(m.sum())]
+        x = np.zeros((rows, len(some)), np.float32)
+        y = x if alone else np.zeros((cols, len(some)), np.float32)
+        here = side[of] == 0
+        x[place[of[here]], column[here]] = 1
+        if not alone:
+            y[place[of[~here]], column[~here]] = 1
+        out += x @ y.T
+    return out
+
+
 def one_of_each(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """docs with one row of each group of near-duplicates, the one with the smallest doc_id (null last).
 
