@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,12 +24,14 @@ def words_of(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local default is set only where none is configured."""
+    """The folder that driver and executors share. Only a session on one machine gets a default where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     known = spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
         known = spark.sparkContext.getCheckpointDir()
     return known
@@ -57,14 +59,33 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_MADE: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """As stable(), as a written table: for wide rows, whose columns are then pruned and compressed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/meridian-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_alone(make: Callable[[], DataFrame], spent: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+    """make()'s rows as stored(), and its folders; tables that make() stored on the way, and the spent ones that
+    nothing reads any more, are deleted once the rows are written."""
+    before = len(_MADE)
+    out = stored(make())
+    done = [*spent, *_MADE[before:-1]]
+    own = _MADE[-1]
+    del _MADE[before:]
+    spark = out.sparkSession
+    for name in done:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return out, [own]
+
+
 #: Keys that a filtering join may broadcast (16 MB of longs); more are joined by shuffling.
 MOST_KEYS = 1_000_000
 
