@@ -7,6 +7,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from conftest import canonical, duck
-from meridian.llm import ann, importance, language_id, licenses, mixing, pieces, pii, quality_rules, simhash, substring_dedup
+from meridian.llm import ann, common, importance, language_id, licenses, mixing, pieces, pii, quality_rules, simhash, substring_dedup
 from meridian.llm.queries import ORACLES, QUERIES
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -268,6 +269,35 @@ def test_near_copies_in_a_group_with_one_template(spark):
     assert left == set(sets) - {b for _, b in alike}
 
 
+@pytest.mark.parametrize("block", [simhash.BLOCK, 7])
+def test_clusters_are_compared_exactly_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(3)
+    own = lambda n: [f"x{rng.getrandbits(40):x}" for _ in range(n)]
+    base, other, rows = own(200), own(200), []
+    for i in range(60):  # copies of one text, each with a stretch of its own: alike in pairs or only by way of others
+        a = rng.randrange(150)
+        rows.append((i, " ".join(base[:a] + own(rng.choice([5, 12, 25])) + base[a + 12 :])))
+    rows += [(100 + i, " ".join(other[: 200 - 9 * i])) for i in range(12)]  # a chain
+    rows += [(200 + i, " ".join(base[:120] + own(80))) for i in range(20)]  # half alike
+    rows += [(300, " ".join(base)), (301, " ".join(base)), (302, ""), (303, None)]
+    sets = {i: set(simhash.shingle_set((t or "").encode(), 5).tolist()) for i, t in rows}
+    alike = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    left = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == {n for n, r in connected(sets, alike).items() if n == r}
+    assert len(left) < 60
+
+
+def test_shared_shingles_are_counted():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(np.concatenate([rng.integers(0, 400, 30), np.arange(1000, 1040)])).astype(np.uint64) for _ in range(70)]
+    for side in (np.zeros(70, int), (np.arange(70) >= 30).astype(int)):
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1) if side.any() else np.arange(70)
+        want = [[len(np.intersect1d(sets[i], sets[j])) for j in right] for i in left]
+        got = simhash.shared_shingles(sets, side)
+        assert all(got[i, j] == want[i][j] for i, j in np.ndindex(got.shape) if left[i] != right[j])  # of others, that is
+
+
 def test_copies_of_any_form(spark):
     a = " ".join(f"w{i}" for i in range(100))
     rows = [(1, a), (1, a), (2, a.upper()), (3, ""), (4, None), (None, a), (7, "other text"), (7, "other text")]
@@ -718,5 +748,7 @@ def test_the_pipeline(spark, small, docs):
         assert rows.columns == docs.columns
         stages.append({r.doc_id for r in rows.collect()})
     assert len(stages[0]) < docs.count() and stages[1] < stages[0] and stages[2] == stages[1]
+    before = set(Path(common.shared_dir(spark).removeprefix("file:")).glob("meridian-*"))
     out = c.run(spark, small)
+    assert len(set(Path(common.shared_dir(spark).removeprefix("file:")).glob("meridian-*")) - before) == 1  # what out reads
     assert out.count() == rows.count() and out.filter("not lossless").count() == 0
