@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -20,6 +21,16 @@ class Ship:
     polar_power: float = 1.0
     fuel: tuple[float, float, float] = (0.0875, -0.0555, 0.0347)
 
+    def checked(self) -> "Ship":
+        """Itself, or ValueError naming the first field that is wrong."""
+        numbers = {"mcr_w": self.mcr_w, "drag": self.drag, "polar_c": self.polar_c, "polar_power": self.polar_power, **{f"fuel[{k}]": v for k, v in enumerate(self.fuel)}}
+        for name, v in numbers.items():
+            if not math.isfinite(v):
+                raise ValueError(f"{name}: {v} must be finite")
+        if self.mcr_w <= 0:
+            raise ValueError(f"mcr_w: {self.mcr_w} must be greater than 0")
+        return self
+
     def wind_speed(self, bearing: Column, u: Column, v: Column) -> Column:
         """Speed from wind alone, greatest across the wind and none in a calm."""
         wind = F.hypot(u, v)

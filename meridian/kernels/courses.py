@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +37,10 @@ class Bounds:
         return x, y
 
 
+#: Metres along a line that two places differ by at least.
+CLOSEST = 1e-9
+
+
 def arc_lengths(line) -> np.ndarray:
     x, y = np.array(line, float).T
     return np.concatenate([[0.0], np.cumsum(sphere.haversine(x[:-1], y[:-1], x[1:], y[1:]))])
@@ -64,50 +69,48 @@ def evenly(line, n: int, bounds: Bounds):
 def over_sea(line, n: int, bounds: Bounds, land):
     """n places along a line so that the straight legs between them touch as little land as can be.
 
-    First the leg with most land is broken, where that helps most, until none touches land; then the longest
-    are halved where both halves stay clear. A line that cannot be filled so is sampled evenly.
+    Legs wait in a queue: those over land first, the one with most of it at the head, then the clear ones by length.
+    The head is broken in two until there are n places; a leg that cannot be broken to advantage is left as it is.
+    A line that cannot be filled so is sampled evenly.
     """
     if len(line) < 2 or n < 3:
         return bounds.line(n)
     arcs = arc_lengths(line)
     if arcs[-1] <= 0:
         return evenly(line, n, bounds)
-    over = lambda a, b: float(legs.land_metres(land, a[0], a[1], b[0], b[1], bounds.cap))
-    place = lambda s: tuple(float(v) for v in at_arc(line, arcs, s))
-    picked = [(0.0, tuple(line[0])), (float(arcs[-1]), tuple(line[-1]))]
-    cost: dict[tuple[float, float], float] = {}
-    shut: set[tuple[float, float]] = set()
-    while len(picked) < n:
-        pairs = [(a, b) for a, b in zip(picked, picked[1:], strict=False) if (a[0], b[0]) not in shut]
-        if not pairs:
-            break
-        for a, b in pairs:
-            if (a[0], b[0]) not in cost:
-                cost[a[0], b[0]] = over(a[1], b[1])
-        a, b = max(pairs, key=lambda p: cost[p[0][0], p[1][0]])
-        land_now = cost[a[0], b[0]]
-        middle = (a[0] + b[0]) / 2
-        if land_now > 0:
-            options = [s for s in [*arcs[(arcs > a[0]) & (arcs < b[0])].tolist(), middle] if min(s - a[0], b[0] - s) > 1e-9]
-            tried = [(max(over(a[1], p), over(p, b[1])), s, p) for s, p in ((s, place(s)) for s in options)]
-            best = min(tried, key=lambda x: x[0], default=None)
-            if best and best[0] < land_now:
-                picked.insert(picked.index(b), (best[1], best[2]))
-            elif b[0] - a[0] > 2e-9:
-                picked.insert(picked.index(b), (middle, place(middle)))
-            else:
-                shut.add((a[0], b[0]))
+
+    def over(a: float, b: float) -> float:
+        (x, y), (x2, y2) = spots[a], spots[b]
+        return float(legs.land_metres(land, x, y, x2, y2, bounds.cap))
+
+    def spot(s: float) -> float:
+        if s not in spots:
+            spots[s] = tuple(float(v) for v in at_arc(line, arcs, s))
+        return s
+
+    def offer(a: float, b: float, metres: float) -> None:
+        heapq.heappush(queue, (metres <= 0, -metres if metres > 0 else a - b, a, b))
+
+    spots, queue, picked = {0.0: tuple(line[0]), float(arcs[-1]): tuple(line[-1])}, [], [0.0, float(arcs[-1])]
+    offer(*picked, over(*picked))
+    while queue and len(picked) < n:
+        clear, rank, a, b = heapq.heappop(queue)
+        if b - a <= 2 * CLOSEST:
+            continue
+        middle = (a + b) / 2
+        turns = [] if clear else [float(s) for s in arcs[(arcs - a > CLOSEST) & (b - arcs > CLOSEST)]]
+        halves = min(((max(h := (over(a, spot(s)), over(s, b))), s, h) for s in [*turns, middle]), key=lambda x: x[0])
+        worst, s, both = halves
+        if clear and worst > 0:
             continue
-        a, b = max(pairs, key=lambda p: p[1][0] - p[0][0])
-        middle = (a[0] + b[0]) / 2
-        p = place(middle)
-        if b[0] - a[0] < 2e-9 or over(a[1], p) > 0 or over(p, b[1]) > 0:
-            shut.add((a[0], b[0]))
-        else:
-            picked.insert(picked.index(b), (middle, p))
+        if not clear and worst >= -rank:  # no turn lessens the land: halve, and try again from nearer
+            s, both = middle, (over(a, middle), over(middle, b))
+        picked.append(s)
+        offer(a, s, both[0])
+        offer(s, b, both[1])
     if len(picked) < n:
         return evenly(line, n, bounds)
-    x, y = np.array([p for _, p in picked], float).T
+    x, y = np.array([spots[s] for s in sorted(picked)], float).T
     return bounds.pin(x, y)
 
 

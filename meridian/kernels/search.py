@@ -51,14 +51,27 @@ class Settings:
         """Itself, or ValueError naming the first field that is wrong."""
         if self.topology.lower() not in TOPOLOGIES:
             raise ValueError(f"topology: {self.topology} is not one of {', '.join(TOPOLOGIES)}")
-        for name in ("time_weight", "fuel_weight", "land_weight", "inertia", "cognitive", "social"):
+        for name in ("time_weight", "fuel_weight", "land_weight"):
             if not math.isfinite(v := getattr(self, name)) or v < 0:
                 raise ValueError(f"{name}: {v} must be finite and not negative")
-        for name, least in (("particles", 1), ("iterations", 1), ("time_particles", 1), ("time_iterations", 1), ("buckets", 2), ("loads", 2), ("waypoints", 3)):
+        for name in ("inertia", "cognitive", "social", "departure"):
+            if not math.isfinite(v := getattr(self, name)):
+                raise ValueError(f"{name}: {v} must be finite")
+        for name, least in (("particles", 1), ("iterations", 1), ("time_particles", 1), ("time_iterations", 1), ("waypoints", 3)):
             if getattr(self, name) < least:
                 raise ValueError(f"{name}: {getattr(self, name)} must be at least {least}")
+        # Limits of the tables of travel times.
+        for name in ("buckets", "loads"):
+            if not 2 <= getattr(self, name) <= 256:
+                raise ValueError(f"{name}: {getattr(self, name)} must be between 2 and 256")
         if not 0 <= self.kick_probability <= 1:
             raise ValueError(f"kick_probability: {self.kick_probability} must be between 0 and 1")
+        for name in ("jitter", "kick"):
+            start, end = getattr(self, name)
+            if not (math.isfinite(start) and math.isfinite(end)) or min(start, end) < 0:
+                raise ValueError(f"{name}: {(start, end)} must be finite and not negative")
+            if end > start:
+                raise ValueError(f"{name}: it may not grow from {start} to {end}")
         return self
 
 
@@ -205,6 +218,7 @@ def decay(step: int, steps: int, start: float, end: float) -> float:
 
 def search(problem: Problem) -> Found:
     s, b = problem.settings.checked(), problem.bounds
+    problem.ship.checked()
     rng = np.random.default_rng(s.seed)
     topology = s.topology.lower()
     x, y, niches = started(problem, rng)

@@ -7,7 +7,7 @@ cell keys that are computed, never on distances, so they are equi-joins at any s
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +30,20 @@ class Grid:
     step_s: float = 3600.0
     crossfade_s: float | None = None
 
+    @property
+    def duration_s(self) -> float:
+        """Seconds from the first frame to the last."""
+        return (self.frames - 1) * self.step_s
+
+    @property
+    def cycle_s(self) -> float:
+        """Seconds after which looped time starts again: the frames and the blend back to the first."""
+        return 0.0 if self.frames <= 1 else self.duration_s + (5 * self.step_s if self.crossfade_s is None else self.crossfade_s)
+
+    def with_crossfade(self, seconds: float) -> "Grid":
+        """The grid with another blend back to its first frame, not a negative one."""
+        return replace(self, crossfade_s=max(0.0, seconds))
+
 
 # ---- making and recognizing grids
 
@@ -160,7 +174,8 @@ def nearest(points: DataFrame, sites: DataFrame, k: int = 4) -> DataFrame:
     """(id, site, d2, place): each point's k nearest sites in the plane, exactly; ties to the smaller site.
 
     Sites lie in square buckets of about k each. A point looks at the buckets around it and is done when its
-    k-th neighbour is nearer than anything outside them; the others look twice as far, until none is left.
+    k-th neighbour is nearer than anything outside them; the others look twice as far, until none is left. What a
+    round leaves is kept, so that a round starts from the last one and not from the beginning.
     """
     spark = points.sparkSession
     box = sites.agg(F.count("*").alias("n"), F.min("lon").alias("a"), F.max("lon").alias("b"), F.min("lat").alias("c"), F.max("lat").alias("d")).first()
@@ -181,8 +196,10 @@ def nearest(points: DataFrame, sites: DataFrame, k: int = 4) -> DataFrame:
         whole = reach * size >= max(box.b - box.a, box.d - box.c) + 720  # nothing lies outside
         got = best if whole else best.join(sure, "id", "left_semi")
         done = got if done is None else done.unionByName(got)
-        left = left.join(sure, "id", "left_anti")
-        if whole or left.isEmpty():
+        if whole:
+            return done
+        left = left.join(sure, "id", "left_anti").persist()
+        if left.isEmpty():
             return done
         reach *= 2
 
@@ -194,6 +211,25 @@ def blended_nearest(points: DataFrame, sites: DataFrame, k: int = 4) -> DataFram
     return points.join(weighed(lists), "id")
 
 
+def first_frames(rows: DataFrame, n: int) -> DataFrame:
+    """Rows of the first n frames."""
+    return rows.filter(F.col("f") < n)
+
+
+def within(points: DataFrame, sites: DataFrame, radius: float) -> DataFrame:
+    """(id, site, d2): the sites (id, lon, lat) within a radius in degrees of each point (id, lon, lat), its edge included.
+
+    Sites lie in square buckets of the radius, so a point meets the nine around it and nothing else. A null place is
+    near nothing.
+    """
+    cell = lambda c: F.floor(F.col(c) / radius)
+    placed = sites.select(F.col("id").alias("site"), F.col("lon").alias("x"), F.col("lat").alias("y"), cell("lon").alias("bx"), cell("lat").alias("by"))
+    around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
+    asked = points.select("id", "lon", "lat", around("lon").alias("bx")).select("*", around("lat").alias("by"))
+    d2 = (F.col("lon") - F.col("x")) * (F.col("lon") - F.col("x")) + (F.col("lat") - F.col("y")) * (F.col("lat") - F.col("y"))
+    return asked.join(placed, ["bx", "by"]).withColumn("d2", d2).filter(F.col("d2") <= radius * radius).select("id", "site", "d2")
+
+
 def in_circle(lon: float, lat: float, radius: float) -> Column:
     """Whether a row lies within a circle in degrees, its edge included."""
     dx, dy = F.col("lon") - lon, F.col("lat") - lat

@@ -8,12 +8,13 @@ with its error instead of failing the job.
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridian.functions.geo import Box
@@ -21,6 +22,7 @@ from meridian.functions.ship import Ship
 from meridian.kernels import search as kernel
 from meridian.kernels.courses import Bounds
 from meridian.kernels.fields import GridLand, GridWind
+from meridian.operators.land import rasterized
 
 #: Columns of a job: what is searched. Further columns named like a setting override it.
 JOB = ("run", "lon1", "lat1", "lon2", "lat2", "lon_min", "lon_max", "lat_min", "lat_max")
@@ -51,6 +53,39 @@ def land_of(grid: DataFrame, cell: float) -> GridLand:
     return GridLand(mask, cell)
 
 
+class Lands:
+    """Masks of one coastline by cell size: each is rasterized and measured once, then kept on the driver."""
+
+    def __init__(self, vertices: DataFrame):
+        self.vertices, self.known = vertices, {}
+
+    def at(self, cell: float) -> GridLand:
+        if cell not in self.known:
+            self.known[cell] = land_of(rasterized(self.vertices, cell).withColumn("is_land", F.lit(True)), cell)
+        return self.known[cell]
+
+
+class Counters:
+    """What searches did, as accumulators: searches and failures, seconds of them, evaluations of voyages and of times.
+
+    Tasks that are tried again count again.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.sums = {name: spark.sparkContext.accumulator(0.0 if name == "seconds" else 0) for name in ("searches", "failures", "seconds", "voyages", "times")}
+
+    def add(self, settings: kernel.Settings, seconds: float, failed: bool) -> None:
+        self.sums["failures" if failed else "searches"].add(1)
+        self.sums["seconds"].add(seconds)
+        if not failed:
+            rounds = settings.particles * settings.iterations
+            self.sums["voyages"].add(rounds + settings.particles)
+            self.sums["times"].add(rounds * settings.time_particles * (settings.time_iterations + 1))
+
+    def values(self) -> dict[str, float]:
+        return {name: total.value for name, total in self.sums.items()}
+
+
 def dealt(jobs: DataFrame, tasks: int | None = None) -> DataFrame:
     """jobs in so many tasks, by default a few for each core, one by one in turn; adaptive execution leaves a stated
     number as it is. A search outweighs its row by far, so none should wait for another while a core is idle."""
@@ -74,26 +109,30 @@ def _failed(run: int, error: str) -> pd.DataFrame:
     return pd.DataFrame({"run": [run], "k": np.array([-1], np.int32), "lon": nan, "lat": nan, "seconds": nan, "load": nan, "fuel": nan, "land_m": nan, "fitness": -math.inf, "error": error})
 
 
-def _each(jobs: DataFrame, work: Callable, tasks: int | None) -> DataFrame:
+def _each(jobs: DataFrame, work: Callable, tasks: int | None, counters: Counters | None = None, settings: kernel.Settings | None = None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for jobs_ in batches:
             for job in jobs_.itertuples(index=False):
+                began = time.monotonic()
                 try:
-                    yield work(job)
+                    out, failed = work(job), False
                 except (kernel.NoRoute, ValueError) as e:
-                    yield _failed(job.run, f"{type(e).__name__}: {e}")
+                    out, failed = _failed(job.run, f"{type(e).__name__}: {e}"), True
+                if counters is not None:
+                    counters.add(settings, time.monotonic() - began, failed)
+                yield out
 
     return dealt(jobs, tasks).mapInPandas(run, WAYPOINTS)
 
 
-def searched(jobs: DataFrame, ship: Ship, wind, land, settings: kernel.Settings = kernel.Settings(), tasks: int | None = None) -> DataFrame:
+def searched(jobs: DataFrame, ship: Ship, wind, land, settings: kernel.Settings = kernel.Settings(), tasks: int | None = None, counters: Counters | None = None) -> DataFrame:
     """Waypoints of the best voyage of each job, with seconds, load, fuel and land of the segment that ends there."""
 
     def work(job):
         problem = _problem(job, ship, wind, land, settings)
         return _rows(job.run, problem, kernel.search(problem))
 
-    return _each(jobs, work, tasks)
+    return _each(jobs, work, tasks, counters, settings)
 
 
 def benchmarked(jobs: DataFrame, ship: Ship, wind, land, settings: kernel.Settings = kernel.Settings(), tasks: int | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from meridian.functions import ship as physics
 from meridian.functions.ship import Ship
 from meridian.kernels.fields import BoxLand, FormulaWind, GridLand
 from meridian.kernels.search import LEGACY, TOPOLOGIES, Settings
-from meridian.operators import grids, land, searches, study, voyages
+from meridian.operators import grids, searches, study, voyages
 from meridian.plans.search_queries import vertices
 from meridian.plans.voyage_queries import r
 from meridian.plans.wind_queries import GRID, ONTO, frames
@@ -108,7 +108,7 @@ def _baked_world(spark):
     """The baked wind of bake_grid, and the land of rasterize_land."""
     cells = grids.packed(grids.bake(frames(spark), GRID, ONTO))
     wind = searches.wind_of(cells, ONTO.lon, ONTO.lat, ONTO.step_lon, GRID.step_s, GRID.crossfade_s)
-    return wind, searches.land_of(land.rasterized(vertices(spark), 2.0).withColumn("is_land", F.lit(True)), 2.0)
+    return wind, searches.Lands(vertices(spark)).at(2.0)
 
 
 def search_baked(spark, sf_dir):

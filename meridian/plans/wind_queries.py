@@ -167,6 +167,16 @@ def circle_query(spark, sf_dir):
 CIRCLE = f"WITH {OBSERVATIONS_SQL} SELECT id, lon, lat FROM obs WHERE (lon - 20) * (lon - 20) + (lat - 20) * (lat - 20) <= 144"
 
 
+def within_radius(spark, sf_dir):
+    """How many observations lie within two degrees of each, and how far the farthest is."""
+    o = wind_observations(spark, sf_dir).select("id", "lon", "lat")
+    return ops.within(o, o, 2.0).groupBy("id").agg(F.count("*").alias("n"), F.max("d2").alias("d2")).select("id", "n", r("d2", 6).alias("d2"))
+
+
+_D2 = "(a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat)"
+WITHIN = f"WITH {OBSERVATIONS_SQL} SELECT a.id, count(*) AS n, {rnd(f'max({_D2})', 6)} AS d2 FROM obs a JOIN obs b ON b.lon BETWEEN a.lon - 2.001 AND a.lon + 2.001 AND {_D2} <= 4 GROUP BY a.id"
+
+
 def brush_edit(spark, sf_dir):
     o = wind_observations(spark, sf_dir).select("id", "lon", "lat", "speed", "direction")
     out = ops.brushed(ops.brushed(ops.brushed(o, 20.0, 20.0, 25.0, add=-30.0), -40.0, 0.0, 15.0, put=12.5), 0.0, -30.0, 20.0, direction=270.0)
@@ -382,6 +392,7 @@ QUERIES = {
     "idw_four_corner": idw_four_corner,
     "idw_knn4": idw_knn4,
     "circle_query": circle_query,
+    "within_radius": within_radius,
     "brush_edit": brush_edit,
     "time_bracket": time_bracket,
     "timed_wind_query": timed_wind_query,
@@ -412,6 +423,7 @@ ORACLES = {
     "idw_four_corner": IDW_FOUR,
     "idw_knn4": IDW_KNN,
     "circle_query": CIRCLE,
+    "within_radius": WITHIN,
     "brush_edit": BRUSH,
     "time_bracket": TIME_BRACKET,
     "timed_wind_query": TIMED,

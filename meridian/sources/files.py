@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 import tomllib
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meridian.functions.ship import Ship
+from meridian.kernels.search import Settings
+
 # Field names and types of the JSON forms.
 ROWS = "lon float, lat float, sample struct<speed: float, direction: float>"
 TIMED_ROWS = f"t_seconds float, {ROWS}"
@@ -108,6 +112,27 @@ def merged(*scenarios: dict[str, dict]) -> dict[str, dict]:
     return out
 
 
+# A scenario's fields and the settings they are.
+SEARCH_FIELDS = {"particles_space": "particles", "particles_time": "time_particles", "iter_space": "iterations", "iter_time": "time_iterations", "inertia": "inertia", "cognitive_coeff": "cognitive", "social_coeff": "social", "path_kick_probability": "kick_probability", "seed": "seed", "range_k": "buckets", "k_mcr": "loads", "topology": "topology"}
+RUN_FIELDS = {"waypoints": "waypoints", "time_weight": "time_weight", "fuel_weight": "fuel_weight", "land_weight": "land_weight"}
+STEP_FIELDS = {"step_distance_fraction": (1e-6, 1.0), "bake_step_deg": (1e-3, 10.0), "sdf_resolution_deg": (0.05, 5.0)}
+BOAT_FIELDS = {"k": "drag", "polar_c": "polar_c", "polar_sin_power": "polar_power"}
+
+
+def applied(scenario: dict[str, dict], settings: Settings, ship: Ship) -> tuple[Settings, Ship]:
+    """Settings and ship with what the scenario sets; the rest stays. ValueError for values out of range."""
+    search, run, boat = (scenario.get(k, {}) for k in ("search", "run", "boat"))
+    new = {to: search[name] for name, to in SEARCH_FIELDS.items() if name in search} | {to: run[name] for name, to in RUN_FIELDS.items() if name in run}
+    kick = tuple(search.get(f"path_kick_gamma_{end}_fraction", old) for end, old in zip(("0", "min"), settings.kick, strict=True))
+    for name, (low, high) in STEP_FIELDS.items():
+        if name in search and not low <= search[name] <= high:
+            raise ValueError(f"{name}: {search[name]} must be between {low} and {high}")
+    made = {to: float(boat[name]) for name, to in BOAT_FIELDS.items() if name in boat}
+    fuel = tuple(float(boat.get(f"fuel_{c}", old)) for c, old in zip("abc", ship.fuel, strict=True))
+    power = float(boat["mcr_kw"]) * 1000 if "mcr_kw" in boat else ship.mcr_w
+    return replace(settings, **new, kick=kick).checked(), replace(ship, **made, fuel=fuel, mcr_w=power).checked()
+
+
 def write_scenario(scenario: dict[str, dict]) -> str:
     def value(v) -> str:
         if isinstance(v, dict):

@@ -51,3 +51,53 @@ def test_a_study_learns_and_keeps_a_journal(spark, tmp_path):
     assert json.loads(out.summary())["trials"] == 2 and spark.read.json(str(tmp_path / "j")).count() == 2
     with pytest.raises(ValueError, match="lacks"):
         tuning.tuned(routes, base.limit(0), 1, 1, Ship(), WIND, LAND, settings)
+
+
+def test_looped_time_of_a_grid():
+    from meridian.operators.grids import Grid
+
+    g = Grid(0.0, 0.0, 1.0, 1.0, 2, 2, 3, 3600.0)
+    assert (g.duration_s, g.cycle_s) == (7200.0, 25_200.0)
+    assert g.with_crossfade(600.0).cycle_s == 7800.0 and g.with_crossfade(-5.0).cycle_s == 7200.0
+    assert Grid(0.0, 0.0, 1.0, 1.0, 2, 2).cycle_s == 0.0
+
+
+def test_scenarios_are_applied():
+    from meridian.functions.ship import Ship
+    from meridian.kernels.search import Settings
+    from meridian.sources import files
+
+    text = "[run]\nwaypoints = 12\n[boat]\nmcr_kw = 250\nfuel_b = -0.1\n[search]\nparticles_space = 9\npath_kick_gamma_0_fraction = 0.2\nk_mcr = 6\nseed = 4\n"
+    settings, ship = files.applied(files.read_scenario(text), Settings(), Ship())
+    assert (settings.waypoints, settings.particles, settings.loads, settings.seed, settings.kick) == (12, 9, 6, 4, (0.2, 0.005))
+    assert settings.iterations == Settings().iterations
+    assert ship.mcr_w == 250_000 and ship.fuel == (0.0875, -0.1, 0.0347) and ship.drag == Ship().drag
+    for bad, field in (("[search]\nk_mcr = 1\n", "loads"), ("[boat]\nmcr_kw = 0\n", "mcr_w"), ("[search]\nsdf_resolution_deg = 0.001\n", "sdf_resolution_deg"), ("[search]\npath_kick_gamma_min_fraction = 0.5\n", "kick"), ("[search]\ninertia = nan\n", "inertia")):
+        with pytest.raises(ValueError, match=field):
+            files.applied(files.read_scenario(bad), Settings(), Ship())
+
+
+def test_counters_and_kept_lands(spark):
+    from meridian.functions.ship import Ship
+    from meridian.kernels.fields import FormulaWind, NoLand
+    from meridian.kernels.search import Settings
+    from meridian.operators import searches
+    from meridian.plans.search_queries import vertices
+
+    jobs = spark.createDataFrame([(k, 0.0, 0.0, 5.0, 0.0, -1.0, 6.0, -3.0, 3.0, t) for k, t in enumerate(["gbest", "ring", "star"])], "run long, lon1 double, lat1 double, lon2 double, lat2 double, lon_min double, lon_max double, lat_min double, lat_max double, topology string")
+    counters, s = searches.Counters(spark), Settings(waypoints=4, particles=4, iterations=2, time_particles=3, time_iterations=2)
+    wind = FormulaWind(lambda x, y, t: (x * 0 + 5.0, x * 0))
+    assert searches.searched(jobs, Ship(), wind, NoLand(), s, counters=counters).filter("error is not null").collect()[0].run == 2
+    got = counters.values()
+    assert (got["searches"], got["failures"], got["voyages"], got["times"]) == (2, 1, 2 * 12, 2 * 8 * 9) and got["seconds"] > 0
+    lands = searches.Lands(vertices(spark))
+    assert lands.at(4.0) is lands.at(4.0) and lands.at(4.0).mask.shape == (45, 90) and lands.at(4.0).mask.any()
+
+
+def test_sites_within_a_radius(spark):
+    from meridian.operators import grids
+
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 10.0, 0.0), (3, None, 0.0)], "id long, lon double, lat double")
+    sites = spark.createDataFrame([(7, 3.0, 4.0), (8, -3.0, -4.1), (9, 10.0, 0.0), (10, 5.0, 0.0)], "id long, lon double, lat double")
+    assert sorted((r.id, r.site, r.d2) for r in grids.within(points, sites, 5.0).collect()) == [(1, 7, 25.0), (1, 10, 25.0), (2, 9, 0.0), (2, 10, 25.0)]
+    assert grids.first_frames(spark.range(5).withColumnRenamed("id", "f"), 2).count() == 2
