@@ -11,7 +11,7 @@ from meridian.llm.pieces import op2_pieces
 from meridian.llm.pii import op9_pii
 from meridian.llm.quality_rules import OP5_SQL, op5_quality_rules
 from meridian.llm.simhash import op4_simhash
-from meridian.llm.substring_dedup import op6_substring_dedup
+from meridian.llm.substring_dedup import OP6_SQL, op6_substring_dedup
 
 QUERIES = {
     "op7_licenses": op7_licenses,
@@ -27,5 +27,6 @@ QUERIES = {
 }
 ORACLES = {
     "op5_quality_rules": OP5_SQL,
+    "op6_substring_dedup": OP6_SQL,
     "op8_mixing": OP8_SQL,
 }

@@ -77,6 +77,65 @@ def test_odd_rows_and_empty_tables(spark, odd, name):
     assert APPLY[name](spark, odd.limit(0)).count() == 0
 
 
+def by_id(rows):
+    out = collections.defaultdict(list)
+    for r in rows:
+        out[r.doc_id].append(r)
+    return out
+
+
+def test_what_odd_rows_give(spark, odd):
+    """Null, empty and blank texts (2, 3, 4), a null id, repeated rows and an id of two texts (1), and clashing names."""
+    blank = (2, 3, 4)
+    got = by_id(APPLY["language_id"](spark, odd).collect())
+    assert all(got[i][0].lang_pred == "und" and got[i][0].score == 0 for i in blank) and got[None][0].lang_pred != "und"
+
+    got = by_id(pieces.encoded(odd).collect())
+    assert got[2][0].ids is None and got[3][0].ids == [] and all(r.lossless for rows in got.values() for r in rows)
+    assert len({tuple(r.ids) for r in got[1]}) == 2 and got[2][0].n_tokens == got[3][0].n_tokens == 0 < got[4][0].n_tokens
+
+    got = by_id(quality_rules.judged(odd).collect())
+    assert all((got[i][0].n_words, got[i][0].n_symbols, got[i][0].base_failed, got[i][0].kept) == (0, 0, True, False) for i in blank)
+    assert len({tuple(r) for r in got[1]}) == 2
+
+    got = by_id(substring_dedup.removed(odd).collect())
+    assert all((got[i][0].n_words, got[i][0].n_removed) == (0, 0) for i in blank)
+    assert sorted((r.n_words, r.n_removed) for r in got[1]) == [(6, 0), (54, 54), (54, 54)]
+
+    got = by_id(licenses.scanned(odd).collect())
+    assert all(r.n_licenses == 0 and r.spans == "" for rows in got.values() for r in rows)
+
+    rows = mixing.mix(odd).collect()
+    assert all(r.taken == 0 and r.slots == [None, None] for r in rows if not r["size"])
+    took = collections.Counter()
+    for r in rows:
+        took[r.source] += r.taken
+    assert all(abs(took[r.source] - r.target) <= 0.5 for r in rows) and None in took
+    rows = mixing.mixed(odd).collect()
+    assert all(r.kept == "x" and r["size"] == r.key == 1 and WORDS.search(r.text) and r.n_chars == len(r.text) for r in rows)
+
+    field = pii.trained(odd)
+    got = by_id(pii.found(odd, field).collect())
+    assert all((got[i][0].n_email, got[i][0].n_phone, got[i][0].base, got[i][0].spans) == (0, 0, "", "") for i in blank)
+    assert (got[7][0].n_email, got[7][0].n_phone) == (1, 1)
+    rows = {tuple(r)[2:] + (r.doc_id,): r for r in pii.redacted(odd, field).collect()}
+    assert {tuple(r)[2:] + (r.doc_id,) for r in odd.collect()} == set(rows)
+    texts = by_id(rows.values())
+    assert texts[2][0].text is None and texts[3][0].text == "" and texts[7][0].text.endswith("<PHONE> <EMAIL>")
+
+    labels = spark.createDataFrame([(1, 1, 0), (5, 1, 0), (3, 0, 0), (None, 1, 0)], LABELS)
+    got = by_id(importance.resampled(odd, labels).collect())
+    assert all(got[i][0].log_weight == 0 for i in blank) and len({r.key - r.log_weight for r in got[1]}) <= 2
+    kept = importance.kept_documents(odd, spark.createDataFrame([], LABELS))
+    assert kept.columns == odd.columns and collections.Counter(map(tuple, kept.collect())) == collections.Counter(map(tuple, odd.collect()))
+
+    left = simhash.one_of_each(odd)
+    assert left.columns == odd.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 1, 2, 5, 6, 7]
+    named = spark.createDataFrame([("b", "x y"), ("a", None)], "doc_id string, text string")
+    assert {(r.doc_id, r.n_words) for r in quality_rules.judged(named.withColumn("lang", F.lit("en"))).collect()} == {("b", 2), ("a", 0)}
+    assert {(r.doc_id, r.lang_pred) for r in language_id.identified(named, language_id.Trees({}, language_id.Plan())).collect()} == {("b", "und"), ("a", "und")}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equals_sql(spark, small, name):
     assert (canonical(QUERIES[name](spark, small).toPandas()) == canonical(duck(ORACLES[name], small))).all().all()
