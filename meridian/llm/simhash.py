@@ -41,12 +41,12 @@ MOST_IN_TRIE = 20_000
 BUFFER = 100_000
 FRONTIER = 100_000
 #: Shingle sets that a task compares with as many others, and their bytes.
-BLOCK = 2048
+BLOCK = 1024
 BLOCK_BYTES = 32 << 20
 #: Sets from which a shingle is counted by matrix products instead of pair by pair.
 COMMON = 48
 #: Pairs of sets that are counted at once.
-PAIRS = 2_000_000
+PAIRS = 400_000
 
 
 # ---- fingerprints
@@ -455,9 +455,13 @@ def met(rows: list[tuple], similarity: float) -> pa.RecordBatch:
     left = np.flatnonzero(side == 0)
     right = np.flatnonzero(side == 1) if side.any() else left
     size = np.array([len(r[3]) // 8 for r in rows], np.int64)
-    near = both >= similarity * (size[left][:, None] + size[right][None, :] - both)
-    i, j = np.nonzero(near & (group[left][:, None] != group[right][None, :]))
-    parent = unite(np.unique(group, return_index=True)[1][np.unique(group, return_inverse=True)[1]], left[i], right[j])
+    _, first, of = np.unique(group, return_index=True, return_inverse=True)
+    parent = first[of]
+    for at in range(0, len(left), 64):
+        some = left[at : at + 64]
+        near = both[at : at + 64] >= similarity * (size[some][:, None] + size[right][None, :] - both[at : at + 64])
+        i, j = np.nonzero(near & (parent[some][:, None] != parent[right][None, :]))
+        parent = unite(parent, some[i], right[j])
     # what a group's first row here is linked to, the group is
     moved = np.flatnonzero((parent != np.arange(len(rows))) & (group != group[parent]))
     return pa.RecordBatch.from_arrays([pa.array(np.maximum(head[moved], head[parent[moved]])), pa.array(np.minimum(head[moved], head[parent[moved]]))], ["u", "v"])
