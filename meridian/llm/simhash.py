@@ -364,9 +364,8 @@ def shingle_sets(texts: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
 def compared(texts: DataFrame, found: DataFrame, plan: Plan) -> DataFrame:
     """(u, v): links that connect what has the similarity among the clusters that the candidates found (u, v) connect.
 
-    In a cluster of more than a block, the candidates themselves are verified first, as many as there are documents
-    or few more, so that most of a large group of near-duplicates is one before blocks meet; blocks within such a
-    group need not meet.
+    In a cluster of more than a block, one candidate of each document is verified first, so that most of a large group
+    of near-duplicates is one before blocks meet; blocks within such a group need not meet.
     """
     roots = components(found)
     nodes = stable(roots.select(F.col("node").alias("head"), F.col("root").alias("cluster")).unionByName(roots.select(F.col("root").alias("head"), F.col("root").alias("cluster")).distinct()))
@@ -377,7 +376,8 @@ def compared(texts: DataFrame, found: DataFrame, plan: Plan) -> DataFrame:
     grouped, first = sized.withColumn("group", F.col("head")), None
     if not wide.isEmpty():
         inner = stable(filtered(sized, wide, "cluster", "left_semi").select("head"))
-        first = stable(verified(sets, filtered(found.withColumnRenamed("u", "head"), inner, "head", "left_semi").withColumnRenamed("head", "u"), plan))
+        some = filtered(found.withColumnRenamed("u", "head"), inner, "head", "left_semi")
+        first = stable(verified(sets, some.groupBy(F.col("head").alias("u")).agg(F.min("v").alias("v")), plan))
         joined = components(first)
         grouped = sized.join(joined, F.col("head") == F.col("node"), "left").withColumn("group", F.coalesce("root", "head")).drop("node", "root")
         grouped = stable(grouped)
