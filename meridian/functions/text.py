@@ -1,6 +1,7 @@
 """Numbers as text, and the text codes of forecast archives, as column expressions.
 
-Numbers are rounded half to even, as most formatters do, which Java's alone does not.
+Numbers are rounded by the exact value of the double, half to even, as most formatters do. Java's and Spark's own
+rounding starts from the shortest decimal that reads as the double, which lies on a tie where the double does not.
 """
 
 from __future__ import annotations
@@ -9,6 +10,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def fixed(value: Column, places: int) -> Column:
+    """A double with 1 to 4 decimal places; nulls stay null, what has no fraction (from 2^53 on, infinite, no number) is
+    left to Java."""
+    size, scale = F.abs(value), 10**places
+    whole = F.floor(size)
+    part = size - whole
+    high = F.floor(part * (1 << 26)) / (1 << 26)
+    # high * scale and low * scale are exact, so the sign of the last sum is that of the distance from the tie
+    above, low = high * scale, (part - high) * scale
+    digits = F.floor(above)
+    tie = (above - digits - 0.5) + low
+    up = (tie > 0) | ((tie == 0) & (digits % 2 == 1))
+    rounded = digits + up.cast("long")
+    text = F.format_string(f"%s%d.%0{places}d", F.when(value < 0, "-").otherwise(""), whole + F.floor(rounded / scale), rounded % scale)
+    return F.when(size < float(1 << 53), text).when(value.isNotNull(), F.format_string(f"%.{places}f", value))
+
+
 def duration(seconds: Column) -> Column:
     """Whole seconds as ``1d 2h 3m 4s``, without leading zero parts."""
     s = F.floor(F.greatest(seconds, F.lit(0.0)))
@@ -22,17 +40,17 @@ def duration(seconds: Column) -> Column:
 
 
 def fuel(kg: Column) -> Column:
-    return F.when(kg >= 1000, F.format_string("%.3f t", F.bround(kg / 1000, 3))).otherwise(F.format_string("%.2f kg", F.bround(kg, 2)))
+    return F.when(kg >= 1000, F.concat(fixed(kg / 1000, 3), F.lit(" t"))).otherwise(F.concat(fixed(kg, 2), F.lit(" kg")))
 
 
 def land_km(metres: Column) -> Column:
-    return F.format_string("%.2f km", F.bround(metres / 1000, 2))
+    return F.concat(fixed(metres / 1000, 2), F.lit(" km"))
 
 
 def magnitude(value: Column) -> Column:
     """A fitness without its sign, in thousands or millions."""
     size = F.abs(value)
-    return F.when(size >= 1e6, F.format_string("%.3fM", F.bround(size / 1e6, 3))).otherwise(F.format_string("%.3fK", F.bround(size / 1e3, 3)))
+    return F.when(size >= 1e6, F.concat(fixed(size / 1e6, 3), F.lit("M"))).otherwise(F.concat(fixed(size / 1e3, 3), F.lit("K")))
 
 
 def against(found: Column, bench: Column, larger_is_better: bool) -> Column:
@@ -43,13 +61,13 @@ def against(found: Column, bench: Column, larger_is_better: bool) -> Column:
     return (
         F.when(F.abs(bench) < 1e-12, F.lit("PSO N/A"))
         .when(F.abs(diff) < 1e-9, F.lit("PSO equal"))
-        .when(better, F.format_string("PSO %.1f%% better", F.bround(percent, 1)))
-        .otherwise(F.format_string("PSO %.1f%% worse", F.bround(percent, 1)))
+        .when(better, F.concat(F.lit("PSO "), fixed(percent, 1), F.lit("% better")))
+        .otherwise(F.concat(F.lit("PSO "), fixed(percent, 1), F.lit("% worse")))
     )
 
 
 def box_flag(lon_min: Column, lat_min: Column, lon_max: Column, lat_max: Column) -> Column:
-    return F.format_string("%.4f,%.4f,%.4f,%.4f", lon_min, lat_min, lon_max, lat_max)
+    return F.concat(fixed(lon_min, 4), F.lit(","), fixed(lat_min, 4), F.lit(","), fixed(lon_max, 4), F.lit(","), fixed(lat_max, 4))
 
 
 def forecast_seconds(unit: Column, value: Column) -> Column:

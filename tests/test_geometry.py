@@ -101,3 +101,14 @@ def test_forecast_units(spark):
 
 def test_cycles(spark):
     assert [tuple(one(spark, *text.cycle(lit(h)))) for h in (0, 5, 6)] == [(0, 0), (0, 5), (6, 0)]
+
+
+def test_numbers_are_rounded_by_their_exact_value(spark):
+    # beside ties: what reads as one, real ones, carries, signs, tiny and large ones
+    values = [0.05, 1.1335, 1.1545, 1.0785, 2.675, 0.125, 0.375, 2.5, 0.99996, 9.995, 999.99951, -0.00004, -2.675, 0.0005, 0.0015, 1e-300, 123456789012.0625, 4503599627370497.5]
+    values += [x * 0.0005 for x in range(1, 400)]
+    rows = spark.createDataFrame([(v,) for v in [*values, None, float("inf")]], "v double").coalesce(1).select("v", *[text.fixed(F.col("v"), n).alias(f"p{n}") for n in (1, 2, 3, 4)]).collect()
+    assert [tuple(r)[1:] for r in rows[:-2]] == [tuple(f"{v:.{n}f}" for n in (1, 2, 3, 4)) for v in values]
+    assert rows[-2]["p2"] is None and rows[-1]["p2"] == "Infinity"
+    r = one(spark, text.magnitude(lit(-1133500.0)), text.against(lit(20010.0), lit(20000.0), False))
+    assert tuple(r) == ("1.133M", "PSO 0.1% worse")
