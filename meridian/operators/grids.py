@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -178,27 +179,32 @@ def nearest(points: DataFrame, sites: DataFrame, k: int = 4) -> DataFrame:
     round leaves is kept, so that a round starts from the last one and not from the beginning.
     """
     spark = points.sparkSession
-    box = sites.agg(F.count("*").alias("n"), F.min("lon").alias("a"), F.max("lon").alias("b"), F.min("lat").alias("c"), F.max("lat").alias("d")).first()
+    # of sites in one place only the k smallest can be among the nearest
+    smallest = Window.partitionBy("x", "y").orderBy("site")
+    sites = sites.select(F.col("id").alias("site"), F.col("lon").alias("x"), F.col("lat").alias("y")).filter("x is not null and y is not null")
+    sites = sites.withColumn("copy", F.row_number().over(smallest)).filter(F.col("copy") <= k).drop("copy").persist(StorageLevel.DISK_ONLY)
+    box = sites.agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d")).first()
     if not box.n:
         return spark.createDataFrame([], "id long, site long, d2 double, place int")
     size = max(((box.b - box.a) * (box.d - box.c) * k / box.n) ** 0.5, (box.b - box.a + box.d - box.c) / box.n, 1e-9)
     cell = lambda c: F.floor(F.col(c) / size)
-    placed = sites.select(F.col("id").alias("site"), F.col("lon").alias("x"), F.col("lat").alias("y"), cell("lon").alias("bx"), cell("lat").alias("by"))
+    placed = sites.withColumn("bx", cell("x")).withColumn("by", cell("y"))
     left, reach, done = points.select("id", "lon", "lat"), 1, None
     order = Window.partitionBy("id").orderBy("d2", "site")
     while True:
         ring = lambda c: F.explode(F.sequence(cell(c) - reach, cell(c) + reach))  # noqa: E731, B023
         asked = left.select("*", ring("lon").alias("bx")).select("*", ring("lat").alias("by"))
-        met = asked.join(placed, ["bx", "by"])
+        # compressed rows look few enough for the driver to broadcast when they are not
+        met = asked.join(placed.hint("merge"), ["bx", "by"])
         d2 = (F.col("lon") - F.col("x")) * (F.col("lon") - F.col("x")) + (F.col("lat") - F.col("y")) * (F.col("lat") - F.col("y"))
-        best = met.withColumn("d2", d2).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("id", "site", "d2", "place")
+        best = met.select("id", "site", d2.alias("d2")).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).persist(StorageLevel.DISK_ONLY)
         sure = best.groupBy("id").agg(F.count("*").alias("n"), F.max("d2").alias("far")).filter((F.col("n") >= min(k, box.n)) & (F.col("far") <= (reach * size) ** 2)).select("id")
         whole = reach * size >= max(box.b - box.a, box.d - box.c) + 720  # nothing lies outside
-        got = best if whole else best.join(sure, "id", "left_semi")
+        got = best if whole else best.join(sure.hint("merge"), "id", "left_semi")
         done = got if done is None else done.unionByName(got)
         if whole:
             return done
-        left = left.join(sure, "id", "left_anti").persist()
+        left = left.join(sure.hint("merge"), "id", "left_anti").persist(StorageLevel.DISK_ONLY)
         if left.isEmpty():
             return done
         reach *= 2
@@ -206,9 +212,9 @@ def nearest(points: DataFrame, sites: DataFrame, k: int = 4) -> DataFrame:
 
 def blended_nearest(points: DataFrame, sites: DataFrame, k: int = 4) -> DataFrame:
     """points (id, lon, lat) with speed and direction of their k nearest sites (id, lon, lat, speed, direction)."""
-    near = nearest(points, sites, k).join(sites.select(F.col("id").alias("site"), F.struct("speed", "direction").alias("s")), "site")
+    near = nearest(points, sites, k).join(sites.select(F.col("id").alias("site"), F.struct("speed", "direction").alias("s")).hint("merge"), "site")
     lists = near.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "s", "d2"))), lambda x: F.struct(x["s"].alias("s"), x["d2"].alias("d2"))).alias("near"))
-    return points.join(weighed(lists), "id")
+    return points.join(weighed(lists).hint("merge"), "id")
 
 
 def first_frames(rows: DataFrame, n: int) -> DataFrame:

@@ -66,3 +66,17 @@ def test_nearest_equals_brute_force(spark):
 def test_bake_shape():
     step, nx, ny = grids.bake_shape(360.0, 180.0, 0.25)
     assert step == 360 / 1024 and nx == 1025 and ny == 513
+
+
+def test_nearest_sites_in_one_place_meet_no_point_twice_over(spark):
+    # 20,000 copies of one place: only the four smallest can be near, and no table is broadcast by its compressed size
+    s = spark.range(20000).select("id", F.lit(1.5).alias("lon"), F.lit(-0.5).alias("lat"))
+    s = s.unionByName(spark.createDataFrame([(-1, 9.0, 9.0), (-2, None, 1.0)], "id long, lon double, lat double"))
+    p = spark.range(500).select("id", (F.col("id") / 100.0).alias("lon"), F.lit(0.0).alias("lat"))
+    found = grids.nearest(p, s)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+    rows = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "site"))).alias("near")).collect()
+    assert len(rows) == 500 and all([x.site for x in r.near] == [0, 1, 2, 3] for r in rows)
+    joined = grids.blended_nearest(p, s.withColumns({"speed": F.lit(3.0), "direction": F.lit(90.0)}))
+    assert joined.count() == 500 and "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
