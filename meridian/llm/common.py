@@ -59,6 +59,12 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released(spark: SparkSession) -> None:
+    """Have shuffle files deleted that only stable()'s dropped lineage needs: Spark does so once the driver collects its
+    garbage, which without a need of memory may be long after."""
+    spark._jvm.System.gc()
+
+
 _MADE: list[str] = []
 
 

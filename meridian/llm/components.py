@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import stable
+from meridian.llm.common import released, stable
 
 
 def _minima(links: DataFrame) -> DataFrame:
@@ -50,4 +50,5 @@ def components(links: DataFrame) -> DataFrame:
         if after == state:
             break
         state = after
+    released(links.sparkSession)
     return links.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import filtered, stable, stored, table, tidy
+from meridian.llm.common import filtered, released, stable, stored, table, tidy
 from meridian.llm.components import components
 from meridian.llm.words import ODD, mix
 
@@ -40,6 +40,8 @@ MOST_IN_TRIE = 20_000
 #: Rows, and node pairs, that a task holds at once.
 BUFFER = 100_000
 FRONTIER = 100_000
+#: Numbers of tables after which what is connected so far is found, before the others.
+TABLES_UNTIL = (2,)
 #: Shingle sets that a task compares with as many others, and their bytes.
 BLOCK = 1024
 BLOCK_BYTES = 32 << 20
@@ -153,9 +155,10 @@ def unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             parent = up
 
 
-def _local_links(rows: dict[str, np.ndarray], budget: int, most_apart: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _local_links(rows: dict[str, np.ndarray], budget: int, most_apart: int | None) -> Iterator[tuple[np.ndarray, ...]]:
     """Links (u, v) that connect the components within some whole deals: stars, or with most_apart pairs whose check
-    words differ in no more bits than that, the closest first and few beyond a forest."""
+    words differ in no more bits than that, the closest first, a forest over what ``group`` says is connected already,
+    and the groups of both."""
     order = np.lexsort((rows["key"], rows["side"], rows["deal"]))
     keys, head, deal, side = (rows[c][order] for c in ("key", "head", "deal", "side"))
     new = np.concatenate([[True], (deal[1:] != deal[:-1]) | (side[1:] != side[:-1])])
@@ -172,16 +175,18 @@ def _local_links(rows: dict[str, np.ndarray], budget: int, most_apart: int | Non
         moved = np.flatnonzero(parent != np.arange(len(keys)))
         yield head[moved], head[parent[moved]]
         return
+    group = rows["group"][order]
+    _, first, of = np.unique(group, return_index=True, return_inverse=True)
+    parent = first[of]
     check = [rows[c][order].view(np.uint64) for c in ("check", "check2")]
     for i, j in join_tries(keys, roots, budget, 0):
         apart = sum(np.bitwise_count(c[i] ^ c[j]).astype(np.int64) for c in check)
         near = np.flatnonzero((apart <= most_apart) & (parent[i] != parent[j]))
         near = near[np.argsort(apart[near], kind="stable")]
-        while len(near):  # the closest pair of any two components, then those that are apart still
-            a, b = parent[i[near]], parent[j[near]]
-            _, first = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1, return_index=True)
-            here = near[first]
-            yield head[i[here]], head[j[here]]
+        while len(near):  # the closest pair of each component, then of those that are apart still
+            _, first = np.unique(np.stack([parent[i[near]], parent[j[near]]], axis=1).ravel(), return_index=True)
+            here = near[np.unique(first // 2)]
+            yield head[i[here]], head[j[here]], group[i[here]], group[j[here]]
             parent = unite(parent, i[here], j[here])
             near = near[parent[i[near]] != parent[j[near]]]
 
@@ -190,7 +195,9 @@ def links(heads: DataFrame, budget: int = 3, most: int = MOST_IN_TRIE, width: in
     """(u, v): links that connect all of heads (fp, head) within budget differing bits, as a forest or little more.
 
     fp holds width bits. With most_apart, heads also has ``table`` (fingerprints of different tables do not
-    meet) and ``check`` and ``check2``, 128 further bits of which a link may differ in most_apart. Of equal fp there
+    meet), ``check`` and ``check2``, 128 further bits of which a link may differ in most_apart, and ``group``: heads of
+    one group are connected already and no link between them is needed; links have the groups that they connect,
+    group_u and group_v, in order. Of equal fp there
     should be one head, as only one is linked on; no heads give no rows. A deal is split by twelve bits at most,
     which keeps tries small up to some 80 million fingerprints of one block value.
     """
@@ -199,7 +206,7 @@ def links(heads: DataFrame, budget: int = 3, most: int = MOST_IN_TRIE, width: in
     mask = (1 << width) - 1 if width < BITS else -1
     turn = lambda k: F.shiftleft("fp", k).bitwiseOR(F.shiftrightunsigned("fp", width - k)).bitwiseAND(F.lit(mask)) if k else F.col("fp")
     rotated = lambda k: F.shiftleft(turn(k), BITS - width) if width < BITS else turn(k)
-    carried = ["head"] if most_apart is None else ["head", "check", "check2"]
+    carried = ["head"] if most_apart is None else ["head", "check", "check2", "group"]
     table = F.lit(0) if most_apart is None else F.col("table")
     turned = heads.select(*carried, table.alias("table"), F.posexplode(F.array(*[rotated(bits * k) for k in range(blocks)])).alias("turn", "key"))
     turned = turned.withColumn("deal", (F.shiftrightunsigned("key", BITS - bits) * 1024 + F.col("table")) * blocks + F.col("turn")).drop("table", "turn")
@@ -228,8 +235,9 @@ def links(heads: DataFrame, budget: int = 3, most: int = MOST_IN_TRIE, width: in
         held: list[dict[str, np.ndarray]] = []
 
         def joined(rows: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            for u, v in _local_links({c: np.concatenate([r[c] for r in rows]) for c in rows[0]}, budget, most_apart):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+            for u, v, *groups in _local_links({c: np.concatenate([r[c] for r in rows]) for c in rows[0]}, budget, most_apart):
+                ends = [np.maximum(u, v), np.minimum(u, v), *((np.maximum(*groups), np.minimum(*groups)) if groups else ())]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["u", "v", "group_u", "group_v"][: len(ends)])
 
         for b in batches:
             rows = {c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names}
@@ -248,7 +256,7 @@ def links(heads: DataFrame, budget: int = 3, most: int = MOST_IN_TRIE, width: in
         if held:
             yield from joined(held)
 
-    return dealt.mapInArrow(tidy(run), "u long, v long")
+    return dealt.mapInArrow(tidy(run), "u long, v long" if most_apart is None else "u long, v long, group_u long, group_v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 3) -> DataFrame:
@@ -335,18 +343,33 @@ def similar_links(rows: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
     heads = stable(sketched.groupBy("sketch").agg(F.min("sh_row").alias("head")))
     members = sketched.join(heads, "sketch").select("sh_row", "doc_id", "head")
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            raw = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u4").reshape(b.num_rows, -1)
-            check = np.ascontiguousarray(raw[:, -4:]).view(">u8").astype(np.int64)
-            for k in range(plan.tables):
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw[:, k].astype(np.int64)), pa.array(check[:, 0].copy()), pa.array(check[:, 1].copy()), pa.array(np.full(b.num_rows, k, np.int32))], ["head", "fp", "check", "check2", "table"])
-
-    tables = heads.select("head", "sketch").mapInArrow(tidy(spread), "head long, fp long, check long, check2 long, table int")
-    found = stable(links(tables, plan.budget, MOST_IN_TRIE, plan.bits, plan.most_apart).distinct())
-    return members, compared(texts, found, plan)
+    def tables(rows: DataFrame, which: range) -> DataFrame:
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                raw = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u4").reshape(b.num_rows, -1)
+                check = np.ascontiguousarray(raw[:, -4:]).view(">u8").astype(np.int64)
+                for k in which:
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw[:, k].astype(np.int64)), pa.array(check[:, 0].copy()), pa.array(check[:, 1].copy()), pa.array(np.full(b.num_rows, k, np.int32)), b.column(2)], ["head", "fp", "check", "check2", "table", "group"])
+
+        return rows.select("head", "sketch", "group").mapInArrow(tidy(spread), "head long, fp long, check long, check2 long, table int, group long")
+
+    def near(rows: DataFrame, which: range) -> DataFrame:
+        every = links(tables(rows, which), plan.budget, MOST_IN_TRIE, plan.bits, plan.most_apart)
+        return stable(every.groupBy("group_u", "group_v").agg(F.min(F.struct("u", "v")).alias("link")).select("group_u", "group_v", "link.*"))
+
+    # A large group would be linked on in every deal of every table: what the tables before connect needs no further
+    # link, and two groups need one.
+    known, found, roots, start = heads.withColumn("group", F.col("head")), None, None, 0
+    for end in [*(n for n in TABLES_UNTIL if n < plan.tables), plan.tables]:
+        new = near(known, range(start, end))
+        pairs = new.select(F.col("group_u").alias("u"), F.col("group_v").alias("v"))
+        roots = components(pairs if roots is None else roots.toDF("u", "v").unionByName(pairs))
+        known = heads.join(roots, F.col("head") == F.col("node"), "left").select("head", "sketch", F.coalesce("root", "head").alias("group"))
+        found, start = new.select("u", "v") if found is None else found.unionByName(new.select("u", "v")), end
+    released(rows.sparkSession)
+    return members, compared(texts, found, roots, plan)
 
 
 def shingle_sets(texts: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
@@ -361,13 +384,13 @@ def shingle_sets(texts: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
     return some.select("sh_row", "text").mapInArrow(tidy(sets), "head long, shingles binary, size long")
 
 
-def compared(texts: DataFrame, found: DataFrame, plan: Plan) -> DataFrame:
-    """(u, v): links that connect what has the similarity among the clusters that the candidates found (u, v) connect.
+def compared(texts: DataFrame, found: DataFrame, roots: DataFrame, plan: Plan) -> DataFrame:
+    """(u, v): links that connect what has the similarity among the clusters roots (node, root) that the candidates
+    found (u, v) connect.
 
     In a cluster of more than a block, one candidate of each document is verified first, so that most of a large group
     of near-duplicates is one before blocks meet; blocks within such a group need not meet.
     """
-    roots = components(found)
     nodes = stable(roots.select(F.col("node").alias("head"), F.col("root").alias("cluster")).unionByName(roots.select(F.col("root").alias("head"), F.col("root").alias("cluster")).distinct()))
     sets = stored(shingle_sets(texts, nodes, plan))
     sized = stable(nodes.join(sets.select("head", "size"), "head"))
@@ -378,6 +401,7 @@ def compared(texts: DataFrame, found: DataFrame, plan: Plan) -> DataFrame:
         inner = stable(filtered(sized, wide, "cluster", "left_semi").select("head"))
         some = filtered(found.withColumnRenamed("u", "head"), inner, "head", "left_semi")
         first = stable(verified(sets, some.groupBy(F.col("head").alias("u")).agg(F.min("v").alias("v")), plan))
+        released(texts.sparkSession)
         joined = components(first)
         grouped = sized.join(joined, F.col("head") == F.col("node"), "left").withColumn("group", F.coalesce("root", "head")).drop("node", "root")
         grouped = stable(grouped)

@@ -811,3 +811,21 @@ def test_the_pipeline(spark, small, docs):
     out = c.run(spark, small)
     assert len(set(Path(common.shared_dir(spark).removeprefix("file:")).glob("meridian-*")) - before) == 1  # what out reads
     assert out.count() == rows.count() and out.filter("not lossless").count() == 0
+
+
+def test_candidates_of_a_large_group_are_linked_as_a_forest():
+    # 300 fingerprints that are all candidates of each other, in two deals: no list of their pairs
+    rng = np.random.default_rng(5)
+    n = 300
+    keys = np.uint64(1) << rng.permutation(np.arange(n, dtype=np.uint64) % np.uint64(32))
+    same = lambda x: np.full(2 * n, x, np.int64)
+    head = np.tile(np.arange(n), 2)
+    rows = {"key": np.tile(keys, 2), "deal": np.repeat([1, 2], n), "side": same(0), "split": same(0), "head": head, "group": head, "check": same(0), "check2": same(0)}
+    found = list(simhash._local_links(rows, 3, 38))
+    parent = np.arange(n)
+    for u, v, *_ in found:
+        parent = simhash.unite(parent, u, v)
+    assert (parent == 0).all()
+    assert sum(len(u) for u, *_ in found) < 2 * n
+    # what is connected already gets no link
+    assert not sum(len(u) for u, *_ in simhash._local_links(rows | {"group": same(7)}, 3, 38))
