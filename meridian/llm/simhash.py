@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridian.llm.common import filtered, released, stable, stored, table, tidy
-from meridian.llm.components import components
+from meridian.llm.components import components, unite
 from meridian.llm.words import ODD, mix
 
 BITS = 64
@@ -139,22 +139,6 @@ def _expand(xlo, xhi, ylo, yhi):
     return xlo[pair] + k // wide[pair], ylo[pair] + k % wide[pair]
 
 
-def unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """parent with i and j joined, each node pointing at the least index of its component."""
-    while True:
-        a, b = parent[i], parent[j]
-        apart = a != b
-        if not apart.any():
-            return parent
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            up = parent[parent]
-            if (up == parent).all():
-                break
-            parent = up
-
-
 def _local_links(rows: dict[str, np.ndarray], budget: int, most_apart: int | None) -> Iterator[tuple[np.ndarray, ...]]:
     """Links (u, v) that connect the components within some whole deals: stars, or with most_apart pairs whose check
     words differ in no more bits than that, the closest first, a forest over what ``group`` says is connected already,

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from conftest import canonical, duck
-from meridian.llm import ann, common, importance, language_id, licenses, mixing, pieces, pii, quality_rules, simhash, substring_dedup
+from meridian.llm import ann, common, components, importance, language_id, licenses, mixing, pieces, pii, quality_rules, simhash, substring_dedup
 from meridian.llm.queries import ORACLES, QUERIES
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -829,3 +829,23 @@ def test_candidates_of_a_large_group_are_linked_as_a_forest():
     assert sum(len(u) for u, *_ in found) < 2 * n
     # what is connected already gets no link
     assert not sum(len(u) for u, *_ in simhash._local_links(rows | {"group": same(7)}, 3, 38))
+
+
+@pytest.mark.parametrize("most", [components.MOST_TOGETHER, 0])
+def test_components_of_few_links_take_few_tasks(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "MOST_TOGETHER", most)
+    rng = random.Random(8)
+    ids = [rng.getrandbits(63) - (1 << 62) for _ in range(400)]
+    pairs = [tuple(rng.sample(ids, 2)) for _ in range(180)] + list(itertools.pairwise(ids[:60])) + [(ids[0], i) for i in ids[300:330]]
+    pairs += [p[::-1] for p in pairs[:20]] + pairs[:20] + [(ids[70], ids[70])]
+    of, group = connected(ids, pairs), f"components-{most}"
+    links = spark.createDataFrame(pairs, "u long, v long").repartition(8)
+    spark.sparkContext.setJobGroup(group, group)
+    got = components.components(links)
+    status = spark.sparkContext.statusTracker()
+    stages = {s for j in status.getJobIdsForGroup(group) for s in status.getJobInfo(j).stageIds}
+    spark.sparkContext.setJobGroup("other", "other")
+    assert got.count() and {r.node: r.root for r in got.collect()} == {i: r for i, r in of.items() if i != r}
+    assert components.components(links.limit(0)).isEmpty()
+    if most:
+        assert len(stages) < 10  # rounds take as many each
